@@ -6,16 +6,16 @@ _SHARDING = """
 with keyed as (
   select doc_id, source, coalesce(strlen(text), 0) + 1 as size,
          md5('17:' || coalesce(doc_id::varchar, '')) as k,
-         from_hex(lower(hex(coalesce(text, '')))) as b
+         hex(coalesce(text, '')) as b
   from documents
 ), bits as (
-  select list_transform(range(256), n -> list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
-    (c, z) -> case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as tbl
+  select list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as tbl
 ), crc as (
   select doc_id, source, size, k,
-    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, octet_length(b) + 1),
-      i -> ('0x' || hex(b[i]))::bigint)),
-      (c, x) -> xor(c >> 8, tbl[xor(c & 255, x) + 1])), 4294967295) as text_crc32
+    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, len(b) // 2),
+      lambda i: ('0x' || substr(b, 2 * i + 1, 2))::bigint)),
+      lambda c, x: xor(c >> 8, tbl[xor(c & 255, x) + 1])), 4294967295) as text_crc32
   from keyed, bits
 ), first as (
   select *, row_number() over (partition by source order by k, doc_id, text_crc32, size) as r,
@@ -66,4 +66,33 @@ select doc_id, size, source_size, target,
 from taken
 """
 
-ORACLES: dict[str, str] = {"op4_sharding": _SHARDING, "op6_mixing": _MIXING}
+_DECONTAMINATION = r"""
+with docs as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents
+), items as (
+  select item_id::varchar as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark
+), windows as (
+  select item, least(len(w), 10) as size, unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2),
+    lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) as phrase
+  from items where len(w) > 0
+), sizes as (select distinct size from windows
+), grams as (
+  select doc_id, size, unnest(range(1, len(w) - size + 2)) as pos,
+         unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) as phrase
+  from docs, sizes where len(w) >= size
+), hits as (select doc_id, pos, g.size, item from grams g join windows using (size, phrase)
+), covered as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(pos, pos + size)) as p from hits) group by 1
+), named as (
+  select doc_id, count(*) as n, string_agg(item, ',' order by item) as ids
+  from (select distinct doc_id, item from hits) group by 1
+)
+select d.doc_id, len(w)::bigint as n_words, coalesce(c.n, 0)::bigint as n_hit, coalesce(m.n, 0)::bigint as n_items,
+       sha256(coalesce(m.ids, '')) as items_sha256, coalesce(c.n, 0) > 0 as contaminated
+from docs d left join covered c using (doc_id) left join named m using (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op4_sharding": _SHARDING, "op5_decontamination": _DECONTAMINATION, "op6_mixing": _MIXING}

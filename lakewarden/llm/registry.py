@@ -6,6 +6,7 @@ import importlib
 
 _QUERIES = {
     "op4_sharding": "sharding",
+    "op5_decontamination": "decontamination",
     "op6_mixing": "mixing",
 }
 
