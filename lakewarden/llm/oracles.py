@@ -95,4 +95,21 @@ select d.doc_id, len(w)::bigint as n_words, coalesce(c.n, 0)::bigint as n_hit, c
 from docs d left join covered c using (doc_id) left join named m using (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op4_sharding": _SHARDING, "op5_decontamination": _DECONTAMINATION, "op6_mixing": _MIXING}
+_WARC = """
+with payloads as (
+  select page_id, coalesce(html, '') as body from pages
+), digests as (
+  select page_id, strlen(body)::bigint as payload_bytes, sha1(body) as hx,
+         min(page_id) over (partition by body) as first_id
+  from payloads
+)
+select page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 4), lambda g: array_to_string(list_transform(range(0, 8),
+         lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           ((('0x' || substr(hx, 10 * g + 1, 10))::bigint >> (35 - 5 * i)) & 31)::int + 1, 1)), '')), '') as payload_digest,
+       case when page_id = first_id then 'response' else 'revisit' end as record_type,
+       case when page_id = first_id then null else first_id end as refers_to
+from digests
+"""
+
+ORACLES: dict[str, str] = {"op2_warc": _WARC, "op4_sharding": _SHARDING, "op5_decontamination": _DECONTAMINATION, "op6_mixing": _MIXING}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 _QUERIES = {
+    "op2_warc": "warc",
     "op4_sharding": "sharding",
     "op5_decontamination": "decontamination",
     "op6_mixing": "mixing",
