@@ -9,6 +9,7 @@ _QUERIES = {
     "op4_sharding": "sharding",
     "op5_decontamination": "decontamination",
     "op6_mixing": "mixing",
+    "op7_toxicity": "toxicity",
 }
 
 

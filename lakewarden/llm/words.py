@@ -73,14 +73,25 @@ class Words:
         self.first = np.searchsorted(self.start, bounds)
         self.joined = joined
 
+    def hash_of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit hashes of byte ranges; equal bytes have equal hashes in any batch."""
+        if not hasattr(self, "_sums"):
+            size = 1 << max(21, int(len(self.data) - 1).bit_length())
+            power, self._back = _powers(size)
+            scaled = _BYTE[self.data] * power[: len(self.data)]
+            self._sums = np.concatenate((np.zeros(1, _U), np.cumsum(scaled, dtype=_U)))
+        length = (end - start).astype(_U)
+        return mix64((self._sums[end] - self._sums[start]) * self._back[start] + length * _U(0x9E3779B97F4A7C15))
+
     @property
     def hash(self) -> np.ndarray:
-        data = self.data
-        size = 1 << max(21, int(len(data) - 1).bit_length())
-        power, back = _powers(size)
-        sums = np.concatenate((np.zeros(1, _U), np.cumsum(_BYTE[data] * power[: len(data)], dtype=_U)))
-        length = (self.end - self.start).astype(_U)
-        return mix64((sums[self.end] - sums[self.start]) * back[self.start] + length * _U(0x9E3779B97F4A7C15))
+        return self.hash_of(self.start, self.end)
+
+    def prefix_end(self, characters: int) -> np.ndarray:
+        """Byte end of each word's first ``characters`` characters (of the word, if shorter)."""
+        opens = np.flatnonzero((self.data & 0xC0) != 0x80)
+        opens = np.concatenate((opens, np.full(characters, len(self.data))))
+        return np.minimum(self.end, opens[np.searchsorted(opens, self.start) + characters])
 
 
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
