@@ -10,6 +10,7 @@ _QUERIES = {
     "op5_decontamination": "decontamination",
     "op6_mixing": "mixing",
     "op7_toxicity": "toxicity",
+    "op8_quality": "quality",
 }
 
 
