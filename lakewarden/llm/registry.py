@@ -11,6 +11,7 @@ _QUERIES = {
     "op6_mixing": "mixing",
     "op7_toxicity": "toxicity",
     "op8_quality": "quality",
+    "op9_token_counts": "tokens",
 }
 
 
