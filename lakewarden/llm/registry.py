@@ -12,6 +12,7 @@ _QUERIES = {
     "op7_toxicity": "toxicity",
     "op8_quality": "quality",
     "op9_token_counts": "tokens",
+    "op10_webp": "webp",
 }
 
 
