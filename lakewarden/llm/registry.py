@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 
+from lakewarden.llm.shared import ship
+
 _QUERIES = {
     "op2_warc": "warc",
+    "op3_minhash": "minhash",
     "op4_sharding": "sharding",
     "op5_decontamination": "decontamination",
     "op6_mixing": "mixing",
@@ -16,8 +20,19 @@ _QUERIES = {
 }
 
 
+def _query(module: str, name: str):
+    operator = getattr(importlib.import_module(f"lakewarden.llm.{module}"), name)
+
+    @functools.wraps(operator)
+    def run(spark, sf_dir):
+        ship(spark)
+        return operator(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return {name: getattr(importlib.import_module(f"lakewarden.llm.{module}"), name) for name, module in _QUERIES.items()}
+    return {name: _query(module, name) for name, module in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
