@@ -8,6 +8,7 @@ import importlib
 from lakewarden.llm.shared import ship
 
 _QUERIES = {
+    "op1_pii": "pii",
     "op2_warc": "warc",
     "op3_minhash": "minhash",
     "op4_sharding": "sharding",
