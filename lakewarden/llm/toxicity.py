@@ -29,11 +29,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakewarden.llm.shared import written
 from lakewarden.llm.words import Words, chunks
 
-#: Buckets of word and bigram hashes: the bound of the broadcast model (about 50 MB).
-WORD_BITS = 20
-PAIR_BITS = 21
+#: Buckets of word and bigram hashes: the bound of the broadcast model (about 40 MB).
+WORD_BITS = 19
+PAIR_BITS = 20
 STEM_BITS = 18
 STEM = 4
 CALIBRATION_ROWS = 20_000
@@ -96,32 +97,36 @@ def _count_bigrams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield counted(keys, toxic)
 
 
-#: Kinds of rows in the bounded table.
-_CONTINUATION, _HISTORY, _DISCOUNTED, _PAIR = range(4)
+#: Columns of the bounded table: by word, its continuation counts, and as a history its
+#: counts and discounted counts; by bigram, discounted counts. Toxic first, then ordinary.
+_BY_WORD = ("next_bad", "next_good", "history_bad", "history_good", "left_bad", "left_good")
+_COUNTS = [f"v{i}" for i in range(len(_BY_WORD))]
+_BOUNDED = "kind int, bucket int, stem int, " + ", ".join(f"{c} long" for c in _COUNTS)
 
 
 def _bounded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sums by bucket over some of the distinct bigrams."""
-    sums = {kind: np.zeros((2, 1 << (PAIR_BITS if kind == _PAIR else WORD_BITS))) for kind in range(4)}
-    stems = np.zeros(1 << WORD_BITS, np.int64)
+    """Sums by bucket over some of the distinct bigrams: kind 0 by word, kind 1 by bigram."""
+    words = np.zeros((len(_BY_WORD), 1 << WORD_BITS), np.int64)
+    pairs = np.zeros((2, 1 << PAIR_BITS), np.int64)
+    stems = np.zeros(1 << WORD_BITS, np.int32)
     for frame in frames:
         key = frame["pair"].to_numpy()
-        pair, stem = key >> STEM_BITS, key & ((1 << STEM_BITS) - 1)
+        pair, stem = key >> STEM_BITS, (key & ((1 << STEM_BITS) - 1)).astype(np.int32)
         before, own = pair >> WORD_BITS, pair & ((1 << WORD_BITS) - 1)
         np.maximum.at(stems, own, stem)
         bucket = _pair_bucket(before, own)
         for c, name in enumerate(("bad", "good")):
             n = frame[name].to_numpy()
-            np.add.at(sums[_CONTINUATION][c], own, n > 0)
-            np.add.at(sums[_HISTORY][c], before, n)
-            np.add.at(sums[_DISCOUNTED][c], before, np.minimum(n, DISCOUNT))
-            np.add.at(sums[_PAIR][c], bucket, np.maximum(n - DISCOUNT, 0))
-    for kind, (bad, good) in sums.items():
-        at = np.flatnonzero(bad + good)
+            np.add.at(words[c], own, n > 0)
+            np.add.at(words[2 + c], before, n)
+            np.add.at(words[4 + c], before, np.minimum(n, DISCOUNT))
+            np.add.at(pairs[c], bucket, np.maximum(n - DISCOUNT, 0))
+    for kind, sums in enumerate((words, pairs)):
+        at = np.flatnonzero(sums.any(axis=0))
         for start in range(0, len(at), 50_000):
             part = at[start : start + 50_000]
-            stem = stems[part] if kind == _CONTINUATION else 0
-            yield pd.DataFrame({"kind": kind, "bucket": part, "bad": bad[part], "good": good[part], "stem": stem})
+            counts = {c: sums[i][part] if i < len(sums) else 0 for i, c in enumerate(_COUNTS)}
+            yield pd.DataFrame({"kind": kind, "bucket": part, "stem": 0 if kind else stems[part], **counts})
 
 
 def _shares(counts: np.ndarray) -> np.ndarray:
@@ -136,18 +141,18 @@ def _shares(counts: np.ndarray) -> np.ndarray:
 class Model:
     """Bounded Kneser-Ney tables of both classes, ready for look-ups."""
 
-    def __init__(self, table: pd.DataFrame):
-        counts = {}
-        for kind in range(4):
-            own = table[table["kind"] == kind]
-            held = np.zeros((2, 1 << (PAIR_BITS if kind == _PAIR else WORD_BITS)))
-            held[0][own["bucket"]] = own["bad"]
-            held[1][own["bucket"]] = own["good"]
-            counts[kind] = held
-            if kind == _CONTINUATION:
-                stem = np.zeros(1 << WORD_BITS, np.int64)
-                stem[own["bucket"]] = own["stem"]
-        word = counts[_CONTINUATION]
+    def __init__(self, words, pairs):
+        """``words`` and ``pairs``: Arrow tables of the two kinds of bounded rows."""
+        counts = np.zeros((len(_BY_WORD), 1 << WORD_BITS), np.float32)
+        stem = np.zeros(1 << WORD_BITS, np.int32)
+        at = words["bucket"].to_numpy()
+        stem[at] = words["stem"].to_numpy()
+        for i, c in enumerate(_COUNTS):
+            counts[i][at] = words[c].to_numpy()
+        self.pair = np.zeros((2, 1 << PAIR_BITS), np.float32)
+        for c in range(2):
+            self.pair[c][pairs["bucket"].to_numpy()] = pairs[_COUNTS[c]].to_numpy()
+        word, history, left_over = counts[:2], counts[2:4], counts[4:]
         stems = np.stack([np.bincount(stem, weights=k, minlength=1 << STEM_BITS) for k in word])
         left = np.stack([np.bincount(stem, weights=np.minimum(k, DISCOUNT), minlength=1 << STEM_BITS) for k in word])
         self.stem = _shares(stems).astype(np.float32)
@@ -157,10 +162,8 @@ class Model:
         self.left = np.where(stems > 0, left / seen, 1.0).astype(np.float32)
         every = word.sum(axis=0)
         self.shared = ((every + 0.5) / (stems.sum(axis=0)[stem] + 1)).astype(np.float32)
-        history = counts[_HISTORY]
-        self.rest = np.where(history > 0, counts[_DISCOUNTED] / np.maximum(history, 1), 1.0).astype(np.float32)
+        self.rest = np.where(history > 0, left_over / np.maximum(history, 1), 1.0).astype(np.float32)
         self.scale = (1.0 / np.maximum(history, 1)).astype(np.float32)
-        self.pair = counts[_PAIR].astype(np.float32)
         self.weights = np.zeros(0)
 
     def differences(self, words: Words) -> np.ndarray:
@@ -230,9 +233,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     pairs = known.where("__fold in (1, 2, 3)").select("text", "toxic")
     pairs = pairs.mapInPandas(_count_bigrams, "pair long, bad long, good long")
     pairs = pairs.groupBy("pair").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    table = pairs.mapInPandas(_bounded, "kind int, bucket int, bad long, good long, stem long")
-    table = table.groupBy("kind", "bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.max("stem").alias("stem"))
-    model = Model(table.toPandas())
+    table = pairs.mapInPandas(_bounded, _BOUNDED).groupBy("kind", "bucket")
+    table = written(table.agg(F.max("stem").alias("stem"), *[F.sum(c).cast("int").alias(c) for c in _COUNTS]), "toxicity-counts")
+    model = Model(table.where("kind = 0").drop("kind").toArrow(), table.where("kind = 1").select("bucket", *_COUNTS[:2]).toArrow())
 
     calibrate = known.where("__fold = 4")
     total = calibrate.count()
