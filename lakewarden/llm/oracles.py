@@ -126,14 +126,14 @@ with recursive docs as (
   select a.doc_id as u, b.doc_id as v, count(*) as c from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2
 ), links as (
   select u, v from pairs join sizes x on u = x.doc_id join sizes y on v = y.doc_id where 100 * c >= 85 * (x.n + y.n - c)
-), both as (select u, v from links union all select v, u from links
+), sym as (select u, v from links union all select v, u from links
 ), reach as (
-  select doc_id as start, doc_id as at from docs
+  select doc_id as origin, doc_id as node from docs
   union
-  select r.start, b.v from reach r join both b on r.at = b.u
+  select r.origin, s.v from reach r join sym s on r.node = s.u
 )
 select d.doc_id, coalesce(s.n, 0)::bigint as n_shingles, m.c as component_id, d.doc_id = m.c as kept
-from docs d left join sizes s using (doc_id) join (select start, min(at) as c from reach group by 1) m on m.start = d.doc_id
+from docs d left join sizes s using (doc_id) join (select origin, min(node) as c from reach group by 1) m on m.origin = d.doc_id
 """
 
 ORACLES: dict[str, str] = {"op2_warc": _WARC, "op3_minhash": _MINHASH, "op4_sharding": _SHARDING, "op5_decontamination": _DECONTAMINATION, "op6_mixing": _MIXING}
