@@ -208,3 +208,90 @@ ORACLES: dict[str, str] = {
     "retention_expired": "select event_type, count(*) as n from events where ts < (select max(ts) from events) - interval 14 days group by 1",
     "event_window_counts": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n from events group by 1, 2",
 }
+
+
+def _offsets(name: str, pattern: str, skip: int = 0, drop: int = 0) -> str:
+    """CTEs ``<name>_spans(doc_id, s, e, value)``; ``skip`` and ``drop`` cut the match at its ends."""
+    return rf"""
+{name}_parts as (
+  select doc_id, text, regexp_extract_all(text, '{pattern}') as ms, string_split_regex(text, '{pattern}') as segs from documents
+), {name}_rows as (select *, unnest(range(1, len(ms) + 1)) as i from {name}_parts where len(ms) > 0
+), {name}_spans as (
+  select doc_id, text, s + {skip} as s, s + len(v) - {drop} as e, substr(v, {skip} + 1, len(v) - {skip + drop}) as value from (
+    select doc_id, text, ms[i] as v, (list_sum(list_transform(segs[1:i], lambda x: len(x)))
+      + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: len(x))), 0))::bigint as s from {name}_rows)
+)"""
+
+
+_LUHN = """list_sum(list_transform(range(1, len(value) + 1), lambda i: case when i % 2 = 1 then reverse(value)[i]::int
+  when reverse(value)[i]::int > 4 then 2 * reverse(value)[i]::int - 9 else 2 * reverse(value)[i]::int end)) % 10 = 0"""
+
+_RESOLVED = f"""
+{_offsets("em", _EMAIL)}, {_offsets("ipa", _IP)}, {_offsets("sec", _TOKEN, 9, 1)}, {_offsets("car", "[0-9]{12,19}")}, every as (
+  select doc_id, s, e, value, 'EMAIL' as entity from em_spans
+  union all select doc_id, s, e, value, 'IP' from ipa_spans
+  union all select doc_id, s, e, value, 'SECRET' from sec_spans
+  union all select doc_id, s, e, value, 'CARD' from car_spans where {_LUHN} and not regexp_matches(substr(text, e + 1, 1), '[A-Za-z0-9]')
+), resolved as (
+  select * from every a where not exists (
+    select 1 from every b where b.doc_id = a.doc_id and b.s < a.e and a.s < b.e and b.e - b.s > a.e - a.s)
+)"""
+
+ORACLES |= {
+    "resolve_overlaps": f"with {_RESOLVED} select doc_id as request_id, s, e, entity from resolved",
+    "mask_placeholder": f"""with {_RESOLVED}, owned as (select r.*, d.source, d.text from resolved r join documents d using (doc_id)
+        ), firsts as (select source, entity, value, min(doc_id * 1000000 + s) as f from owned group by all
+        ), marks as (select *, '<' || entity || '_' || row_number() over (partition by source, entity order by f) || '>' as mark from firsts
+        ), pieces as (
+          select doc_id, s, e, text, mark, coalesce(lag(e) over (partition by doc_id order by s), 0) as prev from owned join marks using (source, entity, value)
+        ), built as (
+          select doc_id, string_agg(substr(text, prev + 1, s - prev) || mark, '' order by s) || substr(any_value(text), max(e) + 1) as masked from pieces group by 1
+        )
+        select source as request_id, doc_id as msg_idx, coalesce(masked, text) as masked from documents left join built using (doc_id)""",
+    "merkle_root": f"""with recursive t as (
+          select user_id as seg, count(*) as entries, list(sha256(unhex('00') || encode({_LINE})) order by event_id) as h from events group by 1
+        ), r as (
+          select seg, entries, h from t
+          union all
+          select seg, entries, list_transform(range(1, (len(h) + 1) // 2 + 1),
+            lambda i: case when 2 * i <= len(h) then sha256(unhex('01' || h[2 * i - 1] || h[2 * i])) else h[2 * i - 1] end) from r where len(h) > 1
+        )
+        select seg, entries, 'sha256:' || h[1] as root from r where len(h) = 1""",
+    "checkpoint_verify": """with l as (select user_id as seg, row_number() over (partition by user_id order by event_id) as entries from events
+        ), c as (select seg, entries // 20 as seq from l where entries % 20 = 0)
+        select seg, 'forged_checkpoint' as kind, seq as line, 'bad signature' as detail from c where seg % 5 = 0
+        union all select seg, 'truncation', seq, 'more entries than the log' from c where seg % 11 = 0 and seq = 1
+        union all select seg, 'forged_checkpoint', seq, 'wrong head' from c where seg % 7 = 0 and seq = 2""",
+    "queue_backpressure": """with recursive e as (
+          select user_id as sink, event_id % 3 = 0 as ack, row_number() over (partition by user_id order by event_id) as n from events
+        ), w as (
+          select sink, n, case when ack then 0 else 1 end as depth, false as refused from e where n = 1
+          union all
+          select e.sink, e.n, case when e.ack then greatest(w.depth - 1, 0) when w.depth >= 5 then w.depth else w.depth + 1 end, not e.ack and w.depth >= 5
+          from w join e on e.sink = w.sink and e.n = w.n + 1
+        )
+        select sink, count(*) filter (refused) as refused, max(depth) as deepest from w group by 1""",
+    "audit_chain_verify": f"""with recursive l as (
+          select user_id as seg, row_number() over (partition by user_id order by event_id) as n, {_LINE} as raw from events
+        ), chain as (
+          select seg, n, '{_GENESIS}' as got, raw[:-2] || ',"prev_hash":"{_GENESIS}","seq":1}}' as line from l where n = 1
+          union all
+          select l.seg, l.n, 'sha256:' || sha256(c.line), l.raw[:-2] || ',"prev_hash":"sha256:' || sha256(c.line) || '","seq":' || l.n || '}}'
+          from chain c join l on l.seg = c.seg and l.n = c.n + 1
+        ), damaged as (
+          select seg, n as seq, got, 'sha256:' || sha256(case when seg % 2 = 0 and n = 3 then replace(line, '"event":"', '"event":"x') else line end) as hash,
+                 row_number() over (partition by seg order by n) as place
+          from chain where not (seg % 3 = 0 and n = 5)
+        ), linked as (
+          select *, coalesce(lag(hash) over (partition by seg order by place), '{_GENESIS}') as prev,
+            exists (select 1 from damaged k where k.seg = d.seg and k.hash = d.got) as known,
+            exists (select 1 from damaged k where k.seg = d.seg and k.seq = d.place) as present
+          from damaged d
+        )
+        select distinct seg, kind, line from (
+          select seg, case when not present and seq > place then 'gap' else 'reorder' end as kind, place as line from linked where seq <> place
+          union all
+          select seg, case when not known and place > 1 then 'modified' when known then 'reorder' else 'chain_break' end,
+                 case when not known and place > 1 then place - 1 else place end from linked where got <> prev
+        )""",
+}
