@@ -1,6 +1,6 @@
-"""Operator 7: toxicity by class-conditional Kneser-Ney models.
+"""Operator 7: toxicity by class-conditional unigram models with Kneser-Ney continuation counts.
 
-Two Kneser-Ney models, toxic and ordinary, give each word its probability by continuation
+Two models, toxic and ordinary, give each word its probability by continuation
 counts: the number of different words it follows in the class. Discounted counts of a word
 back off to those of its stem (the first ``STEM`` characters), and these to continuation
 counts that both classes share; the choice of a word within its stem backs off to shared
@@ -15,9 +15,12 @@ on 51,282 documents: with raw bigrams, held-out AUC 0.927 and recall 0.42; witho
 and 0.99.) Copies add nothing to continuation counts.
 
 Counting: tasks list the different bigrams of all labelled training texts, a shuffle makes
-them different over the corpus, and a second, bounded table sums them by word bucket
-(``WORD_BITS``). Its size has that fixed bound, so it may be broadcast; what is gathered to
-build it grows with the labelled corpus. Scoring reads each text once and shuffles nothing.
+them different over the corpus, and a second one sums them by word; stems sum their own
+words. Words and stems are told apart by 64-bit hashes, so no word is booked under another.
+A word that neither class counts more than ``DISCOUNT`` times has exactly the difference of
+its stem, and such a stem exactly that of an unseen one: only the others are broadcast, 12
+bytes each. Their number grows with the vocabulary of the labelled corpus, more slowly than
+the corpus. Scoring reads each text once and shuffles nothing.
 
 Training rows are split by ``crc32(doc_id as text) mod 5``: 0 is held out, 1 to 3 are
 counted and 4 calibrates (at most about ``CALIBRATION_ROWS`` rows, chosen by hash).
@@ -34,11 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakewarden.llm.shared import written
-from lakewarden.llm.words import Words, chunks
+from lakewarden.llm.words import Words, chunks, mix64
 
-#: Buckets of word and stem hashes: the bound of the broadcast model (about 10 MB).
-WORD_BITS = 19
-STEM_BITS = 18
 STEM = 4
 CALIBRATION_ROWS = 20_000
 #: Labelled ids up to which they are broadcast to the documents; more are joined by a shuffle.
@@ -51,101 +51,120 @@ TOP = 3
 _WORDLIKE = np.array([48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in range(256)])
 
 
-def _word_ids(words: Words) -> np.ndarray:
-    return (words.hash >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+def _stem_ids(words: Words, at=slice(None)) -> np.ndarray:
+    """62-bit hashes of the stems of some words, which leave two bits for the classes."""
+    return (words.hash_of(words.start[at], words.prefix_end(STEM)[at]) >> np.uint64(2)).astype(np.int64)
 
 
-def _stem_ids(words: Words) -> np.ndarray:
-    hashed = words.hash_of(words.start, words.prefix_end(STEM))
-    return (hashed >> np.uint64(64 - STEM_BITS)).astype(np.int64)
-
-
-def _bigrams(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Previous and own word id of each word; a text's first word follows id 0's bucket."""
-    own = _word_ids(words)
-    before = np.empty_like(own)
+def _pairs(words: Words, own: np.ndarray) -> np.ndarray:
+    """A hash of each word and the one before it; a text's first word follows 0."""
+    before = np.zeros_like(own)
     before[1:] = own[:-1]
-    starts = words.first[:-1][np.diff(words.first) > 0]
-    before[starts] = 0
-    return before, own
+    before[words.first[:-1][np.diff(words.first) > 0]] = 0
+    return mix64(mix64(before ^ np.uint64(0x9E3779B97F4A7C15)) + own)
 
 
 def _count_bigrams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def counted(keys, toxic):
-        key, at = np.unique(np.concatenate(keys), return_inverse=True)
-        flags = np.concatenate(toxic)
-        bad = np.bincount(at, weights=flags, minlength=len(key))
-        good = np.bincount(at, weights=1 - flags, minlength=len(key))
-        return pd.DataFrame({"pair": key, "bad": bad > 0, "good": good > 0})
-
-    keys, toxic, size = [], [], 0
+    """Different bigrams: the word, the pair, and the word's stem above one bit for each class."""
+
+    def counted(parts):
+        own, pair, stem, toxic = (np.concatenate(p) for p in zip(*parts, strict=True))
+        pair, first, at = np.unique(pair, return_index=True, return_inverse=True)
+        bad = np.bincount(at, weights=toxic, minlength=len(pair)) > 0
+        good = np.bincount(at, weights=1 - toxic, minlength=len(pair)) > 0
+        return pd.DataFrame({"own": own[first].view(np.int64), "pair": pair.view(np.int64), "info": stem[first] << 2 | bad << 1 | good})
+
+    parts, size = [], 0
     for frame in frames:
         labels = frame["toxic"].to_numpy()
         for first, texts in chunks(frame["text"]):
             words = Words(texts, wordlike=_WORDLIKE)
-            before, own = _bigrams(words)
-            keys.append((((before << WORD_BITS) | own) << STEM_BITS) | _stem_ids(words))
-            toxic.append(np.repeat(labels[first : first + len(texts)], np.diff(words.first)).astype(np.int8))
+            own = words.hash
+            toxic = np.repeat(labels[first : first + len(texts)], np.diff(words.first)).astype(np.int8)
+            parts.append((own, _pairs(words, own), _stem_ids(words), toxic))
             size += len(own)
-            if size > 3_000_000:
-                yield counted(keys, toxic)
-                keys, toxic, size = [], [], 0
+            if size > 1_500_000:
+                yield counted(parts)
+                parts, size = [], 0
     if size:
-        yield counted(keys, toxic)
+        yield counted(parts)
 
 
-def _bounded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Continuation counts by word bucket over some of the different bigrams, and the word's stem."""
-    counts = np.zeros((2, 1 << WORD_BITS), np.int64)
-    stems = np.zeros(1 << WORD_BITS, np.int32)
-    for frame in frames:
-        key = frame["pair"].to_numpy()
-        own = key >> STEM_BITS & ((1 << WORD_BITS) - 1)
-        np.maximum.at(stems, own, (key & ((1 << STEM_BITS) - 1)).astype(np.int32))
-        for c, name in enumerate(("bad", "good")):
-            counts[c] += np.bincount(own, weights=frame[name].to_numpy(), minlength=counts.shape[1]).astype(np.int64)
-    at = np.flatnonzero(counts.any(axis=0))
-    for start in range(0, len(at), 50_000):
-        part = at[start : start + 50_000]
-        yield pd.DataFrame({"bucket": part, "stem": stems[part], "bad": counts[0][part], "good": counts[1][part]})
-
-
-def _shares(counts: np.ndarray) -> np.ndarray:
-    """A class distribution over items: discounted counts, the rest by shared counts."""
-    shared = counts.sum(axis=0) + 0.5
-    shared = shared / shared.sum()
-    total = counts.sum(axis=1, keepdims=True)
-    rest = np.minimum(counts, DISCOUNT).sum(axis=1, keepdims=True)
-    return np.where(total > 0, (np.maximum(counts - DISCOUNT, 0) + rest * shared) / np.maximum(total, 1), shared)
+def _over(count):
+    return F.greatest(count - F.lit(DISCOUNT), F.lit(0))
+
+
+def _word_table(known: DataFrame) -> DataFrame:
+    """``own, stem, bad, good``: each word's continuation counts and its own stem."""
+    pairs = known.select("text", "toxic").mapInPandas(_count_bigrams, "own long, pair long, info long")
+    pairs = pairs.groupBy("own", "pair").agg(F.bit_or("info").alias("info"))
+    info = F.col("info")
+    return pairs.groupBy("own").agg(
+        F.max(F.shiftright(info, 2)).alias("stem"),
+        F.sum(F.shiftright(info, 1).bitwiseAND(F.lit(1))).alias("bad"),
+        F.sum(info.bitwiseAND(F.lit(1))).alias("good"),
+    )
+
+
+def _differences(table: DataFrame) -> Model:
+    """The model of a written word table: log P(word | toxic) - log P(word | ordinary).
+
+    A class distribution over stems has discounted counts and gives the rest by shared
+    counts; within a stem, words have discounted counts and the rest by shared counts.
+    """
+    names = ("bad", "good")
+    sums = [F.sum(c).alias(f"s_{c}") for c in names] + [F.sum(F.least(F.col(c), F.lit(DISCOUNT))).alias(f"l_{c}") for c in names]
+    stems = written(table.groupBy("stem").agg(*sums), "toxicity-stems")
+    ends = [F.sum(f"s_{c}").alias(f"t_{c}") for c in names] + [F.sum(F.least(F.col(f"s_{c}"), F.lit(DISCOUNT))).alias(f"r_{c}") for c in names]
+    t = stems.agg(F.count(F.lit(1)).alias("n"), *ends).first().asDict()
+    total, rest = [t[f"t_{c}"] or 0 for c in names], [t[f"r_{c}"] or 0 for c in names]
+    every = F.col("s_bad") + F.col("s_good")
+    shared = (every + 0.5) / (sum(total) + 0.5 * (t["n"] + 1))
+    # What only the stem decides: its share of the class, and in it the weight of the backoff.
+    share = [(_over(F.col(f"s_{c}")) + rest[k] * shared) / total[k] if total[k] else shared for k, c in enumerate(names)]
+    left = [F.when(F.col(f"s_{c}") > 0, F.col(f"l_{c}") / F.col(f"s_{c}")).otherwise(1.0) for c in names]
+    stems = stems.where((F.col("s_bad") > DISCOUNT) | (F.col("s_good") > DISCOUNT))
+    by_stem = F.log(share[0] * left[0]) - F.log(share[1] * left[1])
+    choice = (F.col("bad") + F.col("good") + 0.5) / (every + 1)
+    inside = [_over(F.col(c)) / F.greatest(F.col(f"s_{c}"), F.lit(1)) + left[k] * choice for k, c in enumerate(names)]
+    by_word = F.log(share[0] * inside[0]) - F.log(share[1] * inside[1])
+    often = table.where((F.col("bad") > DISCOUNT) | (F.col("good") > DISCOUNT)).join(stems, "stem")
+    words = written(often.select(F.col("own").alias("key"), by_word.cast("float").alias("diff")), "toxicity-words")
+    own = [np.log(rest[k] / total[k]) if total[k] else 0.0 for k in range(2)]
+    return Model(words.toArrow(), stems.select(F.col("stem").alias("key"), by_stem.cast("float").alias("diff")).toArrow(), own[0] - own[1])
 
 
 class Model:
-    """Bounded Kneser-Ney tables of both classes, ready for look-ups."""
-
-    def __init__(self, table):
-        """``table``: the bounded rows as an Arrow table."""
-        word = np.zeros((2, 1 << WORD_BITS), np.float32)
-        stem = np.zeros(1 << WORD_BITS, np.int32)
-        at = table["bucket"].to_numpy()
-        stem[at] = table["stem"].to_numpy()
-        for c, name in enumerate(("bad", "good")):
-            word[c][at] = table[name].to_numpy()
-        stems = np.stack([np.bincount(stem, weights=k, minlength=1 << STEM_BITS) for k in word])
-        left = np.stack([np.bincount(stem, weights=np.minimum(k, DISCOUNT), minlength=1 << STEM_BITS) for k in word])
-        self.stem = _shares(stems).astype(np.float32)
-        # Within a stem: discounted word counts over the stem's, and the backoff's weight.
-        seen = np.maximum(stems, 1)
-        self.word = (np.maximum(word - DISCOUNT, 0) / seen[:, stem]).astype(np.float32)
-        self.left = np.where(stems > 0, left / seen, 1.0).astype(np.float32)
-        every = word.sum(axis=0)
-        self.shared = ((every + 0.5) / (stems.sum(axis=0)[stem] + 1)).astype(np.float32)
+    """The differences of frequent words, of frequent stems and of all others, ready for look-ups."""
+
+    def __init__(self, words, stems, other: float):
+        """``words``, ``stems``: Arrow tables of ``key, diff``."""
+        self.words, self.stems = (self._sorted(t) for t in (words, stems))
+        self.other = other
         self.weights = np.zeros(0)
 
+    @staticmethod
+    def _sorted(table) -> tuple[np.ndarray, np.ndarray]:
+        key = table["key"].to_numpy()
+        order = np.argsort(key)
+        return key[order], table["diff"].to_numpy()[order]
+
+    @staticmethod
+    def _looked_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+        """The keys' differences, NaN for those that the table does not hold."""
+        known, diff = table
+        if not len(known):
+            return np.full(len(keys), np.nan, np.float32)
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[at] == keys, diff[at], np.float32(np.nan))
+
     def differences(self, words: Words) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary) of each word."""
-        own, stem = _word_ids(words), _stem_ids(words)
-        bad, good = (self.stem[c][stem] * (self.word[c][own] + self.left[c][stem] * self.shared[own]) for c in range(2))
-        return np.log(bad) - np.log(good)
+        out = self._looked_up(self.words, words.hash.view(np.int64))
+        rare = np.flatnonzero(np.isnan(out))
+        by_stem = self._looked_up(self.stems, _stem_ids(words, rare))
+        out[rare] = np.where(np.isnan(by_stem), np.float32(self.other), by_stem)
+        return out
 
 
 def features(model: Model, texts: list[bytes]) -> np.ndarray:
@@ -201,12 +220,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit both models and the calibration; without training labels every score is the prior 0.1."""
     known = labelled(docs, labels, "toxic").withColumn("__fold", fold("doc_id", 5))
-    pairs = known.where("__fold in (1, 2, 3)").select("text", "toxic")
-    pairs = pairs.mapInPandas(_count_bigrams, "pair long, bad boolean, good boolean")
-    pairs = pairs.groupBy("pair").agg(F.max("bad").alias("bad"), F.max("good").alias("good"))
-    table = pairs.mapInPandas(_bounded, "bucket int, stem int, bad long, good long").groupBy("bucket")
-    sums = [F.sum(c).cast("int").alias(c) for c in ("bad", "good")]
-    model = Model(written(table.agg(F.max("stem").alias("stem"), *sums), "toxicity-counts").toArrow())
+    model = _differences(written(_word_table(known.where("__fold in (1, 2, 3)")), "toxicity-counts"))
 
     calibrate = known.where("__fold = 4")
     total = calibrate.count()

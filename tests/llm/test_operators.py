@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -247,6 +248,24 @@ def test_scores_on_held_out_rows(spark, kind):
     assert flat.select("__p").distinct().count() == 1
 
 
+def test_words_of_one_bucket_keep_their_own_evidence(spark):
+    many = [f"q{i:05d}x" if i % 2 else f"{i:05d}zz" for i in range(6000)]
+    w = toxicity.Words([" ".join(many).encode()])
+    bucket = (w.hash >> np.uint64(45)).astype(int)
+    stem = (w.hash_of(w.start, w.prefix_end(4)) >> np.uint64(46)).astype(int)
+    order = np.argsort(bucket, kind="stable")
+    near = [tuple(sorted((i, j), key=lambda k: stem[k])) for i, j in zip(order, order[1:], strict=False) if bucket[i] == bucket[j] and stem[i] != stem[j]]
+    bad, good = (many[k] for k in near[0])
+    rng, rows, labels = random.Random(3), [], []
+    for i in range(200):
+        rows.append((i, " ".join(f"n{rng.randint(0, 400)} {bad if i % 2 else good}" for _ in range(30))))
+        labels.append((i, i % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    one, other, unseen = model.differences(toxicity.Words([f"{bad} {good} zzzzzz".encode()]))
+    assert one > 1 and other < -1 and abs(unseen) < 1
+
+
 def rules(text):
     out = [("email", m) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [("ip", m) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) < 256 for p in m.group().split("."))]
