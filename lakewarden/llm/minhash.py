@@ -12,7 +12,8 @@ Where a bucket's members then still lie in several components, pairs that could
 are compared block by block inside tasks, which return only links that join something:
 
 * members in the hub's component need no comparison with one another;
-* others meet them only if the hub's distance allows it (Jaccard distance is a metric);
+* others meet those of them that link with the hub itself only if the hub's distance
+  allows it (Jaccard distance is a metric), and those that chains lead to in any case;
 * no block, and so no task, holds more than about ``BLOCK`` members.
 
 Documents with equal sets are one node throughout (a 64-bit fingerprint of the set), so
@@ -193,7 +194,7 @@ def _block_of(node: str, count):
 
 def leftover_links(measured: DataFrame, roots: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """``a, b``: links (by root) among bucket mates whose components still differ."""
-    near = (percent + percent - 100) / 100 - 1e-9  # a hub similarity below it rules out all mates in the hub's component
+    near = (percent + percent - 100) / 100 - 1e-9  # a hub similarity below it rules out all mates that link with the hub itself
     known = roots.select(F.col("node"), "root")
     members = (
         measured.select("hub", "node", (F.col("both") / (F.col("n_node") + F.col("n_hub") - F.col("both"))).alias("like"))
@@ -204,13 +205,17 @@ def leftover_links(measured: DataFrame, roots: DataFrame, texts: DataFrame, word
     )
     inner = F.col("root") == F.col("hub_root")
     close = ~inner & (F.col("like") >= near)
+    # The hub's distance says nothing of members that only a chain of links joins to it.
+    direct = inner & (F.col("like") >= percent / 100 - 1e-9)
+    chained = inner & ~direct
     sizes = members.groupBy("hub").agg(
-        F.count(F.when(inner, 1)).alias("n_inner"),
+        F.count(F.when(direct, 1)).alias("n_direct"),
+        F.count(F.when(chained, 1)).alias("n_chained"),
         F.count(F.when(~inner, 1)).alias("n_outer"),
         F.count(F.when(close, 1)).alias("n_close"),
     )
-    # An outer member alone has only the hub's component to meet, and only if close.
-    sizes = sizes.where("n_outer > 1 or (n_close > 0 and n_inner > 0)")
+    # An outer member alone has only the hub's component to meet: chained members, and direct ones if close.
+    sizes = sizes.where("n_outer > 1 or (n_close > 0 and n_direct > 0) or (n_outer > 0 and n_chained > 0)")
     members = written(members.join(sizes, "hub"), "minhash-open")
     if members.isEmpty():
         return members.select(F.col("root").alias("a"), F.col("root").alias("b"))
@@ -221,24 +226,27 @@ def leftover_links(measured: DataFrame, roots: DataFrame, texts: DataFrame, word
         "hub", "node", "root", own.alias("own"), F.explode(every).alias("other"), F.lit("outer").alias("kind"), F.lit(True).alias("asks")
     )
     outer = outer.select("hub", "node", "root", "kind", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "asks")
-    asking = members.where(close & (F.col("n_inner") > 0)).select(
-        "hub",
-        "node",
-        "root",
-        F.lit("inner").alias("kind"),
-        _block_of("node", F.col("n_close")).alias("x"),
-        F.explode(F.sequence(F.lit(0), _blocks(F.col("n_inner")) - 1)).alias("y"),
-        F.lit(True).alias("asks"),
-    )
-    asked = members.where(inner & (F.col("n_close") > 0)).select(
-        "hub",
-        "node",
-        "root",
-        F.lit("inner").alias("kind"),
-        F.explode(F.sequence(F.lit(0), _blocks(F.col("n_close")) - 1)).alias("x"),
-        _block_of("node", F.col("n_inner")).alias("y"),
-        F.lit(False).alias("asks"),
-    )
+
+    def met(kind: str, who, n_who: str, mates, n_mates: str) -> list[DataFrame]:
+        """Every one of ``who`` beside every one of ``mates``, block by block."""
+        sides = [(who, n_who, n_mates, True), (mates, n_mates, n_who, False)]
+        out = []
+        for side, n_own, n_other, asks in sides:
+            at, over = ("x", "y") if asks else ("y", "x")
+            out.append(
+                members.where(side & (F.col(n_other) > 0)).select(
+                    "hub",
+                    "node",
+                    "root",
+                    F.lit(kind).alias("kind"),
+                    _block_of("node", F.col(n_own)).alias(at),
+                    F.explode(F.sequence(F.lit(0), _blocks(F.col(n_other)) - 1)).alias(over),
+                    F.lit(asks).alias("asks"),
+                )
+            )
+        return out
+
+    asked = [*met("direct", close, "n_close", direct, "n_direct"), *met("chained", ~inner, "n_outer", chained, "n_chained")]
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["asks", "node"], ascending=[False, True], ignore_index=True)
@@ -264,7 +272,9 @@ def leftover_links(measured: DataFrame, roots: DataFrame, texts: DataFrame, word
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     columns = ["hub", "node", "root", "kind", "x", "y", "asks"]
-    tasks = outer.select(columns).unionByName(asking.select(columns)).unionByName(asked.select(columns))
+    tasks = outer.select(columns)
+    for more in asked:
+        tasks = tasks.unionByName(more.select(columns))
     return tasks.join(texts, "node").groupBy("hub", "kind", "x", "y").applyInPandas(compare, "a long, b long")
 
 

@@ -68,6 +68,16 @@ def test_blocks_of_a_large_open_group_lose_no_link(spark, monkeypatch):
     test_near_duplicates_match_brute_force(spark, copies)
 
 
+def test_a_link_to_a_chained_member_of_a_far_hub_is_found(spark):
+    # Sets of 100 of consecutive words; each links (0.8) with the next one, node 3 with node 2 alone.
+    sets = [set(range(10 * k, 10 * k + 100)) for k in range(4)]
+    texts = spark.createDataFrame([(k, " ".join(f"w{i}" for i in s)) for k, s in enumerate(sets)], "node long, text string")
+    measured = spark.createDataFrame([(k, 0, len(sets[k] & sets[0]), 100, 100) for k in (1, 2, 3)], "node long, hub long, both long, n_node long, n_hub long")
+    roots = spark.createDataFrame([(0, 0), (1, 0), (2, 0)], "node long, root long")
+    got = minhash.leftover_links(measured, roots, texts, 1, 80).collect()
+    assert [{r.a, r.b} for r in got] == [{0, 3}]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     df = spark.createDataFrame(edges, "a long, b long")
