@@ -38,14 +38,15 @@ BASE_PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 
-# The generators: kind, pattern (also valid for Python's re), what a text must contain.
+# The generators: kind, pattern (also valid for Python's re), what a text must contain. A secret
+# has no greatest length: a cut match would leave its tail unredacted.
 _CUES = "password|passwd|passphrase|pwd|token|secret|api[_-]?key|apikey|auth"
 GENERATORS = (
-    ("secret", rf"(?:{_CUES})\x20?[=:]\x20?[\"']?[A-Za-z0-9+/_.$!#-]{{6,128}}", "="),
-    ("secret", rf"(?:{_CUES})\x20?:\x20?[\"']?[A-Za-z0-9+/_.$!#-]{{6,128}}", ":"),
+    ("secret", rf"(?i:{_CUES})\x20?[=:]\x20?[\"']?[A-Za-z0-9+/_.$!#-]{{6,}}+", "="),
+    ("secret", rf"(?i:{_CUES})\x20?:\x20?[\"']?[A-Za-z0-9+/_.$!#-]{{6,}}+", ":"),
     ("secret", r"(?<![A-Za-z0-9])[A-Z]{4}[A-Z0-9]{16}(?![A-Za-z0-9])", ""),
-    ("secret", r"(?<![A-Za-z0-9])(?:sk|gh[pousr])[-_][A-Za-z0-9_-]{16,64}", ""),
-    ("secret", r"(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])", "0"),
+    ("secret", r"(?<![A-Za-z0-9])(?:sk|gh[pousr])[-_][A-Za-z0-9_-]{16,}+", ""),
+    ("secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![A-Za-z0-9])", "0"),
     ("phone", r"(?<![A-Za-z0-9+.(-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z.-])", "0"),
     ("id", r"(?<![A-Za-z0-9.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", "0"),
     ("account", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "0"),
@@ -97,6 +98,12 @@ def synthetic_proposals(seed: int = 41, each: int = 60) -> tuple[np.ndarray, np.
         text = land + f"{98 - rest:02d}" + body
         return " ".join(text[i : i + 4] for i in range(0, len(text), 4)) if rng.random() < 0.5 else text
 
+    more = random.Random(seed + 1)
+    long = lambda letters, n: "".join(more.choice(letters) for _ in range(n))
+
+    def jwt() -> str:
+        return ".".join(long(lower + digits + upper + "-_", n) for n in (36, more.randint(40, 300), 43))
+
     rows, labels = [], []
 
     def add(generator: int, value: str, before: str, label: int) -> None:
@@ -132,6 +139,16 @@ def synthetic_proposals(seed: int = 41, each: int = 60) -> tuple[np.ndarray, np.
         add(7, pick(upper, 2) + pick(digits, 2) + pick(upper + digits, rng.choice([12, 16, 20])), none, 0)
         name = f"{pick(lower, 6)}{rng.choice(['(at)', ' [at] ', ' (at) '])}{pick(lower, 5)}{rng.choice(['(dot)', ' [dot] ', '.'])}com"
         add(8, name, rng.choice([cue, none]), 1)
+    # Long and upper-case secrets come last and from a generator of their own: the values above stay as they are.
+    for _ in range(each):
+        for g, mark in ((0, "="), (1, ":")):
+            name = more.choice(["PASSWORD", "Token", "SECRET", "API_KEY", "Password", "token", "secret"])
+            value = more.choice([long(hexa, 128), long(lower + digits + upper, more.randint(60, 400)), long(lower + digits, 12), jwt()])
+            add(g, f"{name}{mark}{more.choice(['', ' '])}{value}", more.choice(plain), 1)
+            add(g, f"{name}{mark} {long(lower, more.randint(6, 9))}", more.choice(plain), 0)
+        add(3, more.choice(["sk-", "ghp_"]) + long(lower + digits + upper, more.randint(60, 200)), more.choice([*cues, *plain]), 1)
+        add(4, more.choice([long(hexa, 96), long(hexa, 128), long(hexa.upper(), 40), long(hexa.upper(), 64), long(hexa.upper(), 128)]), more.choice([*cues, *plain]), 1)
+        add(4, long(digits, more.choice([64, 128])), more.choice(plain), 0)
         add(8, f"{pick(lower, 3)} (at) {pick(digits, 2)}.{pick(lower, 3)}", none, 0)
     return np.array(rows), np.array(labels, float)
 

@@ -306,6 +306,17 @@ def test_selected_proposals(spark):
     assert rows[3] == ["DE89 3704 0044 0532 0130 00"] and rows[4] == rows[5] == rows[6] == []
 
 
+def test_secrets_are_proposed_whole_and_in_any_case(spark):
+    rng = random.Random(5)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    both = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    jwt = f"{pick(both, 36)}.{pick(both, 159)}.{pick(both, 43)}"
+    secrets = [f"token={jwt}", f"sk-{pick(both, 120)}", pick("0123456789abcdef", 128), pick("0123456789ABCDEF", 64), "API_KEY=abc123def456", "Password: abc123def456"]
+    rows = pii.find_pii(table(spark, [f"the key {x} and more" for x in secrets])).collect()
+    got = {r.doc_id: [(x.s, x.e) for x in r.extra] for r in rows}
+    assert got == {i: [(8, 8 + len(x))] for i, x in enumerate(secrets)}
+
+
 def test_media(spark, texts):
     own = [*texts, "x" * 576]
     for r in webp.read_media(webp.store_texts(table(spark, own))).collect():
