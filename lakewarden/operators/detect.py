@@ -161,11 +161,23 @@ def egress_hits(rows: DataFrame, policy: Policy, text: str, context: str = "prom
 def leaks(texts: DataFrame, table: DataFrame, text: str = "masked", least: int = 4) -> DataFrame:
     """Sensitive values that occur in any text: ``value, n_texts``.
 
-    Candidate substrings are not compared all against all: both sides are keyed by the
-    value's first token, so the join is an equi join with a final containment check.
+    Candidate substrings are not compared all against all. A value with a token between
+    separators has in every occurrence that token whole, and before it the end of the token
+    before; these (at most three characters, the separators, the token) are the key of an
+    equi join with a final containment check. Other values are compared with every text.
     """
-    token = r"[A-Za-z0-9]+"
+    token, gap = "[A-Za-z0-9]", "[^A-Za-z0-9]"
     values = table.select("value").distinct().where(F.length("value") >= least)
-    values = values.withColumn("key", F.regexp_extract("value", token, 0))
-    words = texts.select(F.col(text).alias("t"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(token), F.lit(0)))).alias("key"))
-    return words.join(values, "key").where(F.contains("t", F.col("value"))).groupBy("value").agg(F.count(F.lit(1)).alias("n_texts"))
+    key = F.regexp_extract("value", f"^{gap}*+{token}*?({token}{{1,3}}{gap}++{token}++){gap}", 1)
+    values = values.withColumn("key", key)
+    rows = texts.select(F.col(text).alias("t"))
+    # A look-ahead at every character: one key for each length of the earlier token's end.
+    found = [F.regexp_extract_all("t", F.lit(f"(?=({token}{{{n}}}{gap}++{token}++)){token}"), F.lit(1)) for n in (1, 2, 3)]
+    # Keys travel as hashes, beside the text's hash; texts meet only the values that share a key.
+    marks = F.array_distinct(F.transform(F.concat(*found), lambda k: F.xxhash64(k)))
+    words = rows.select(F.xxhash64("t").alias("id"), F.explode(marks).alias("key"))
+    wanted = values.where("key <> ''").select(F.xxhash64("key").alias("key"), "value")
+    near = words.join(wanted, "key").select("id", "value").distinct()
+    keyed = rows.withColumn("id", F.xxhash64("t")).join(near, "id").select("t", "value")
+    others = rows.join(values.where("key = ''").select("value"), F.contains("t", F.col("value"))).select("t", "value")
+    return keyed.where(F.contains("t", F.col("value"))).unionByName(others).groupBy("value").agg(F.count(F.lit(1)).alias("n_texts"))

@@ -125,6 +125,15 @@ def test_masked_text_has_no_vault_value_and_no_hits(spark):
     assert detect.leaks(out, table).count() == 0
 
 
+def test_leaks_are_found_inside_longer_tokens(spark):
+    values = ["john@x.com", "a@x.com", "+49 170 1234", "plainname", "x@com", "..ab-cd..", "abc"]
+    texts = ["xjohn@x.com", "mailto7john@x.company a@x.com", "no john@y.com", "call+49 170 12345", "myplainnames", "6x@comma", "z..ab-cd..z", None, "", "john@x.com john@x.com", "abc"]
+    table = spark.createDataFrame([(v,) for v in values], "value string")
+    got = {r.value: r.n_texts for r in detect.leaks(spark.createDataFrame([(t,) for t in texts], "masked string"), table).collect()}
+    expected = {v: sum(v in (t or "") for t in texts) for v in values if len(v) >= 4}
+    assert got == {v: n for v, n in expected.items() if n}
+
+
 def test_redact_and_hash(spark):
     rows = spark.createDataFrame(TEXTS[:1], "request_id string, msg_idx int, text string")
     found = detect.detect(rows, T.policy())
