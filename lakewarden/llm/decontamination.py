@@ -9,22 +9,27 @@ item holds become separators (no window spans them), and equal texts of a shard
 are indexed once.
 
 Nothing is shuffled. The benchmark reaches the tasks as broadcast blocks of at most
-``block_bytes`` of text; a larger one takes more passes, each with its own block.
+``block_bytes`` of text; a larger one takes more passes, each with its own block and
+written before the next.
 """
 
 from __future__ import annotations
 
+import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+
+from lakewarden.llm.shared import absent, appended, quoted, written
 
 WINDOW = 10
 SAMPLE = 16
 SHARD_BYTES = 4 << 20
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 #: Lower-cases A-Z and turns every byte outside ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]`` to a blank.
 _FOLD = bytes(
@@ -32,30 +37,58 @@ _FOLD = bytes(
 )
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return [] if text is None else text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
+def words_of(text: str | bytes | None) -> list[bytes]:
+    data = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
+    return data.translate(_FOLD).split()
 
 
 class Phrases:
-    """Windows of benchmark items over a vocabulary of their words (symbols from 2 on)."""
+    """The different windows of benchmark items over a vocabulary of their words (symbols from 2 on).
+
+    Item texts are held once, as symbols one after the other; a window is a start and a
+    length in them. Equal windows are searched once: ``owners`` lists the items of each.
+    """
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
         self.ids: list[str] = []
         self.vocab: dict[bytes, int] = {}
-        rows: dict[int, tuple[list, list]] = {}
+        codes = array("i")
+        start, size, owner = array("q"), array("i"), array("i")
         for item, text in items:
             words = words_of(text)
             if not words:
                 continue
-            own = len(self.ids)
+            first, n = len(codes), min(window, len(words))
+            codes.extend(self.vocab.setdefault(w, len(self.vocab) + 2) for w in words)
+            count = len(words) - n + 1
+            start.extend(range(first, first + count))
+            size.extend([n] * count)
+            owner.extend([len(self.ids)] * count)
             self.ids.append("" if item is None else str(item))
-            codes = [self.vocab.setdefault(w, len(self.vocab) + 2) for w in words]
-            size = min(window, len(codes))
-            held, owners = rows.setdefault(size, ([], []))
-            for at in range(len(codes) - size + 1):
-                held.append(codes[at : at + size])
-                owners.append(own)
-        self.windows = [(np.array(w, np.int64).reshape(len(w), size), np.array(o)) for size, (w, o) in rows.items()]
+        self.codes = np.array(codes, np.int32)
+        starts, sizes, owners = np.array(start, np.int64), np.array(size, np.int32), np.array(owner, np.int32)
+        # By length: starts of the different windows, and their items as runs of ``owners``.
+        self.windows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        for n in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == n)
+            first, place = self._different(starts[own], n)
+            pairs = np.unique(place.astype(np.int64) * max(1, len(self.ids)) + owners[own])
+            held = pairs // max(1, len(self.ids))
+            bounds = np.searchsorted(held, np.arange(len(first) + 1))
+            self.windows.append((n, starts[own][first], bounds, (pairs % max(1, len(self.ids))).astype(np.int32)))
+
+    def _different(self, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the first of each different window, and each window's number among them (exact, by doubling ranks)."""
+        rank = self.codes[starts].astype(np.int64)
+        for k in range(1, size):
+            pair = rank * (len(self.vocab) + 2) + self.codes[starts + k]
+            rank = np.unique(pair, return_inverse=True)[1]
+        _, first, place = np.unique(rank, return_index=True, return_inverse=True)
+        return first, place
+
+    def symbols(self, starts: np.ndarray, offset: int) -> np.ndarray:
+        """The windows' symbols at ``offset``."""
+        return self.codes[starts + offset]
 
 
 def suffix_array(symbols: np.ndarray, bits: int) -> np.ndarray:
@@ -125,13 +158,13 @@ class FMIndex:
         """Rows before ``at`` whose suffix follows ``symbol``, as rows of the longer suffix."""
         return self.before[symbol] + self._descend(symbol, at) - self.base[symbol]
 
-    def search(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search(self, phrases: Phrases, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(window, low, high)`` of the windows that occur; their rows are low..high-1."""
-        own = np.arange(len(windows))
-        low = np.zeros(len(windows), np.int64)
-        high = np.full(len(windows), len(self.bwt), np.int64)
-        for column in range(windows.shape[1] - 1, -1, -1):
-            symbol = windows[own, column]
+        own = np.arange(len(starts))
+        low = np.zeros(len(starts), np.int64)
+        high = np.full(len(starts), len(self.bwt), np.int64)
+        for offset in range(size - 1, -1, -1):
+            symbol = phrases.symbols(starts[own], offset)
             low, high = self.step(symbol, low), self.step(symbol, high)
             live = low < high
             own, low, high = own[live], low[live], high[live]
@@ -149,9 +182,14 @@ class FMIndex:
         return place
 
 
-def find_in_shard(texts: list[str | None], phrases: Phrases) -> list[tuple[int, list[tuple[int, int]], list[int]]]:
+def _ranges(low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``low[i], ..., low[i] + size[i] - 1`` one after the other."""
+    return np.repeat(low - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+
+
+def find_in_shard(texts: list[str | bytes | None], phrases: Phrases) -> list[tuple[int, list[tuple[int, int]], list[int]]]:
     """Of every text: its words, merged spans of hit words, and the items (by number) that hit."""
-    split: dict[str | None, int] = {}
+    split: dict[str | bytes | None, int] = {}
     codes, counts = [], []
     get = phrases.vocab.get
     for text in texts:
@@ -173,17 +211,20 @@ def find_in_shard(texts: list[str | None], phrases: Phrases) -> list[tuple[int,
         index = FMIndex(symbols[origin], len(phrases.vocab) + 2)
         cover = np.zeros(len(symbols) + 1, np.int64)
         pairs = []
-        for windows, owners in phrases.windows:
-            own, low, high = index.search(windows)
+        for length, starts, bounds, owners in phrases.windows:
+            own, low, high = index.search(phrases, starts, length)
             if not len(own):
                 continue
             size = high - low
-            rows = np.repeat(low - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-            start = origin[index.locate(rows)]
+            start = origin[index.locate(_ranges(low, size))]
             np.add.at(cover, start, 1)
-            np.add.at(cover, start + windows.shape[1], -1)
+            np.add.at(cover, start + length, -1)
+            # Which windows a text holds, once each, and only then whose they are.
             text = np.searchsorted(first, start, side="right") - 1
-            pairs.append(np.unique(text * len(phrases.ids) + owners[np.repeat(own, size)]))
+            held = np.unique(text * len(starts) + np.repeat(own, size))
+            text, window = held // len(starts), held % len(starts)
+            many = bounds[window + 1] - bounds[window]
+            pairs.append(np.unique(np.repeat(text, many) * len(phrases.ids) + owners[_ranges(bounds[window], many)]))
         if pairs:
             hit = np.concatenate(([False], np.cumsum(cover) > 0, [False]))
             edges = np.flatnonzero(hit[1:] != hit[:-1])
@@ -206,22 +247,17 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in merged]
 
 
-def _shards(frames: Iterator[pd.DataFrame], text: str, limit: int) -> Iterator[pd.DataFrame]:
-    held, size = [], 0
-    for frame in frames:
-        sizes = frame[text].map(lambda t: len(t) if t is not None else 0).to_numpy().cumsum()
-        start = 0
-        while start < len(frame):
-            room = limit - size + (sizes[start - 1] if start else 0)
-            stop = max(start + (not size), int(np.searchsorted(sizes, room, side="right")))
-            held.append(frame.iloc[start:stop])
-            size += int(sizes[stop - 1] - (sizes[start - 1] if start else 0)) if stop > start else 0
-            if stop < len(frame):
-                yield pd.concat(held, ignore_index=True)
-                held, size = [], 0
-            start = stop
-    if held:
-        yield pd.concat(held, ignore_index=True)
+def _shards(texts: list, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs ``(first, last)`` of texts with at most about ``limit`` bytes, one text at least."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        own = len(text or b"")
+        if i > start and size + own > limit:
+            yield start, i
+            start, size = i, 0
+        size += own
+    if start < len(texts):
+        yield start, len(texts)
 
 
 def _blocks(benchmark: DataFrame, item_column: str, text_column: str, block_bytes: int) -> Iterator[list]:
@@ -237,7 +273,7 @@ def _blocks(benchmark: DataFrame, item_column: str, text_column: str, block_byte
         yield held
 
 
-_HITS = "__words long, __spans array<struct<a:int,b:int>>, __items array<string>"
+_SPANS = ArrayType(StructType([StructField("a", IntegerType()), StructField("b", IntegerType())]))
 
 
 def mark_contaminated(
@@ -249,66 +285,74 @@ def mark_contaminated(
     window: int = WINDOW,
     shard_bytes: int = SHARD_BYTES,
     block_bytes: int = BLOCK_BYTES,
+    names: tuple[str, str, str] = ("words", "spans", "items"),
 ) -> DataFrame:
-    """``docs`` with ``__words, __spans, __items`` added: word count, merged hit spans, item ids.
+    """``docs`` with three columns added: word count, merged hit spans, and the ids of the items that hit.
 
     A text that is null has no words; an item without words occurs nowhere. Equal
-    item ids count once. Rows keep their number and other columns, whatever their
-    names; an empty benchmark marks nothing.
+    item ids count once. Rows and other columns stay as they are; a column that is already
+    called as one of ``names`` is replaced. An empty benchmark marks nothing, an empty table
+    has an empty result. A benchmark of several blocks takes a written pass for each.
     """
     spark = docs.sparkSession
-    names = docs.columns
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [_HITS])
-    empty = F.array().cast("array<struct<a:int,b:int>>")
-    out = docs.withColumns({"__words": F.lit(0).cast("long"), "__spans": empty, "__items": F.array().cast("array<string>")})
-    blocks = _blocks(benchmark, item_column, item_text_column, block_bytes)
-    passes = 0
-    for block in blocks:
+    docs = docs.drop(*names)
+    fields = [StructField(n, t) for n, t in zip(names, (LongType(), _SPANS, ArrayType(StringType())), strict=True)]
+    shared = None
+    for block in _blocks(benchmark, item_column, item_text_column, block_bytes):
+        if shared is not None:
+            docs = written(_one_pass(docs, shared, text_column, fields, shard_bytes), "decontamination-pass")
         shared = spark.sparkContext.broadcast(Phrases(block, window))
-        passes += 1
-
-        def scan(frames, shared=shared):
-            phrases = shared.value
-            for shard in _shards(frames, text_column, shard_bytes):
-                found = find_in_shard(shard[text_column].tolist(), phrases)
-                shard["__words"] = [n for n, _, _ in found]
-                shard["__spans"] = [
-                    [{"a": a, "b": b} for a, b in merge_spans([(s["a"], s["b"]) for s in old] + new)] if len(old) or new else []
-                    for old, (_, new, _) in zip(shard["__spans"], found, strict=True)
-                ]
-                shard["__items"] = [
-                    sorted({*old, *(phrases.ids[i] for i in own)}) for old, (_, _, own) in zip(shard["__items"], found, strict=True)
-                ]
-                yield shard
-
-        out = out.mapInPandas(scan, schema)
-    if not passes:
-
-        def count(frames):
-            for frame in frames:
-                frame["__words"] = [len(words_of(t)) for t in frame[text_column]]
-                yield frame
-
-        out = out.mapInPandas(count, schema)
-    return out.select(*[F.col(f"`{n}`") for n in names], "__words", "__spans", "__items")
+    return _one_pass(docs, shared or spark.sparkContext.broadcast(Phrases([], window)), text_column, fields, shard_bytes)
+
+
+def _one_pass(docs: DataFrame, shared, text_column: str, fields: list[StructField], shard_bytes: int) -> DataFrame:
+    """Adds ``fields`` by one block of phrases, to what an earlier pass has found."""
+    names = [f.name for f in fields]
+    before = names[0] in docs.columns
+    if before:
+        old = [absent(docs, f"__old_{i}") for i in range(2)]
+        docs = docs.select(
+            *[F.col(quoted(c)) for c in docs.columns if c not in names],
+            F.to_json(names[1]).alias(old[0]),
+            F.to_json(names[2]).alias(old[1]),
+        )
+
+    def make():
+        phrases = shared.value
+
+        def compute(texts, *earlier):
+            found = [row for a, b in _shards(texts, shard_bytes) for row in find_in_shard(texts[a:b], phrases)]
+            spans = [list(own) for _, own, _ in found]
+            items = [{phrases.ids[i] for i in own} for _, _, own in found]
+            if earlier:
+                for i, (old_spans, old_items) in enumerate(zip(*earlier, strict=True)):
+                    spans[i] += [(s["a"], s["b"]) for s in json.loads(old_spans)]
+                    items[i].update(json.loads(old_items))
+            return [n for n, _, _ in found], [[{"a": a, "b": b} for a, b in merge_spans(s)] for s in spans], [sorted(i) for i in items]
+
+        return compute
+
+    marked = appended(docs, [text_column, *(old if before else [])], fields, make)
+    return marked.drop(*old) if before else marked
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without a hit, all columns as they were."""
-    marked = mark_contaminated(docs, benchmark, **options)
-    return marked.where(F.size("__spans") == 0).drop("__words", "__spans", "__items")
+    names = tuple(absent(docs, n) for n in ("__words", "__spans", "__items"))
+    marked = mark_contaminated(docs, benchmark, names=names, **options)
+    return marked.where(F.size(names[1]) == 0).drop(*names)
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     marked = mark_contaminated(docs, benchmark)
-    hits = F.aggregate("__spans", F.lit(0).cast("long"), lambda total, s: total + s["b"] - s["a"])
+    hits = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["b"] - s["a"])
     return marked.select(
         "doc_id",
-        F.col("__words").alias("n_words"),
+        F.col("words").alias("n_words"),
         hits.alias("n_hit"),
-        F.size("__items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "__items"), 256).alias("items_sha256"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         (hits > 0).alias("contaminated"),
     )

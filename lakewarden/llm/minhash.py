@@ -16,8 +16,9 @@ are compared block by block inside tasks, which return only links that join some
   allows it (Jaccard distance is a metric), and those that chains lead to in any case;
 * no block, and so no task, holds more than about ``BLOCK`` members.
 
-Documents with equal sets are one node throughout (a 64-bit fingerprint of the set), so
-copies cost a small row each. Components come from repeated contraction, each round a
+Documents with equal sets are one node throughout (a 64-bit name of the set; a second name
+finds the few sets that share one by chance, which then get new names), so copies cost a
+small row each. Components come from repeated contraction, each round a
 table in the shared folder; the driver sees only counts.
 """
 
@@ -29,8 +30,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField
 
-from lakewarden.llm.shared import drop_written, written
+from lakewarden.llm.shared import absent, appended, drop_written, quoted, row_key, written
 from lakewarden.llm.words import Words, chunks, mix64, shingles
 
 LEFT, LEFT_HASHES = 8, 2
@@ -60,44 +62,58 @@ def _combined(hashes: np.ndarray, sketches: int, each: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def fingerprints(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def fingerprints(values: np.ndarray, bounds: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit name for each set: a scrambled sum over scrambled members and the size."""
-    sums = np.concatenate((np.zeros(1, _U), np.cumsum(mix64(values ^ _GOLD), dtype=_U)))
+    salt = mix64(np.full(1, seed, _U) + _GOLD)
+    sums = np.concatenate((np.zeros(1, _U), np.cumsum(mix64(values ^ salt), dtype=_U)))
     size = np.diff(bounds).astype(_U)
     return mix64(sums[bounds[1:]] - sums[bounds[:-1]] + size * _GOLD).view(np.int64)
 
 
-_SKETCH = "doc_id {id}, n_shingles long, node long, a array<long>, b array<long>"
+_LONGS = ArrayType(LongType())
+_SKETCH = [StructField(c, LongType()) for c in ("n_shingles", "node", "other")] + [StructField(c, _LONGS) for c in "ab"]
 
 
 def sketch(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, n_shingles, node, a, b``; a document without words has no node."""
+    """``docs`` with ``n_shingles, node, other, a, b`` in the place of ``__text``.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for first, texts in chunks(frame["__text"]):
-                values, bounds = shingles(Words(texts), words)
+    ``node`` and ``other`` are two independent names of the set; a document without words has none.
+    """
+
+    def make():
+        def compute(texts):
+            sizes, nodes, others, left, right = [], [], [], [], []
+            for _, part in chunks(texts):
+                values, bounds = shingles(Words(part), words)
                 size = np.diff(bounds)
                 full = np.flatnonzero(size)
-                out = pd.DataFrame({"doc_id": frame["doc_id"].iloc[first : first + len(texts)].to_numpy(), "n_shingles": size})
-                node = pd.array([None] * len(texts), dtype="Int64")
-                left, right = [None] * len(texts), [None] * len(texts)
+                own = [np.full(len(part), None, object) for _ in range(4)]
                 if len(full):
                     starts = np.concatenate((bounds[full], bounds[-1:]))
-                    hashes = minhashes(values, starts)
-                    cut = LEFT * LEFT_HASHES
-                    node[full] = fingerprints(values, starts)
-                    for i, x, y in zip(
-                        full.tolist(),
-                        _combined(hashes[:, :cut], LEFT, LEFT_HASHES),
-                        _combined(hashes[:, cut:], RIGHT, RIGHT_HASHES),
-                        strict=True,
-                    ):
-                        left[i], right[i] = x, y
-                out["node"], out["a"], out["b"] = node, left, right
-                yield out
-
-    return docs.mapInPandas(run, _SKETCH.format(id=docs.schema["doc_id"].dataType.simpleString()))
+                    hashes, cut = minhashes(values, starts), LEFT * LEFT_HASHES
+                    own[0][full], own[1][full] = fingerprints(values, starts), fingerprints(values, starts, 1)
+                    tables = (_combined(hashes[:, :cut], LEFT, LEFT_HASHES), _combined(hashes[:, cut:], RIGHT, RIGHT_HASHES))
+                    for column, table in zip(own[2:], tables, strict=True):
+                        for i, row in zip(full.tolist(), table, strict=True):
+                            column[i] = row
+                sizes.extend(size.tolist())
+                for column, more in zip((nodes, others, left, right), own, strict=True):
+                    column.extend(more)
+            return sizes, nodes, others, left, right
+
+        return compute
+
+    return appended(docs, ["__text"], _SKETCH, make, give_back=False)
+
+
+def told_apart(rows: DataFrame) -> DataFrame:
+    """``rows`` with new names for the nodes that two different sets share by chance (of n sets n * n / 2**65)."""
+    names = rows.where("node is not null").groupBy("node").agg(F.min("other").alias("least"), F.max("other").alias("most"))
+    shared = names.where("least <> most").select(F.col("node").alias("shared"))
+    if shared.isEmpty():
+        return rows
+    joined = rows.join(shared, F.col("node") == F.col("shared"), "left")
+    return joined.withColumn("node", F.when(F.col("shared").isNull(), F.col("node")).otherwise(F.xxhash64("node", "other"))).drop("shared")
 
 
 def _table_keys(nodes: DataFrame) -> DataFrame:
@@ -130,23 +146,33 @@ def _sets(texts, words: int) -> list[np.ndarray]:
 
 
 def confirm(edges: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """``node, hub, both, n_node, n_hub``: exact intersection and set sizes of each edge."""
+    """``node, hub, both, n_node, n_hub``: exact intersection and set sizes of each edge.
+
+    A hub's members are dealt to blocks of about ``BLOCK``, so a large group is no one task's;
+    the hub's text goes once to each block, ahead of the members' in the block's order.
+    """
+    sizes = edges.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
+    dealt = edges.join(sizes, "hub").select("node", "hub", _block_of("node", F.col("n")).alias("block"))
+    members = dealt.join(texts, "node").select("hub", "block", F.lit(1).alias("place"), "node", "text")
+    heads = sizes.join(texts.withColumnRenamed("node", "hub"), "hub").select(
+        "hub", F.explode(F.sequence(F.lit(0), _blocks(F.col("n")) - 1)).alias("block"), F.lit(0).alias("place"), F.col("hub").alias("node"), "text"
+    )
+    rows = members.unionByName(heads).repartition("hub", "block").sortWithinPartitions("hub", "block", "place")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hub, known = None, None
+        known = np.zeros(0, _U)
         for frame in frames:
-            rows = []
-            for own, name, at, text in zip(
-                _sets(frame["text"], words), frame["node"].tolist(), frame["hub"].tolist(), frame["hub_text"], strict=True
+            found = []
+            for own, name, hub, place in zip(
+                _sets(frame["text"], words), frame["node"].tolist(), frame["hub"].tolist(), frame["place"].tolist(), strict=True
             ):
-                if at != hub:  # rows come sorted by hub
-                    hub, known = at, _sets([text], words)[0]
-                place = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                rows.append((name, at, int((known[place] == own).sum()), len(own), len(known)))
-            yield pd.DataFrame(rows, columns=["node", "hub", "both", "n_node", "n_hub"])
-
-    hubs = texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text"))
-    rows = edges.join(texts, "node").join(hubs, "hub").select("node", "hub", "text", "hub_text")
+                if place == 0:
+                    known = own
+                    continue
+                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                found.append((name, hub, int((known[at] == own).sum()), len(own), len(known)))
+            yield pd.DataFrame(found, columns=["node", "hub", "both", "n_node", "n_hub"], dtype="int64")
+
     return rows.mapInPandas(run, "node long, hub long, both long, n_node long, n_hub long")
 
 
@@ -278,54 +304,79 @@ def leftover_links(measured: DataFrame, roots: DataFrame, texts: DataFrame, word
     return tasks.join(texts, "node").groupBy("hub", "kind", "x", "y").applyInPandas(compare, "a long, b long")
 
 
-def near_duplicates(
-    docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text"
-) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` per input row.
+def _placed(docs: DataFrame, words: int, percent: int, id_column: str, text_column: str) -> DataFrame:
+    """``doc_id, row, n_shingles, root`` per input row, written: rows of one root are one group; without words it is null.
 
-    Words are maximal runs without ASCII white space, A-Z lower-cased; a document with
-    fewer than ``words`` words has its whole sequence as one shingle, and one without
-    words (or null) links with nothing. Documents link where the shingle sets' Jaccard
-    similarity is at least ``percent`` in a hundred; ``component_id`` is the smallest id
-    reachable by links. Rows with equal ids stay separate rows; rows with equal sets
-    are in one component. An empty table has an empty result; other columns are not read.
+    ``row`` is a key of the row's id and text.
     """
-    own = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("__text"))
-    rows = written(sketch(own, words), "minhash-sketches")
+    key = row_key(F.col(quoted(id_column)), F.col(quoted(text_column)))
+    own = docs.select(F.col(quoted(id_column)).alias("doc_id"), key.alias("row"), F.col(quoted(text_column)).alias("__text"))
+    rows = told_apart(written(sketch(own, words), "minhash-sketches"))
     nodes = rows.where("node is not null").dropDuplicates(["node"]).select("node", "a", "b")
     edges = hub_edges(nodes)
     wanted = edges.select("node").union(edges.select(F.col("hub").alias("node"))).distinct()
-    first = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node")
-
-    def checked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Repeated ids may bring other texts along: keep those that make the node's set.
-        for frame in frames:
-            parts = [np.zeros(0, np.int64)]
-            for _, texts in chunks(frame["text"]):
-                values, bounds = shingles(Words(texts), words)
-                parts.append(fingerprints(values, bounds))
-            yield frame[np.concatenate(parts) == frame["node"].to_numpy()]
-
-    texts = own.join(first, "doc_id").select("node", F.col("__text").alias("text"))
-    texts = texts.mapInPandas(checked, "node long, text string").dropDuplicates(["node"])
-    texts = written(texts, "minhash-texts")
+    first = rows.groupBy("node").agg(F.min("row").alias("row")).join(wanted, "node")
+    texts = own.join(first, "row").select("node", F.col("__text").alias("text"))
+    texts = written(texts.dropDuplicates(["node"]), "minhash-texts")
 
     measured = written(confirm(edges, texts, words), "minhash-measured")
     linked = 100 * F.col("both") >= percent * (F.col("n_node") + F.col("n_hub") - F.col("both"))
     roots = components(measured.where(linked).select(F.col("node").alias("a"), F.col("hub").alias("b")))
     more = written(leftover_links(measured, roots, texts, words, percent), "minhash-more")
+    drop_written(texts)
     above = components(more)
     step = above.select(F.col("node").alias("root"), F.col("root").alias("top"))
     # A node without links of its own may still be named by a leftover link.
     named = roots.join(step, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     alone = above.join(roots, "node", "left_anti").select("node", "root")
     final = named.unionByName(alone).dropDuplicates(["node"])
+    placed = rows.select("doc_id", "row", "n_shingles", "node").join(final, "node", "left")
+    return written(placed.withColumn("root", F.coalesce("root", "node")).drop("node"), "minhash-placed")
+
+
+def near_duplicates(
+    docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` per input row.
+
+    Words are maximal runs without ASCII white space, A-Z lower-cased; a document with
+    fewer than ``words`` words has its whole sequence as one shingle, and one without
+    words (or null) links with nothing. Documents link where the shingle sets' Jaccard
+    similarity is at least ``percent`` in a hundred; ``component_id`` is the smallest id
+    reachable by links, null only where all ids of the component are. ``kept`` says that the
+    id is the component's, so rows that repeat that id (or lack one alike) are all kept here;
+    ``one_of_each_group`` keeps one row. Rows with equal sets are in one component. An
+    empty table has an empty result; other columns are not read.
+    """
+    placed = _placed(docs, words, percent, id_column, text_column).drop("row")
+    smallest = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.lit(True).alias("grouped"))
+    out = placed.join(smallest, "root", "left")
+    out = out.withColumn("component_id", F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
-    placed = rows.select("doc_id", "n_shingles", "node").join(final, "node", "left")
-    placed = written(placed.withColumn("root", F.coalesce("root", "node")).drop("node"), "minhash-placed")
-    smallest = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = placed.join(smallest, "root", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+def one_of_each_group(
+    docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, all its columns as they were.
+
+    It is the row of the smallest id (null ids last; ties by a key of the text); of rows
+    equal in id and text any one. Rows without words are in no group and all stay.
+    """
+    placed = _placed(docs, words, percent, id_column, text_column).where("root is not null")
+    keys = written(placed.groupBy("root", "row").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")), "minhash-rows")
+    first = keys.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    chosen = keys.join(first, "root").withColumn("kept", F.col("first.row") == F.col("row"))
+    chosen = written(chosen.select("row", "n", "kept"), "minhash-chosen")
+    key = absent(docs, "__row")
+    keyed = docs.withColumn(key, row_key(F.col(quoted(id_column)), F.col(quoted(text_column))))
+    renamed = chosen.withColumnRenamed("row", key)
+    # Whatever is not removed stays, so the smaller table is joined.
+    again = renamed.where("kept and n > 1").select(key)
+    out = keyed.join(renamed.where("not kept or n > 1").select(key), key, "left_anti")
+    if not again.isEmpty():
+        out = out.unionByName(keyed.join(again, key, "left_semi").dropDuplicates([key]))
+    return out.select([quoted(c) for c in docs.columns])
 
 
 def op3_minhash(spark, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@
 Each document has a fixed uniform hash. Per source, tokens are summed by the
 leading hash digits; the bucket in which the running sum crosses the budget is
 found, and only that boundary bucket is summed again by the next digits. After
-the last level the threshold is exact to one hash value, so the taken tokens
-come within half a document of the budget. Documents are chosen by comparing their
+the last level the threshold is exact to one hash value, so the taken tokens come within
+half a document of the budget (half of what one hash value holds: rows that repeat an id,
+or lack one and repeat a text, share a hash and go together). Documents are chosen by comparing their
 hash with the threshold: nothing sorts documents, and thresholds are nested, so
 a larger budget only adds documents.
 
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakewarden.llm.shared import written
+from lakewarden.llm.shared import absent, quoted, written
 
 #: Hex digits of the hash at each refinement level (12 digits, 48 bits in all).
 LEVELS = (4, 4, 4)
@@ -29,9 +30,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def doc_hash(seed: int, key: Column) -> Column:
-    """48 uniform bits from md5, the same in any SQL engine."""
-    text = F.concat_ws(":", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit("")))
+def doc_hash(seed: int, key: Column, content: Column) -> Column:
+    """48 uniform bits from md5, the same in any SQL engine; rows without an id are told apart by their text."""
+    own = F.coalesce(key.cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(content, F.lit("")))))
+    text = F.concat_ws(":", F.lit(str(seed)), own)
     return F.conv(F.substring(F.md5(text), 1, sum(LEVELS)), 16, 10).cast("long")
 
 
@@ -89,27 +91,18 @@ def _boundary(docs: DataFrame, budgets: DataFrame, shift: int) -> DataFrame:
     )
 
 
-def mix(
-    docs: DataFrame,
-    seed: int = 29,
-    cap: int = 3,
-    id_column: str = "doc_id",
-    source_column: str = "source",
-    text_column: str = "text",
-) -> DataFrame:
-    """``doc_id, size, source_size, target, copies`` per input row.
+def _planned(docs: DataFrame, seed: int, cap: int, id_column: str, source_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
+    """Sizes ``doc_id, __source, size, __h`` of all rows, and each source's plan, both written.
 
-    Sources by code point, null last, weigh 1, 2, 3, repeating. Null texts have
-    size 0. Rows with equal ids have equal hashes and so stay or go together; a
-    source of size 0 has target 0 and takes none of its documents. An empty table
-    gives an empty result. Other columns are not read.
+    Plan: ``__s, source_size, target``, whole copies of every row (``__whole``), and the hash under
+    which rows are taken once more (``__theta``, null for all) where ``__left`` is above 0.
     """
     sized = written(
         docs.select(
-            F.col(id_column).alias("doc_id"),
-            F.col(source_column).alias("__source"),
-            word_count(F.col(text_column)).alias("size"),
-            doc_hash(seed, F.col(id_column)).alias("__h"),
+            F.col(quoted(id_column)).alias("doc_id"),
+            F.col(quoted(source_column)).alias("__source"),
+            word_count(F.col(quoted(text_column))).alias("size"),
+            doc_hash(seed, F.col(quoted(id_column)), F.col(quoted(text_column))).alias("__h"),
         ),
         "mix-sizes",
     )
@@ -137,22 +130,66 @@ def mix(
         within = (F.col("__h") >= F.col("__low")) & (F.col("__h") < F.col("__high"))
         inside = inside.join(_sized(edge), F.col("__source").eqNullSafe(F.col("__e")) & within)
         inside = inside.select("__source", "__h", "size")
-    plan = written(
-        sources.join(theta, F.col("__s").eqNullSafe(F.col("__t")), "left").select(
-            "__s", F.col("__size").alias("source_size"), "target", "__whole", "__theta", "__left"
-        ),
-        "mix-plan",
+    plan = sources.join(theta, F.col("__s").eqNullSafe(F.col("__t")), "left").select(
+        "__s", F.col("__size").alias("source_size"), "target", "__whole", "__theta", "__left"
     )
-    chosen = F.when(F.col("__left") > 0, F.coalesce(F.col("__h") < F.col("__theta"), F.lit(True))).otherwise(False)
+    return sized, written(plan, "mix-plan")
+
+
+def _copies(h: Column, theta: Column, whole: Column, left: Column) -> Column:
+    chosen = F.when(left > 0, F.coalesce(h < theta, F.lit(True))).otherwise(False)
+    return (whole + chosen.cast("long")).cast("long")
+
+
+def mix(
+    docs: DataFrame,
+    seed: int = 29,
+    cap: int = 3,
+    id_column: str = "doc_id",
+    source_column: str = "source",
+    text_column: str = "text",
+) -> DataFrame:
+    """``doc_id, size, source_size, target, copies`` per input row.
+
+    Sources by code point, null last, weigh 1, 2, 3, repeating. Null texts have
+    size 0. Rows with equal ids (or none and equal texts) have equal hashes and so stay or
+    go together; a source of size 0 has target 0 and takes none of its documents. An
+    empty table gives an empty result. Other columns are not read.
+    """
+    sized, plan = _planned(docs, seed, cap, id_column, source_column, text_column)
     return sized.join(_sized(plan), F.col("__source").eqNullSafe(F.col("__s"))).select(
         "doc_id",
         "size",
         "source_size",
         "target",
-        (F.col("__whole") + chosen.cast("long")).cast("long").alias("copies"),
+        _copies(F.col("__h"), F.col("__theta"), F.col("__whole"), F.col("__left")).alias("copies"),
     )
 
 
+def mixed(
+    docs: DataFrame,
+    seed: int = 29,
+    cap: int = 3,
+    id_column: str = "doc_id",
+    source_column: str = "source",
+    text_column: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` as often as ``mix`` takes them, all columns as they were.
+
+    Every row is decided by its own source and hash, so repeated ids and ids that are null cost no row.
+    """
+    _, plan = _planned(docs, seed, cap, id_column, source_column, text_column)
+    names = {c: absent(docs, f"__mix{c}") for c in ("__s", "__theta", "__whole", "__left", "__h", "__n")}
+    plan = plan.select(*[F.col(c).alias(names[c]) for c in ("__s", "__theta", "__whole", "__left")])
+    col = {c: F.col(n) for c, n in names.items()}
+    hashed = docs.withColumn(names["__h"], doc_hash(seed, F.col(quoted(id_column)), F.col(quoted(text_column))))
+    taken = hashed.join(_sized(plan), F.col(quoted(source_column)).eqNullSafe(col["__s"]))
+    taken = taken.withColumn(names["__n"], _copies(col["__h"], col["__theta"], col["__whole"], col["__left"])).where(col["__n"] > 0)
+    own = [F.col(quoted(c)) for c in docs.columns]
+    repeated = taken.select(*own, F.explode(F.sequence(F.lit(1), col["__n"].cast("int"))).alias(names["__n"]))
+    return repeated.select(*own)
+
+
 def _narrow(theta: DataFrame, finer: DataFrame) -> DataFrame:
     """Thresholds after one more level; a source that the finer level lacks keeps its own."""
     new = finer.withColumnRenamed("__t", "__u").withColumnRenamed("__theta", "__finer")

@@ -35,7 +35,7 @@ from cut
 _MIXING = r"""
 with docs as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-         ('0x' || substr(md5('29:' || coalesce(doc_id::varchar, '')), 1, 12))::bigint as h
+         ('0x' || substr(md5('29:' || coalesce(doc_id::varchar, 'text:' || md5(coalesce(text, '')))), 1, 12))::bigint as h
   from documents
 ), sources as (
   select source, sum(size)::bigint as source_size,

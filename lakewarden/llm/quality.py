@@ -17,7 +17,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField
 
+from lakewarden.llm.shared import appended
 from lakewarden.llm.toxicity import fit_logistic, fold, labelled, probability
 from lakewarden.llm.words import Words, chunks
 
@@ -151,26 +153,25 @@ def train(docs: DataFrame, labels: DataFrame) -> Discriminant:
 
     rows = sample.select("text", "quality").mapInPandas(measure, "x double, y int").toPandas()
     y = rows["y"].to_numpy(float)
-    if 0 < y.mean() < 1:
+    if len(y) and 0 < y.mean() < 1:
         model.weights = fit_logistic(rows[["x"]].to_numpy(), y)
     return model
 
 
 def score_quality(docs: DataFrame, model: Discriminant, text_column: str = "text", score_column: str = "score") -> DataFrame:
-    """``docs`` with a score in (0, 1) added, all columns and rows kept.
+    """``docs`` with a score in (0, 1) added, all rows and other columns kept as they are.
 
     Null is scored as the empty text. Only the text is read for a score, so equal
-    texts have equal scores.
+    texts have equal scores, whatever the other columns hold. A column that is already
+    called ``score_column`` is replaced. An empty table has an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{score_column}` double"])
 
-    def score(frames):
-        for frame in frames:
-            frame[score_column] = shared.value.score(_all_statistics(frame[text_column]))
-            yield frame
+    def make():
+        own = shared.value
+        return lambda texts: [own.score(_all_statistics(texts))]
 
-    return docs.mapInPandas(score, schema)
+    return appended(docs.drop(score_column), [text_column], [StructField(score_column, DoubleType())], make)
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:

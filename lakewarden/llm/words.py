@@ -42,10 +42,10 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(texts: Iterable, limit: int = BATCH_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    """``(first row, UTF-8 texts)`` of at most ``limit`` bytes, or one text; null is empty."""
+    """``(first row, UTF-8 texts)`` of at most ``limit`` bytes, or one text; null is empty. Takes texts or their bytes."""
     held, size, first, row = [], 0, 0, 0
     for text in texts:
-        data = b"" if text is None else text.encode("utf-8", "surrogatepass")
+        data = b"" if text is None else text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")
         if held and size + len(data) > limit:
             yield first, held
             held, size, first = [], 0, row

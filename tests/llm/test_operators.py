@@ -110,8 +110,8 @@ def test_decontamination_matches_brute_force(spark, texts, options):
     assert len(rows) == len(own)
     for r in rows:
         n, hit, found = naive_hits(own[r.doc_id], items)
-        assert (r["__words"], list(r["__items"])) == (n, found)
-        assert {p for s in r["__spans"] for p in range(s.a, s.b)} == hit
+        assert (r["words"], list(r["items"])) == (n, found)
+        assert {p for s in r["spans"] for p in range(s.a, s.b)} == hit
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.remove_contaminated(table(spark, own), empty).count() == len(own)
 
@@ -272,7 +272,8 @@ def test_words_of_one_bucket_keep_their_own_evidence(spark):
         labels.append((i, i % 2))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
-    one, other, unseen = model.differences(toxicity.Words([f"{bad} {good} zzzzzz".encode()]))
+    own = toxicity.Words([f"{bad} {good} zzzzzz".encode()], wordlike=toxicity._WORDLIKE)
+    one, other, unseen = toxicity.model_differences(model.other, own, model.block(0).evidence(own))[1]
     assert one > 1 and other < -1 and abs(unseen) < 1
 
 
