@@ -2,7 +2,9 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on every row its predecessor kept;
 its decisions take effect in the rows it returns. All but the last return the columns of
-the documents.
+the documents, whatever further ones there are, with every value as it was. Rows with a null
+id, repeated rows and repeated ids are rows like any other; null and empty texts are clean, in
+no group of copies, without hits and of size 0; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -11,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewarden.llm.decontamination import remove_contaminated
-from lakewarden.llm.minhash import near_duplicates
-from lakewarden.llm.mixing import mix
-from lakewarden.llm.shared import fresh_path, ship
+from lakewarden.llm.minhash import one_of_each_group
+from lakewarden.llm.mixing import mixed
+from lakewarden.llm.shared import absent, fresh_path, ship
 from lakewarden.llm.sharding import assign_shards
 from lakewarden.llm.toxicity import score_toxicity, train
 
@@ -25,15 +27,15 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject (score under 0.5)."""
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    scored = score_toxicity(docs, train(docs, labels), score_column="__score")
-    return scored.where("__score < 0.5").drop("__score")
+    score = absent(docs, "__score")
+    scored = score_toxicity(docs, train(docs, labels), score_column=score)
+    return scored.where(F.col(score) < 0.5).drop(score)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies (five words, 0.8)."""
+    """One row of each group of near copies (five words, 0.8): that of the smallest id."""
     ship(spark)
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return one_of_each_group(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +47,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture takes them (0 to 3 times)."""
     ship(spark)
-    copies = mix(docs).groupBy("doc_id").agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    repeated = docs.join(copies, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return repeated.select(docs.columns)
+    return mixed(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
