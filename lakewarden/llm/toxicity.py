@@ -14,6 +14,8 @@ A document's features are length-normalised log-likelihood differences: the mean
 whole text, and the largest mean over any stretch of ``STRETCHES`` words, under the bigram
 model and under its lower order alone. A logistic calibration turns them into a score.
 
+A word is named by 64 bits, half of them its stem's, and a bigram by both words' names.
+
 Counting: tasks list the bigrams of all different labelled training texts, a shuffle sums
 them over the corpus, and sums by word, by history and by stem come from that table.
 Only differences between the two classes are used to score, and only those are kept which
@@ -43,7 +45,7 @@ from lakewarden.llm.words import Words, chunks
 STEM = 4
 CALIBRATION_ROWS = 20_000
 #: Labelled ids up to which they are broadcast to the documents; more are joined by a shuffle.
-BROADCAST_LABELS = 200_000
+BROADCAST_LABELS = 500_000
 #: Bigrams of fewer different texts, both classes together, are left to the lower order.
 CUTOFF = 3
 #: Least count times difference for which an entry of the model is kept.
@@ -61,8 +63,10 @@ _WORDLIKE = np.array([48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 1
 _BUFFER = 250_000
 
 
-def _stem_ids(words: Words, at=slice(None)) -> np.ndarray:
-    return words.hash_of(words.start[at], words.prefix_end(STEM)[at]).view(np.int64)
+def word_ids(words: Words) -> np.ndarray:
+    """64-bit names of words: the upper half is a hash of the stem, the lower half one of the whole word."""
+    stem = words.hash_of(words.start, words.prefix_end(STEM))
+    return (stem >> _U(32) << _U(32)) | (words.hash >> _U(32))
 
 
 def _before(words: Words, own: np.ndarray) -> np.ndarray:
@@ -84,15 +88,11 @@ def _pair_key(own: str, before: str) -> Column:
     return F.col(before).bitwiseXOR(turned)
 
 
-BIGRAM, STEM_OF = 0, 1
-
-
 def _count_bigrams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows ``kind, own, before, bad, good``: bigrams with the number of texts of each class
-    that hold them; and each word with its stem in the place of the word before it."""
+    """Bigrams ``own, before`` with the number of texts of each class that hold them (``bad, good``)."""
 
     def counted(parts):
-        own, before, text, toxic, stem = (np.concatenate(p) for p in zip(*parts, strict=True))
+        own, before, text, toxic = (np.concatenate(p) for p in zip(*parts, strict=True))
         key = _pair_keys(own, before)
         order = np.lexsort((text, key))
         key, text = key[order], text[order]
@@ -102,28 +102,25 @@ def _count_bigrams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bad = np.bincount(place, weights=once & toxic[order], minlength=place[-1] + 1)
         good = np.bincount(place, weights=once & ~toxic[order], minlength=place[-1] + 1)
         first = order[new]
-        word, at = np.unique(own, return_index=True)
-        pairs = (BIGRAM, own[first].view(np.int64), before[first].view(np.int64), bad.astype(np.int64), good.astype(np.int64))
-        stems = (STEM_OF, word.view(np.int64), stem[at], 0, 0)
-        for columns in (pairs, stems):
-            yield pd.DataFrame(dict(zip(("kind", "own", "before", "bad", "good"), columns, strict=True)))
+        ids = {"own": own[first].view(np.int64), "before": before[first].view(np.int64)}
+        return pd.DataFrame(ids | {"bad": bad.astype(np.int64), "good": good.astype(np.int64)})
 
     parts, size, seen = [], 0, 0
     for frame in frames:
         labels = frame["toxic"].to_numpy()
         for first, texts in chunks(frame["text"]):
             words = Words(texts, wordlike=_WORDLIKE)
-            own, lengths = words.hash, np.diff(words.first)
+            own, lengths = word_ids(words), np.diff(words.first)
             toxic = np.repeat(labels[first : first + len(texts)] > 0, lengths)
             number = np.repeat(np.arange(seen, seen + len(texts), dtype=np.int32), lengths)
-            parts.append((own, _before(words, own), number, toxic, _stem_ids(words)))
+            parts.append((own, _before(words, own), number, toxic))
             seen += len(texts)
             size += len(own)
             if size > _BUFFER:
-                yield from counted(parts)
+                yield counted(parts)
                 parts, size = [], 0
     if size:
-        yield from counted(parts)
+        yield counted(parts)
 
 
 def discount_of(ones: float, twos: float) -> float:
@@ -142,12 +139,13 @@ def _over(count: Column, discount: float) -> Column:
 
 
 def word_probabilities(table: DataFrame) -> tuple[DataFrame, DataFrame, float]:
-    """The lower order of both classes from continuation counts ``own, stem, bad, good``.
+    """The lower order of both classes from continuation counts ``own, bad, good``.
 
     Returns words (``own, p_bad, p_good, count, d_stem``), stems (``stem, diff, count``) and
     the difference of a word whose stem neither class has. ``d_stem`` is the difference
     that the word has by its stem alone.
     """
+    table = table.withColumn("stem", F.shiftrightunsigned("own", 32))
     sums = [F.sum(c).alias(f"s_{c}") for c in CLASSES]
     d_word = _discounts(table, list(CLASSES))
     left = [F.sum(F.least(F.col(c).cast("double"), F.lit(d_word[k]))).alias(f"l_{c}") for k, c in enumerate(CLASSES)]
@@ -229,13 +227,13 @@ class Block:
     def evidence(self, words: Words, held: np.ndarray | None = None) -> np.ndarray:
         """Of every word its difference alone, that of its bigram and its weight as a history; NaN where there
         is no entry. Only the words of this block are filled in."""
-        own = words.hash
+        own = word_ids(words)
         out = np.full((3, len(own)), np.nan, np.float32) if held is None else held
         mine = np.flatnonzero((own >> _U(1)) % _U(self.blocks) == self.number)
         keys = own[mine].view(np.int64)
         word = self.look_up(WORD, keys)
         rare = np.flatnonzero(np.isnan(word))
-        word[rare] = self.look_up(STEM_KIND, _stem_ids(words, mine[rare]))
+        word[rare] = self.look_up(STEM_KIND, (own[mine[rare]] >> _U(32)).view(np.int64))
         out[0, mine] = word
         out[1, mine] = self.look_up(PAIR, _pair_keys(own, _before(words, own))[mine])
         out[2, mine] = self.look_up(HISTORY, keys)
@@ -317,7 +315,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
 
 def different_texts(known: DataFrame, docs: DataFrame) -> DataFrame:
     """``text, toxic``: every different text of ``known`` once, read from ``docs``, toxic if any of its rows is."""
-    row = row_key(F.col("doc_id"), F.col("text")).alias("row")
+    row = F.xxhash64("doc_id", "text").alias("row")
     rows = known.select(row, F.md5("text").alias("own"), "toxic").groupBy("own", "row").agg(F.count(F.lit(1)).alias("n"), F.max("toxic").alias("toxic"))
     rows = rows.groupBy("own").agg(F.min(F.struct("row", "n")).alias("r"), F.max("toxic").alias("toxic"))
     rows = written(rows.select("r.row", "r.n", "toxic"), "toxicity-texts")
@@ -328,13 +326,12 @@ def different_texts(known: DataFrame, docs: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit both models and the calibration; without training labels every score is the prior 0.1."""
-    known = labelled(docs, labels, "toxic").withColumn("__fold", fold("doc_id", 5))
-    texts = different_texts(known.where("__fold in (1, 2, 3) and text is not null"), docs)
-    counts = texts.mapInPandas(_count_bigrams, "kind byte, own long, before long, bad long, good long")
-    counts = written(counts.groupBy("kind", "own", "before").agg(*[F.sum(c).alias(c) for c in CLASSES]), "toxicity-counts")
-    pairs = counts.where(F.col("kind") == BIGRAM).drop("kind")
-    follows = [F.count(F.when(F.col(c) > 0, 1)).alias(c) for c in CLASSES]
-    table = counts.groupBy("own").agg(F.max(F.when(F.col("kind") == STEM_OF, F.col("before"))).alias("stem"), *follows)
+    counted, calibrating = fold("doc_id", 5).isin(1, 2, 3), fold("doc_id", 5) == 4
+    known = labelled(docs.where(counted), labels.where(counted), "toxic").where("text is not null")
+    texts = different_texts(known, docs.where(counted))
+    pairs = texts.mapInPandas(_count_bigrams, "own long, before long, bad long, good long")
+    pairs = written(pairs.groupBy("own", "before").agg(*[F.sum(c).alias(c) for c in CLASSES]), "toxicity-pairs")
+    table = pairs.groupBy("own").agg(*[F.count(F.when(F.col(c) > 0, 1)).alias(c) for c in CLASSES])
 
     words, stems, other = word_probabilities(written(table, "toxicity-words"))
     words = written(words, "toxicity-lower")
@@ -351,9 +348,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     kept = written(kept.unionByName(entries(STEM_KIND, stems, "stem", F.col("stem"), F.col("diff"), F.lit(other))), "toxicity-model")
     model = Model(kept, max(1, -(-kept.count() // BLOCK_ENTRIES)), other)
 
-    calibrate = known.where("__fold = 4")
-    share = min(1.0, CALIBRATION_ROWS / max(1, calibrate.count()))
-    calibrate = calibrate.where((F.abs(F.xxhash64("doc_id")) % 1_000_000) < F.lit(round(share * 1_000_000)))
+    labels = labels.where(calibrating)
+    share = min(1.0, CALIBRATION_ROWS / max(1, labels.count()))
+    chosen = calibrating & ((F.abs(F.xxhash64("doc_id")) % 1_000_000) < F.lit(round(share * 1_000_000)))
+    calibrate = labelled(docs.where(chosen), labels.where(chosen), "toxic")
     names = [f"x{i}" for i in range(FEATURES)]
     sample = _measured(calibrate.select("text", "toxic"), "text", model, [StructField(n, DoubleType()) for n in names], lambda x: list(x.T))
     sample = sample.select("toxic", *names).toPandas()
