@@ -57,34 +57,43 @@ def rewrite(pattern: str) -> Pattern:
     return Pattern(f"{lead}({prefix})(?<pii>{rest}", 1, inner + 2)
 
 
+def scan(rows: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], item: str) -> Column:
+    """What ``step(state, row)`` makes of each row as it passes a state along: an array of type ``item``.
+
+    Appending copies an array, so items gather in chunks and the chunks are flattened once.
+    """
+    none = F.array().cast(f"array<{item}>")
+
+    def add(state: Column, row: Column) -> Column:
+        after, made = step(state["st"], row)
+        pair = F.struct(after.alias("st"), made.alias("item"))
+        return let(pair, lambda p: F.struct(p["st"].alias("st"), F.concat(state["out"], F.array(p["item"])).alias("out")))
+
+    def chunk(state: Column, first: Column) -> Column:
+        walked = F.aggregate(F.slice(rows, first, F.lit(CHUNK)), F.struct(state["st"].alias("st"), none.alias("out")), add)
+        return let(walked, lambda w: F.struct(w["st"].alias("st"), F.concat(state["out"], F.array(w["out"])).alias("out")))
+
+    begin = F.struct(start.alias("st"), F.array().cast(f"array<array<{item}>>").alias("out"))
+    firsts = F.sequence(F.lit(1), F.greatest(F.size(rows), F.lit(1)), F.lit(CHUNK))
+    return F.aggregate(firsts, begin, chunk, lambda s: F.flatten(s["out"]))
+
+
 def match_spans(text: Column, pattern: Pattern) -> Column:
     """All non-overlapping matches as ``array<struct<s, e, v>>``; null text has none."""
     empty = F.array().cast(SPAN)
 
+    def place(at: Column, row: Column) -> tuple[Column, Column]:
+        start = at + F.length(row["b"])
+        own = start + F.length(row["p"]) if pattern.value else start
+        value = row["g"] if pattern.value else row["m"]
+        return start + F.length(row["m"]), F.struct(own.alias("s"), (own + F.length(value)).alias("e"), value.alias("v"))
+
     def walk(matches: Column) -> Column:
         pieces = F.split(text, pattern.java, -1)
         parts = [F.slice(pieces, F.lit(1), F.size(matches)).alias("b"), matches.alias("m")]
         if pattern.value:
             parts += [F.regexp_extract_all(text, F.lit(pattern.java), F.lit(i)).alias(n) for i, n in ((pattern.before, "p"), (pattern.value, "g"))]
-        def add(state: Column, row: Column) -> Column:
-            start = state["at"] + F.length(row["b"])
-            own = start + F.length(row["p"]) if pattern.value else start
-            value = row["g"] if pattern.value else row["m"]
-            span = F.struct(own.alias("s"), (own + F.length(value)).alias("e"), value.alias("v"))
-            return F.struct((start + F.length(row["m"])).alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
-
-        def scan(rows: Column) -> Column:
-            def chunk(state: Column, first: Column) -> Column:
-                start = F.struct(state["at"].alias("at"), empty.alias("out"))
-                walked = F.aggregate(F.slice(rows, first, F.lit(CHUNK)), start, add)
-                return let(walked, lambda w: F.struct(w["at"].alias("at"), F.concat(state["out"], F.array(w["out"])).alias("out")))
-
-            # Appending copies an array, so spans gather in chunks and the chunks are flattened once.
-            begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-            firsts = F.sequence(F.lit(1), F.size(rows), F.lit(CHUNK))
-            return F.aggregate(firsts, begin, chunk, lambda s: F.flatten(s["out"]))
-
-        return let(F.arrays_zip(*parts), scan)
+        return let(F.arrays_zip(*parts), lambda rows: scan(rows, F.lit(0), place, "struct<s:int,e:int,v:string>"))
 
     matches = F.regexp_extract_all(text, F.lit(pattern.java), F.lit(0))
     found = let(matches, lambda m: F.when(F.size(m) > 0, walk(m)).otherwise(empty))
@@ -130,22 +139,36 @@ def resolve(candidates: Column) -> Column:
         clash = F.exists(chosen, lambda c: (x["s"] < c["e"]) & (c["s"] < x["e"]))
         return F.when(clash, chosen).otherwise(F.concat(chosen, F.array(x)))
 
-    def greedy(sorted_spans: Column) -> Column:
-        return F.aggregate(sorted_spans, F.slice(sorted_spans, 1, 0), take)
+    def greedy(spans: Column) -> Column:
+        ranked = F.transform(F.array_sort(F.transform(spans, key)), lambda k: k["span"])
+        return let(ranked, lambda r: F.aggregate(r, F.slice(r, 1, 0), take))
+
+    def by_start(spans: Column) -> Column:
+        return F.array_sort(spans, lambda a, b: (a["s"] - b["s"]).cast("int"))
+
+    def alone(spans: Column) -> Column:
+        """Which of the spans (by start) touch no other: no earlier one reaches in, no later one begins inside."""
+        reach = scan(spans, F.lit(-1), lambda most, x: (F.greatest(most, x["e"]), most), "int")
+        return F.transform(F.arrays_zip(reach.alias("most"), spans.alias("x")), lambda r, i: (r["most"] <= r["x"]["s"]) & (F.coalesce(F.get(spans, i + 1)["s"] >= r["x"]["e"], F.lit(True))))
+
+    def split(spans: Column) -> Column:
+        # Most spans meet no other one; only the rest are compared with one another.
+        def parts(free: Column) -> Column:
+            kept = F.filter(spans, lambda x, i: F.get(free, i))
+            rest = F.filter(spans, lambda x, i: ~F.get(free, i))
+            return F.when(F.size(kept) == F.size(spans), spans).otherwise(by_start(F.concat(kept, greedy(rest))))
+
+        return let(alone(spans), parts)
 
-    ranked = F.transform(F.array_sort(F.transform(candidates, key)), lambda k: k["span"])
-    return F.when(F.size(candidates) < 2, candidates).otherwise(
-        let(ranked, lambda r: F.array_sort(greedy(r), lambda a, b: (a["s"] - b["s"]).cast("int")))
-    )
+    return let(candidates, lambda c: F.when(F.size(c) < 2, c).otherwise(let(by_start(c), split)))
 
 
 def splice(text: Column, spans: Column, replacement: Callable[[Column], Column]) -> Column:
     """``text`` with each of the disjoint, ordered spans replaced; null and empty texts pass through."""
 
-    def add(state: Column, x: Column) -> Column:
-        kept = F.substr(text, state["at"] + 1, x["s"] - state["at"])
-        return F.struct(x["e"].alias("at"), F.concat(state["out"], kept, replacement(x)).alias("out"))
+    def piece(at: Column, x: Column) -> tuple[Column, Column]:
+        return x["e"], F.concat(F.substr(text, at + 1, x["s"] - at), replacement(x))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rebuilt = F.aggregate(spans, start, add, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1)))
+    pieces = F.array_join(scan(spans, F.lit(0), piece, "string"), "")
+    rebuilt = F.concat(pieces, F.substr(text, F.element_at(spans, -1)["e"] + 1))
     return F.when(F.size(spans) > 0, rebuilt).otherwise(text)

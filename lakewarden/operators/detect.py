@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from lakewarden.functions.spans import PLACEHOLDER, Pattern, longest_valid, match_spans, resolve, splice
 from lakewarden.operators.policy import Detector, Policy
+from lakewarden.operators.staged import staged
 
 CANDIDATE = "array<struct<s:int,e:int,v:string,rank:int,det:int,pat:int,entity:string>>"
 
@@ -76,6 +80,16 @@ def entity_set(spans: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(spans, lambda x: x["entity"])))
 
 
+def span_rows(found: DataFrame, *keys: str) -> DataFrame:
+    """``keys, s, e, value, entity, det, pat``, a row for each span.
+
+    The empty arrays are dropped after they are exploded: a filter before would make the
+    optimizer detect everything once more to learn the arrays' sizes.
+    """
+    x = found.select(*keys, F.explode_outer("spans").alias("x")).where("x is not null")
+    return x.select(*keys, "x.s", "x.e", F.col("x.v").alias("value"), "x.entity", "x.det", "x.pat")
+
+
 def mask_without_vault(text: Column, spans: Column, strategy: str) -> Column:
     """Masking that needs no numbering: ``redact`` or ``hash`` for every span."""
 
@@ -93,11 +107,10 @@ def vault(found: DataFrame, policy: Policy, request: str = "request_id", order:
     The detector that first produced the value decides strategy and format. Numbers
     count placeholder values by entity, in order of first occurrence over messages; the
     same value keeps its number. Grouping happens before numbering, so a window holds
-    distinct values, not occurrences.
+    distinct values, not occurrences. ``found`` is read once more by whoever masks: stage it.
     """
-    spans = found.select(request, *order, F.explode("spans").alias("x"))
-    first = spans.groupBy(request, F.col("x.entity").alias("entity"), F.col("x.v").alias("value")).agg(
-        F.min(F.struct(*order, F.col("x.s").alias("s"), F.col("x.det").alias("det"))).alias("first"),
+    first = span_rows(found, request, *order).groupBy(request, "entity", "value").agg(
+        F.min(F.struct(*order, "s", "det")).alias("first"),
         F.count(F.lit(1)).alias("occurrences"),
     )
     table = [
@@ -124,60 +137,102 @@ def vault(found: DataFrame, policy: Policy, request: str = "request_id", order:
     )
 
 
+_MARKS = "array<struct<s:int,e:int,placeholder:string>>"
+
+
+def _spliced(rows: DataFrame, marks: DataFrame, keys: list[str], text: str, out: str) -> DataFrame:
+    """``rows`` with ``out``: the marks ``keys, s, e, placeholder`` put in the place of what they cover."""
+    gathered = marks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("s", "e", "placeholder"))).alias("__marks"))
+    joined = rows.join(gathered, keys, "left")
+    none = F.array().cast(_MARKS)
+    return joined.withColumn(out, splice(F.col(text), F.coalesce("__marks", none), lambda x: x["placeholder"])).drop("__marks")
+
+
 def mask(found: DataFrame, keys: list[str], table: DataFrame, request: str = "request_id", text: str = "text") -> DataFrame:
     """``found`` with ``masked``: every span replaced by its vault placeholder. ``keys`` name a message."""
-    spans = found.select(*keys, F.explode("spans").alias("x"))
-    spans = spans.select(*keys, F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.entity").alias("entity"), F.col("x.v").alias("value"))
+    spans = span_rows(found, *keys).select(*keys, "s", "e", "entity", "value")
     marks = spans.join(table.select(request, "entity", "value", "placeholder"), [request, "entity", "value"])
-    marks = marks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("s", "e", "placeholder"))).alias("__marks"))
-    joined = found.join(marks, keys, "left")
-    none = F.array().cast("array<struct<s:int,e:int,placeholder:string>>")
-    return joined.withColumn("masked", splice(F.col(text), F.coalesce("__marks", none), lambda x: x["placeholder"])).drop("__marks")
+    return _spliced(found, marks, keys, text, "masked")
 
 
-def demask(rows: DataFrame, table: DataFrame, roles: Column, request: str = "request_id", text: str = "masked") -> DataFrame:
-    """``rows`` with ``restored``: known, reversible placeholders that the roles may see, in one pass.
+def mask_counts(found: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, entity, n``: what masking a message adds to its request's counts; entities without any are left out."""
+    return span_rows(found, *keys).groupBy(*keys, "entity").agg(F.count(F.lit(1)).alias("n"))
 
-    Each row gets its request's vault as one small map; a value that looks like a
-    placeholder is not expanded again.
-    """
-    open_rows = table.where("reversible").groupBy(request).agg(
-        F.map_from_entries(F.collect_list(F.struct("placeholder", F.struct("value", "demask_for")))).alias("__vault")
-    )
-    spans = match_spans(F.col(text), Pattern(PLACEHOLDER))
 
-    def back(x: Column) -> Column:
-        hit = F.try_element_at(F.col("__vault"), x["v"])
-        return F.when(hit.isNotNull() & F.arrays_overlap(hit["demask_for"], roles), hit["value"]).otherwise(x["v"])
+def demask(rows: DataFrame, table: DataFrame, roles: Column, keys: list[str], request: str = "request_id", text: str = "masked") -> DataFrame:
+    """``rows`` with ``restored``: known, reversible placeholders that the roles may see, in one pass.
 
-    return rows.join(open_rows, request, "left").withColumn("restored", splice(F.col(text), spans, back)).drop("__vault")
+    Only the placeholders that a row holds meet the vault, so a request with a large vault
+    costs its rows nothing. A value that looks like a placeholder is not expanded again.
+    """
+    held = match_spans(F.col(text), Pattern(PLACEHOLDER))
+    marks = rows.select(*keys, roles.alias("__roles"), F.explode_outer(held).alias("x")).where("x is not null")
+    marks = marks.select(*keys, "__roles", "x.s", "x.e", F.col("x.v").alias("placeholder"))
+    # Several values of an entity may share a placeholder only where it cannot be reversed.
+    known = table.where("reversible").select(request, "placeholder", F.col("value").alias("__value"), "demask_for")
+    back = marks.join(known, [request, "placeholder"]).where(F.arrays_overlap("demask_for", "__roles"))
+    return _spliced(rows, back.select(*keys, "s", "e", F.col("__value").alias("placeholder")), keys, text, "restored")
 
 
 def egress_hits(rows: DataFrame, policy: Policy, text: str, context: str = "prompt") -> DataFrame:
     """What a fresh detection still finds in masked text: ``hits`` must be 0."""
-    return detect(rows, policy, text, context).withColumn("hits", F.size("spans")).drop("spans")
+    return rows.withColumn("hits", F.size(resolve(candidates(F.col(text), policy, context))))
+
+
+#: Values that are searched for at once; more take another pass over the texts.
+VALUES_AT_ONCE = 500_000
 
 
-def leaks(texts: DataFrame, table: DataFrame, text: str = "masked", least: int = 4) -> DataFrame:
-    """Sensitive values that occur in any text: ``value, n_texts``.
+def leaks(texts: DataFrame, table: DataFrame, text: str = "masked") -> DataFrame:
+    """Sensitive values that occur anywhere in a text: ``value, n_texts``; empty values occur nowhere.
 
-    Candidate substrings are not compared all against all. A value with a token between
-    separators has in every occurrence that token whole, and before it the end of the token
-    before; these (at most three characters, the separators, the token) are the key of an
-    equi join with a final containment check. Other values are compared with every text.
+    Plain containment, whatever the value's length, alphabet or neighbours: all values of a
+    block make one automaton, each text passes it once, and what a task has found is counted
+    before the shuffle. The values come in blocks of at most ``VALUES_AT_ONCE``, by hash.
     """
-    token, gap = "[A-Za-z0-9]", "[^A-Za-z0-9]"
-    values = table.select("value").distinct().where(F.length("value") >= least)
-    key = F.regexp_extract("value", f"^{gap}*+{token}*?({token}{{1,3}}{gap}++{token}++){gap}", 1)
-    values = values.withColumn("key", key)
-    rows = texts.select(F.col(text).alias("t"))
-    # A look-ahead at every character: one key for each length of the earlier token's end.
-    found = [F.regexp_extract_all("t", F.lit(f"(?=({token}{{{n}}}{gap}++{token}++)){token}"), F.lit(1)) for n in (1, 2, 3)]
-    # Keys travel as hashes, beside the text's hash; texts meet only the values that share a key.
-    marks = F.array_distinct(F.transform(F.concat(*found), lambda k: F.xxhash64(k)))
-    words = rows.select(F.xxhash64("t").alias("id"), F.explode(marks).alias("key"))
-    wanted = values.where("key <> ''").select(F.xxhash64("key").alias("key"), "value")
-    near = words.join(wanted, "key").select("id", "value").distinct()
-    keyed = rows.withColumn("id", F.xxhash64("t")).join(near, "id").select("t", "value")
-    others = rows.join(values.where("key = ''").select("value"), F.contains("t", F.col("value"))).select("t", "value")
-    return keyed.where(F.contains("t", F.col("value"))).unionByName(others).groupBy("value").agg(F.count(F.lit(1)).alias("n_texts"))
+    values = staged(table.select("value").where("value <> ''").distinct(), "leak-values")
+    blocks = max(1, -(-values.count() // VALUES_AT_ONCE))
+    context = texts.sparkSession.sparkContext
+    found = None
+    for number in range(blocks):
+        own = values.where(F.pmod(F.xxhash64("value"), F.lit(blocks)) == number)
+        shared = context.broadcast([r.value for r in own.toLocalIterator()])
+
+        def run(batches, shared=shared):
+            import ahocorasick
+
+            search = ahocorasick.Automaton()
+            for i, value in enumerate(shared.value):
+                search.add_word(value, i)
+            if len(search):
+                search.make_automaton()
+            for batch in batches:
+                counts: Counter[int] = Counter()
+                for held in batch.column(0).to_pylist() if len(search) else ():
+                    if held:
+                        counts.update({i for _, i in search.iter(held)})
+                yield pa.RecordBatch.from_arrays([pa.array([shared.value[i] for i in counts], pa.string()), pa.array(counts.values(), pa.int64())], names=["value", "n"])
+
+        part = texts.select(text).mapInArrow(run, "value string, n long")
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("value").agg(F.sum("n").alias("n_texts"))
+
+
+def detector_registry(policy: Policy) -> dict[str, Callable[[Column], Column]]:
+    """Each rule detector by id, as a function from a text column to its spans."""
+    return {d.id: (lambda text, d=d: detector_spans(text, d)) for d in policy.detectors if d.kind in ("regex", "checksum")}
+
+
+@udtf(returnType="s int, e int, entity string, value string")
+class ExplodeSpans:
+    """A table function for SQL: the spans of an array column as rows, in order of start."""
+
+    def eval(self, spans: list):
+        for x in sorted(spans or (), key=lambda x: (x["s"], x["e"])):
+            yield x["s"], x["e"], x["entity"], x["v"]
+
+
+def register(spark: SparkSession) -> None:
+    """Makes ``explode_spans(spans)`` known to SQL."""
+    spark.udtf.register("explode_spans", ExplodeSpans)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from typing import Protocol
 
 import pandas as pd
@@ -12,20 +13,28 @@ from pyspark.sql import functions as F
 
 from lakewarden.functions.expressions import casefold_de
 from lakewarden.functions.spans import Pattern, match_spans, rewrite
+from lakewarden.operators.detect import detect
+from lakewarden.operators.policy import Policy
 
 LETTERS = r"\p{L}\p{Nl}\p{No}"
 TOKEN = Pattern(rf"[{LETTERS}]+(?:-[{LETTERS}]+)*")
 
-# Particles, abbreviations that do not end a sentence, stop words and cues.
+# Words between a given name and a surname, and words before a full stop that ends no sentence.
 PARTICLES = ("von", "van", "de", "da", "del", "di", "zu")
 ABBREVIATIONS = (
     "dr", "prof", "hr", "fr", "bzw", "ca", "ggf", "inkl", "exkl", "nr", "str", "tel", "fax",
     "evtl", "usw", "etc", "dipl", "ing", "med", "phil", "rer", "nat", "jur", "univ",
 )
-CUE = (
-    r"(?i)(?:\b(?:herrn?|frau|hr\.|fr\.|dr\.|prof\.)|\bansprechpartner(?:in)?\b|\bich\s+(?:bin|hei(?:ß|ss)e)\b"
-    r"|\bmein\s+name\s+(?:ist|lautet)\b|\b(?:unterschrift|absender|gezeichnet)\b|\b(?:hallo|hi|lieber|liebe)\b)"
-)
+# Phrases near which people are named.
+CUES = (
+    "herr", "herrn", "frau", "hr.", "fr.", "dr.", "prof.",
+    "hallo", "hi", "lieber", "liebe", "sehr geehrte", "sehr geehrter", "sehr geehrten",
+    "ich bin", "ich heiße", "mein name ist", "mein name lautet",
+    "viele grüße", "beste grüße", "herzliche grüße", "liebe grüße", "freundliche grüße", "mit freundlichen grüßen",
+    "i. a.", "i. v.", "gez.", "gezeichnet", "unterschrift", "unterzeichnet", "unterzeichnet von", "absender",
+    "ansprechpartner", "ansprechpartnerin",
+)
+# The gate's triggers and their defaults.
 TRIGGERS = {
     "capitalizedUnknown": True,
     "sentenceStartUnknown": True,
@@ -37,6 +46,24 @@ TRIGGERS = {
 }
 CUE_WINDOW = 4
 LEAST_TOKEN = 3
+LOW_CONFIDENCE = 0.5
+#: Words that are no part of a name, in the default of the context rules.
+STOP_WORDS = (
+    "aber", "am", "an", "auf", "aus", "bei", "bis", "bitte", "danke", "das", "dem", "den", "der", "des", "die", "ein", "eine", "einen",
+    "einem", "einer", "für", "hallo", "herr", "herrn", "frau", "hat", "im", "in", "ist", "liebe", "lieber", "mein", "meine", "mit", "nach",
+    "nicht", "noch", "oder", "sehr", "sind", "über", "um", "und", "unter", "vom", "von", "vor", "war", "wenn", "zu", "zum", "zur",
+    "team", "service", "support", "abteilung", "kollegen", "kolleginnen", "zusammen",
+)
+
+
+def phrase_pattern(phrases: Iterable[str]) -> str:
+    """One pattern for whole phrases in any case: blanks are any white space (or none after a full stop), umlauts and ß may be spelt out."""
+    spelt = {"ß": "(?:ß|ss)", "ä": "(?:ä|ae)", "ö": "(?:ö|oe)", "ü": "(?:ü|ue)"}
+    parts = []
+    for phrase in sorted(phrases, key=len, reverse=True):
+        body = "".join(spelt.get(c) or (r"\s+" if c == " " else r"\." if c == "." else c) for c in phrase).replace(r"\.\s+", r"\.\s*")
+        parts.append(body + ("" if phrase.endswith(".") else r"\b"))
+    return r"(?i)\b(?:" + "|".join(parts) + ")"
 
 
 def tokens(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
@@ -77,37 +104,96 @@ def gazetteer_pairs(docs: DataFrame, given: DataFrame, surnames: DataFrame, key:
     return hits.join(surnames.select(F.col("name").alias("surname")), "surname", "left_semi").select(key, "s", "e")
 
 
-def context_names(text: Column, patterns: Iterable[str]) -> Column:
-    """Spans of ``pii`` groups of cue patterns, for context rules."""
-    return F.concat(*[match_spans(text, rewrite(p)) for p in patterns])
+ACCEPTS = ("cue", "gazetteer-all", "gazetteer-any")
+
+
+def context_names(
+    docs: DataFrame, rules: Iterable[tuple[str, Iterable[str]]], listed: DataFrame, stop: Iterable[str] = STOP_WORDS, key: str = "id", text: str = "text"
+) -> DataFrame:
+    """``key, s, e``: names beside a cue, by rules ``(accept, patterns)`` whose group ``pii`` holds the words that may be one.
 
+    Of those words leading stop words, short capitals and unlisted compounds are skipped,
+    the name ends before the next of them, and has three words at most. ``cue`` accepts two or more
+    words or a listed one, ``gazetteer-all`` only listed words, ``gazetteer-any`` at least one.
+    """
+    rules = list(rules)
+    if bad := {a for a, _ in rules} - set(ACCEPTS):
+        raise ValueError(f"unknown rule: {', '.join(sorted(bad))}")
+    found = [
+        F.transform(match_spans(F.col(text), rewrite(p)), lambda x, a=accept: F.struct(F.lit(a).alias("accept"), x["s"].alias("s"), x["v"].alias("v")))
+        for accept, patterns in rules
+        for p in patterns
+    ]
+    if not found:
+        return docs.select(key, F.lit(0).alias("s"), F.lit(0).alias("e")).where("false")
+    spans = docs.select(key, F.explode_outer(F.concat(*found)).alias("x")).where("x is not null").select(key, "x.*").distinct()
+    words = spans.select(key, "accept", F.col("s").alias("at"), F.posexplode(match_spans(F.col("v"), TOKEN)).alias("i", "t"))
+    words = words.withColumn("name", casefold_de(F.col("t.v")))
+    words = words.join(listed.select("name").distinct().withColumn("listed", F.lit(True)), "name", "left")
+    w = F.col("t.v")
+    compound = F.contains(w, F.lit("-"))
+    short = (F.length(w) <= 4) & (w == F.upper(w)) & (w != F.lower(w)) & ~compound
+    blocked = F.col("name").isin(*stop) | short | (compound & F.col("listed").isNull())
+    order = W.partitionBy(key, "accept", "at").orderBy("i")
+    words = words.withColumn("blocked", blocked)
+    # The name is the first run of unblocked words: all blocks up to its words come before its first one.
+    words = words.withColumn("blocks", F.sum(F.col("blocked").cast("int")).over(order)).where(~F.col("blocked"))
+    words = words.withColumn("first", F.min("blocks").over(order)).where("blocks = first").withColumn("n", F.row_number().over(order)).where("n <= 3")
+    names = words.groupBy(key, "accept", "at").agg(
+        F.min(F.col("at") + F.col("t.s")).alias("s"), F.max(F.col("at") + F.col("t.e")).alias("e"), F.count(F.lit(1)).alias("n"), F.count("listed").alias("k")
+    )
+    ok = F.when(F.col("accept") == "cue", (F.col("n") > 1) | (F.col("k") > 0)).when(F.col("accept") == "gazetteer-all", F.col("k") == F.col("n")).otherwise(F.col("k") > 0)
+    return names.where(ok).select(key, "s", "e").distinct()
 
-def trim_name(words: Column, stop: Iterable[str], listed: Column) -> Column:
-    """A candidate's tokens: leading stop words skipped, ends at a stop word or short capitals, at most three."""
 
-    def blocked(w: Column) -> Column:
-        short_caps = (F.length(w) <= 4) & (w == F.upper(w)) & (F.lower(w) != F.upper(w)) & ~F.contains(w, F.lit("-"))
-        odd = F.contains(w, F.lit("-")) & ~F.array_contains(listed, casefold_de(w))
-        return F.lower(w).isin(*stop) | short_caps | odd
+def gazetteer_spans(
+    docs: DataFrame, given: DataFrame, surnames: DataFrame, pairs: bool = True, rules: Iterable[tuple[str, Iterable[str]]] = (),
+    stop: Iterable[str] = STOP_WORDS, key: str = "id", text: str = "text",
+) -> DataFrame:
+    """``key, s, e`` of the name-list detector: listed pairs and names by context rules."""
+    parts = [context_names(docs, rules, given.select("name").unionByName(surnames.select("name")), stop, key, text)]
+    if pairs:
+        parts.append(gazetteer_pairs(docs, given, surnames, key, text))
+    return reduce(lambda a, b: a.unionByName(b), parts).distinct()
 
-    def step(state: Column, w: Column) -> Column:
-        began = F.size(state["out"]) > 0
-        stop_here = state["done"] | (began & blocked(w)) | (F.size(state["out"]) >= 3)
-        out = F.when(stop_here | blocked(w), state["out"]).otherwise(F.concat(state["out"], F.array(w)))
-        return F.struct(stop_here.alias("done"), out.alias("out"))
 
-    start = F.struct(F.lit(False).alias("done"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(words, start, step, lambda s: s["out"])
+def attach(rows: DataFrame, spans: DataFrame, column: str, key: str = "id", text: str = "text") -> DataFrame:
+    """``rows`` with a detector's spans ``key, s, e`` as ``array<struct<s, e, v, pat>>``, for ``detect(extra=...)``."""
+    gathered = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e")))).alias("__spans"))
+    value = lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.substr(F.col(text), x["s"] + 1, x["e"] - x["s"]).alias("v"), F.lit(0).alias("pat"))
+    none = F.array().cast("array<struct<s:int,e:int,v:string,pat:int>>")
+    return rows.join(gathered, key, "left").withColumn(column, F.coalesce(F.transform("__spans", value), none)).drop("__spans")
 
 
-def accepts(words: Column, listed: Column, rule: str) -> Column:
-    """Whether a trimmed name passes ``cue``, ``gazetteer-all`` or ``gazetteer-any``."""
-    known = lambda w: F.array_contains(listed, casefold_de(w))
-    n = F.size(words)
-    if rule == "cue":
-        return (n > 0) & ((n > 1) | F.exists(words, known))
-    test = F.forall(words, known) if rule == "gazetteer-all" else F.exists(words, known)
-    return (n > 0) & test
+def detect_people(
+    rows: DataFrame, policy: Policy, lists: dict[str, DataFrame], load: Callable[[], NerBackend] | None = None, key: str = "id", text: str = "text", context: str = "prompt"
+) -> DataFrame:
+    """``detect`` with all of a policy's detectors: rules, name lists and models.
+
+    A ``gazetteer`` detector's options name its lists (``given``, ``surnames``: keys of ``lists``),
+    whether pairs count, and its context rules; a ``ner`` detector's its labels and least score. A
+    detector whose list or model is missing refuses the whole query.
+    """
+    extra, out = [], rows
+    for number, d in enumerate(policy.detectors):
+        if context not in d.contexts or d.kind not in ("gazetteer", "ner"):
+            continue
+        own = d.options.get(d.kind, {})
+        if d.kind == "gazetteer":
+            missing = [n for n in (own.get("given", "given"), own.get("surnames", "surnames")) if n not in lists]
+            if missing:
+                raise ValueError(f"detector {d.id}: no list {', '.join(missing)}")
+            rules = [(r["accept"], r.get("patterns", ())) for r in own.get("contextRules", ())]
+            spans = gazetteer_spans(rows, lists[own.get("given", "given")], lists[own.get("surnames", "surnames")], own.get("matchPairs", True), rules, own.get("stop", STOP_WORDS), key, text)
+        else:
+            if load is None:
+                raise ValueError(f"detector {d.id}: no model")
+            named = rows.select(key, F.col(text).alias("text"))
+            spans = model_spans(named, load, own.get("labels", ("PER",)), own.get("minScore", 0.0), key).select(key, "s", "e")
+        column = f"__detector_{number}"
+        out = attach(out, spans, column, key, text)
+        extra.append((number, F.col(column)))
+    return detect(out, policy, text, context, extra).drop(*[f"__detector_{n}" for n, _ in extra])
 
 
 def sentences(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
@@ -123,58 +209,83 @@ def sentences(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame
     return found.where(F.trim("x.v") != "").select(key, "sid", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.v").alias("sentence"))
 
 
-def suspicious_sentences(docs: DataFrame, common: DataFrame, given: DataFrame, triggers: dict | None = None, key: str = "id") -> DataFrame:
-    """``key, sid, reason``: sentences that the costly model should see, by trigger.
+def suspicious_tokens(
+    docs: DataFrame, common: DataFrame, given: DataFrame, triggers: dict | None = None, key: str = "id",
+    primary: DataFrame | None = None, below: float = LOW_CONFIDENCE, cues: Iterable[str] = CUES,
+) -> DataFrame:
+    """``key, sid, reason, s, e``: what made a sentence one that the costly model should see.
 
-    common and given are casefolded lists ``name``. Joins to them are left joins on the
-    word, so frequent words meet a list row each and nothing is collected.
+    common and given are casefolded lists ``name``; primary holds a first model's hits ``key, s, e,
+    score``, of which those under ``below`` count. One ordered pass over a document's sentences, cues,
+    hits and tokens gives tokens their sentence and cue, a second over its tokens
+    their neighbours: frames, not joins of tokens with tokens.
     """
     on = TRIGGERS | (triggers or {})
-    # A token's sentence is the last that starts at or before it, unless it ended: one ordered
-    # pass over both, not a join of every token with every sentence of a document.
+    none = F.lit(None)
     marks = sentences(docs, key).select(key, "s", F.lit(0).alias("kind"), F.struct("sid", "e").alias("own"))
-    both = marks.unionByName(tokens(docs, key).withColumn("kind", F.lit(1)), allowMissingColumns=True)
-    place = W.partitionBy(key).orderBy("s", "kind").rowsBetween(W.unboundedPreceding, 0)
-    t = both.withColumn("own", F.last("own", ignorenulls=True).over(place)).where("kind = 1 and s < own.e")
-    t = t.withColumn("sid", F.col("own.sid")).drop("own", "kind")
-    shaped = (F.length("word") >= LEAST_TOKEN) & F.forall(
-        F.split("word", "-"), lambda p: (p != "") & ~((F.length(p) <= 4) & (p == F.upper(p)))
-    )
-    t = t.where(shaped).withColumn("name", casefold_de(F.col("word")))
-    t = t.join(common.select("name", F.lit(True).alias("common")), "name", "left")
-    t = t.join(given.select("name", F.lit(True).alias("given")), "name", "left")
-    first = F.substr("word", F.lit(1), F.lit(1))
-    t = t.withColumn("title", (first != F.lower(first)) & (F.col("word") != F.upper("word"))).withColumn("outside", F.col("common").isNull())
-    order = W.partitionBy(key).orderBy("i")
-    nxt = lambda c: F.lead(c).over(order)
-    starts = ~F.lag("sid").over(order).eqNullSafe(F.col("sid"))
-    close = (nxt("i") == F.col("i") + 1) & F.col("gap").rlike(r"(?U)^\s+$") & ~F.col("gap").rlike(r"\n[^\n]*\n|[.!?]")
-    one_out = F.col("outside") | nxt("outside")
-    both = F.col("title") & nxt("title")
-    cue = match_spans(F.col("text"), rewrite(CUE))
+    spans = docs.select(key, F.posexplode_outer(match_spans(F.col("text"), rewrite(phrase_pattern(cues)))).alias("c", "x")).where("x is not null")
+    marks = marks.unionByName(spans.select(key, F.col("x.s").alias("s"), F.lit(1).alias("kind"), F.struct(F.col("c"), F.col("x.e").alias("e")).alias("cue")), True)
+    if primary is not None:
+        marks = marks.unionByName(primary.select(key, "s", F.lit(2).alias("kind"), "e", "score"), True)
+    both = marks.unionByName(tokens(docs, key).withColumn("kind", F.lit(3)), True)
+    if primary is None:
+        both = both.withColumn("score", none.cast("double"))
+    line = W.partitionBy(key).orderBy("s", "kind")
+    before, after = line.rowsBetween(W.unboundedPreceding, 0), line.rowsBetween(0, W.unboundedFollowing)
+    # A token's sentence and cue are the last that begin at or before it, if they reach it; a cue may also begin inside it.
+    both = both.withColumn("own", F.last("own", ignorenulls=True).over(before)).withColumn("cue0", F.last("cue", ignorenulls=True).over(before))
+    both = both.withColumn("cue1", F.first(F.when(F.col("kind") == 1, F.struct("s", "cue.c")), ignorenulls=True).over(after))
+    sid = F.when(F.col("s") < F.col("own.e"), F.col("own.sid")).alias("sid")
+    cue = F.when(F.col("s") < F.col("cue0.e"), F.col("cue0.c")).when(F.col("cue1.s") < F.col("e"), F.col("cue1.c")).alias("cue")
+    placed = both.where("kind >= 2").select(key, "kind", "i", "s", "e", "word", "gap", "score", sid, cue)
+
+    t = placed.where("kind = 3").withColumn("name", casefold_de(F.col("word")))
+    t = t.join(common.select("name").distinct().withColumn("known", F.lit(True)), "name", "left")
+    t = t.join(given.select("name").distinct().withColumn("given", F.lit(True)), "name", "left")
+    shaped = (F.length("word") >= LEAST_TOKEN) & F.forall(F.split("word", "-"), lambda p: (p != "") & ~((F.length(p) <= 4) & (p == F.upper(p))))
+    initial = F.substr("word", F.lit(1), F.lit(1))
     t = t.select(
-        "*", starts.alias("starts"), nxt("sid").alias("sid2"), (close & one_out & both).alias("bigram"), (close & one_out & ~both).alias("lower_bigram")
+        key, "i", "s", "e", "gap", "name", "sid", "cue",
+        shaped.alias("shaped"),
+        ((initial != F.lower(initial)) & (F.col("word") != F.upper("word"))).alias("title"),
+        F.col("known").isNull().alias("outside"),
+        F.col("given").isNotNull().alias("given"),
+    )
+    order = W.partitionBy(key).orderBy("i")
+    around = order.rowsBetween(-CUE_WINDOW, CUE_WINDOW)
+    ahead = F.struct("sid", "e", "gap", "name", "shaped", "title", "outside")
+    t = t.withColumn("n1", F.lead(ahead).over(order)).withColumn("n2", F.lead(ahead, 2).over(order))
+    t = t.withColumn("starts", ~F.lag("sid").over(order).eqNullSafe(F.col("sid")) | F.col("sid").isNull())
+    t = t.withColumn("cues", F.struct(F.min("cue").over(around).alias("least"), F.max("cue").over(around).alias("most")))
+    near = lambda gap: gap.rlike(r"(?U)^\s+$") & ~gap.rlike(r"\n[^\n]*\n|[.!?]")
+    touching = near(F.col("gap"))
+    skip = touching & F.coalesce(F.col("n1.name").isin(*PARTICLES), F.lit(False)) & F.col("n2").isNotNull()
+    t = t.withColumn("next", F.when(skip, F.when(near(F.col("n1.gap")), F.col("n2"))).when(touching & ~F.coalesce(F.col("n1.name").isin(*PARTICLES), F.lit(False)), F.col("n1")))
+    t = t.where("shaped")
+    pair = F.coalesce(F.col("next.shaped") & (F.col("outside") | F.col("next.outside")), F.lit(False))
+    titles = F.coalesce(F.col("title") & F.col("next.title"), F.lit(False))
+    other = F.when(F.col("cue").isNull(), F.col("cues.most").isNotNull()).otherwise((F.col("cues.least") != F.col("cue")) | (F.col("cues.most") != F.col("cue")))
+    one = lambda reason, test, sid="sid", e="e": F.when(test & F.lit(bool(on[reason])), F.struct(F.lit(reason).alias("reason"), F.col(sid).alias("sid"), F.col("s").alias("s"), F.col(e).alias("e")))
+    hits = F.array(
+        one("sentenceStartUnknown", F.col("title") & F.col("outside") & F.col("starts")),
+        one("capitalizedUnknown", F.col("title") & F.col("outside") & ~F.col("starts")),
+        one("listedGivenName", F.col("given") & (F.col("title") | F.col("outside"))),
+        one("unknownBigram", pair & titles, e="next.e"),
+        one("unknownBigram", pair & titles, "next.sid", "next.e"),
+        one("unknownLowerBigram", pair & ~titles, e="next.e"),
+        one("unknownLowerBigram", pair & ~titles, "next.sid", "next.e"),
+        one("nearPersonCue", F.coalesce(other, F.lit(False)) & F.col("outside")),
     )
-    cues = docs.select(F.col(key).alias("k3"), F.explode(cue).alias("c")).select("k3", F.col("c.s").alias("cs"), F.col("c.e").alias("ce"))
-    cued = tokens(docs, key).join(cues, (F.col(key) == F.col("k3")) & (F.col("s") < F.col("ce")) & (F.col("cs") < F.col("e")))
-    cued = cued.select(F.col(key).alias("k4"), F.col("i").alias("ci")).distinct()
-    near = t.join(cued, (F.col(key) == F.col("k4")) & (F.abs(F.col("i") - F.col("ci")) <= CUE_WINDOW) & F.col("outside"))
-    near = near.join(cued.select(F.col("k4").alias(key), F.col("ci").alias("i")), [key, "i"], "left_anti")
-    wanted = [
-        ("sentenceStartUnknown", t.where("title and outside and starts"), "sid"),
-        ("capitalizedUnknown", t.where("title and outside and not starts"), "sid"),
-        ("listedGivenName", t.where("given and (title or outside)"), "sid"),
-        ("unknownBigram", t.where("bigram"), "sid"),
-        ("unknownBigram", t.where("bigram"), "sid2"),
-        ("unknownLowerBigram", t.where("lower_bigram"), "sid"),
-        ("unknownLowerBigram", t.where("lower_bigram"), "sid2"),
-        ("nearPersonCue", near, "sid"),
-    ]
-    parts = [rows.select(key, F.col(c).alias("sid"), F.lit(name).alias("reason")) for name, rows, c in wanted if on.get(name)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where("sid is not null").distinct()
+    rows = t.select(key, F.explode_outer(F.filter(hits, lambda h: h.isNotNull())).alias("h")).where("h is not null").select(key, "h.sid", "h.reason", "h.s", "h.e")
+    if primary is not None and on["lowConfidence"]:
+        low = placed.where((F.col("kind") == 2) & (F.col("score") < below))
+        rows = rows.unionByName(low.select(key, "sid", F.lit("lowConfidence").alias("reason"), "s", "e"))
+    return rows.where("sid is not null").distinct()
+
+
+def suspicious_sentences(docs: DataFrame, common: DataFrame, given: DataFrame, triggers: dict | None = None, key: str = "id", **more) -> DataFrame:
+    """``key, sid, reason``: sentences that the costly model should see, by trigger (see ``suspicious_tokens``)."""
+    return suspicious_tokens(docs, common, given, triggers, key, **more).select(key, "sid", "reason").distinct()
 
 
 class NerBackend(Protocol):
@@ -205,20 +316,31 @@ def model_spans(docs: DataFrame, load: Callable[[], NerBackend], labels: Iterabl
     return docs.select(key, "text").mapInPandas(run, f"{key} {kind}, s int, e int, label string, score double")
 
 
-def cascade(docs: DataFrame, reasons: DataFrame, load: Callable[[], NerBackend], labels: Iterable[str], least_score: float, most_chars: int = 2000, key: str = "id") -> DataFrame:
-    """The costly model over suspicious sentences only: ``key, s, e, label, score`` in document offsets.
+def model_windows(docs: DataFrame, hits: DataFrame, most_chars: int = 2000, key: str = "id") -> DataFrame:
+    """``key, s, e``: the stretches that the costly model sees: marked sentences whole, of longer ones windows around their hits.
 
-    The filter precedes the model, and long sentences go in windows of ``most_chars``.
+    hits: rows of ``suspicious_tokens``. Windows that touch are joined before they are cut, so a name lies
+    whole in one unless its hits spread over more than ``most_chars``.
     """
-    marked = sentences(docs, key).join(reasons.select(key, "sid").distinct(), [key, "sid"], "left_semi")
-    starts = F.sequence(F.lit(0), F.greatest(F.length("sentence") - 1, F.lit(0)), F.lit(most_chars))
-    windows = marked.select(key, "s", "sentence", F.explode(starts).alias("w"))
-    windows = windows.select(F.struct(key, (F.col("s") + F.col("w")).alias("base")).alias("at"), F.substr("sentence", F.col("w") + 1, F.lit(most_chars)).alias("text"))
-    named = windows.select(F.to_json("at").alias("id"), "text")
-    found = model_spans(named, load, labels, least_score)
-    place = F.from_json("id", f"{key} {docs.schema[key].dataType.simpleString()}, base int")
-    found = found.withColumn("p", place)
-    return found.select(F.col(f"p.{key}").alias(key), (F.col("s") + F.col("p.base")).alias("s"), (F.col("e") + F.col("p.base")).alias("e"), "label", "score")
+    own = hits.select(key, "sid", F.col("s").alias("hs"), F.col("e").alias("he"))
+    rows = sentences(docs, key).select(key, "sid", "s", "e").join(own, [key, "sid"])
+    short = rows.where(F.col("e") - F.col("s") <= most_chars).select(key, "s", "e").distinct()
+    middle = F.floor((F.greatest("hs", "s") + F.least("he", "e")) / 2).cast("int")
+    end = F.least(F.col("e"), F.greatest(F.col("s"), middle - most_chars // 2) + most_chars)
+    long = rows.where(F.col("e") - F.col("s") > most_chars)
+    long = long.select(key, "sid", F.greatest(F.col("s"), end - most_chars).alias("w"), end.alias("e")).withColumnRenamed("w", "s").distinct()
+    named = long.withColumn("id", F.struct(key, "sid")).select("id", "s", "e")
+    cut = merge_windows(named, most_chars, "id").select(F.col(f"id.{key}").alias(key), "s", "e")
+    return short.unionByName(cut)
+
+
+def cascade(docs: DataFrame, hits: DataFrame, load: Callable[[], NerBackend], labels: Iterable[str], least_score: float, most_chars: int = 2000, key: str = "id") -> DataFrame:
+    """The costly model over suspicious stretches only: ``key, s, e, label, score`` in document offsets."""
+    kind = docs.schema[key].dataType.simpleString()
+    windows = model_windows(docs, hits, most_chars, key).join(docs.select(key, "text"), key)
+    named = windows.select(F.to_json(F.struct(key, F.col("s").alias("base"))).alias("id"), F.substr("text", F.col("s") + 1, F.col("e") - F.col("s")).alias("text"))
+    found = model_spans(named, load, labels, least_score).withColumn("p", F.from_json("id", f"{key} {kind}, base int"))
+    return found.select(F.col(f"p.{key}").alias(key), (F.col("s") + F.col("p.base")).alias("s"), (F.col("e") + F.col("p.base")).alias("e"), "label", "score").distinct()
 
 
 def merge_windows(windows: DataFrame, most_chars: int, key: str = "id") -> DataFrame:
@@ -230,3 +352,14 @@ def merge_windows(windows: DataFrame, most_chars: int, key: str = "id") -> DataF
     whole = islands.groupBy(key, "island").agg(F.min("s").alias("s"), F.max("e").alias("e"))
     cut = whole.select(key, "e", F.explode(F.sequence("s", F.greatest(F.col("e") - 1, F.col("s")), F.lit(most_chars))).alias("s"))
     return cut.select(key, "s", F.least("e", F.col("s") + most_chars).alias("e"))
+
+
+NAME = rf"[{LETTERS}]+(?:[-' ][{LETTERS}]+)*"
+
+
+def build_name_list(sources: Iterable[tuple[DataFrame, int]], stop: Iterable[str] = STOP_WORDS) -> DataFrame:
+    """A list ``name`` of several open ones (rows ``name``, least length): trimmed, shaped like names, no stop word, each once, in order."""
+    parts = [rows.select(F.trim("name").alias("name")).where(F.length("name") >= least) for rows, least in sources]
+    names = reduce(lambda a, b: a.unionByName(b), parts)
+    names = names.where(F.col("name").rlike(f"^{NAME}$") & ~casefold_de(F.col("name")).isin(*stop)).distinct()
+    return names.orderBy(casefold_de(F.col("name")), "name")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lakewarden.operators.ordered import OneDecision, SlidingLimit, folded
+
 
 def assemble(fragments: DataFrame, keys: list[str], order: str = "chunk_no") -> DataFrame:
     """Names and arguments put together in chunk order; the id is the last one given."""
@@ -75,65 +77,27 @@ def outcome(calls: DataFrame, web_tool: str = "web_search") -> DataFrame:
 def admit(calls: DataFrame, keys: list[str], limit: int, window_seconds: int, at: str = "at", number: str = "call_no") -> DataFrame:
     """Sliding-window rate limit: ``keys, call_no, at, admitted``; refused calls do not count.
 
-    Admission depends on earlier admissions, so no window frame expresses it. Only the
-    last ``limit`` admitted times matter: the fold's buffer has that length. A key's
-    calls are folded together; keys run in parallel.
+    Admission depends on earlier admissions, so a key's calls pass a state machine in
+    order of time and number; memory is its buffer of at most ``limit`` times.
     """
-    rows = calls.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(at).alias("t"), F.col(number).alias("n")))).alias("c"))
-    span = window_seconds * 1_000_000
-
-    def step(state: Column, x: Column) -> Column:
-        # The buffer holds admitted times, oldest first, at most ``limit`` of them.
-        full = (F.size(state["buf"]) >= limit) & (F.get(state["buf"], F.lit(0)) > x["t"] - span)
-        kept = F.when(F.size(state["buf"]) >= limit, F.slice(state["buf"], 2, max(limit - 1, 1))).otherwise(state["buf"])
-        kept = F.slice(kept, 1, 0) if limit == 1 else kept
-        ok = ~full if limit > 0 else F.lit(False)
-        out = F.concat(state["out"], F.array(F.struct(x["t"].alias("t"), x["n"].alias("n"), ok.alias("ok"))))
-        return F.struct(F.when(ok, F.concat(kept, F.array(x["t"]))).otherwise(state["buf"]).alias("buf"), out.alias("out"))
-
-    start = F.struct(F.array().cast("array<bigint>").alias("buf"), F.array().cast("array<struct<t:bigint,n:bigint,ok:boolean>>").alias("out"))
-    folded = rows.select(*keys, F.explode(F.aggregate("c", start, step, lambda s: s["out"])).alias("x"))
-    return folded.select(*keys, F.col("x.n").alias(number), F.timestamp_micros("x.t").alias(at), F.col("x.ok").alias("admitted"))
+    rows = calls.select(*keys, number, F.unix_micros(at).alias("__micros"))
+    out = folded(rows, keys, "__micros", [number], SlidingLimit(limit, window_seconds))
+    return out.select(*keys, number, F.timestamp_micros("__micros").alias(at), "admitted")
 
 
 def confirmations(events: DataFrame, key: str = "confirmation_id", lifetime_seconds: int = 900) -> DataFrame:
-    """State machine over ``key, n, at, action, allowed, args_ok, succeeds``: the status after all and each code.
+    """``key, n, code, status`` after each of the events ``key, n, at, action, allowed, args_ok, succeeds``."""
+    rows = events.withColumn("__micros", F.unix_micros("at"))
+    return folded(rows, [key], "__micros", ["n"], OneDecision(lifetime_seconds)).drop("__micros")
 
-    create starts pending; an action after the lifetime finds it expired (409); reject and
-    approve act once on pending ones, any further action gets 409; approve re-checks
-    permission (403) and arguments (400) and then executes or fails.
-    """
-    fields = [F.col("n").cast("long").alias("n"), F.unix_micros("at").alias("t"), "action", "allowed", "args_ok", "succeeds"]
-    rows = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("e"))
-    life = lifetime_seconds * 1_000_000
-
-    def step(state: Column, e: Column) -> Column:
-        status, new = state["status"], e["action"] == "create"
-        late = (status == "pending") & (e["t"] > state["created"] + life)
-        open_ = (status == "pending") & ~late
-        after_approve = F.when(~e["allowed"] | ~e["args_ok"], "denied").when(e["succeeds"], "executed").otherwise("failed")
-        then = (
-            F.when(new & (status == "none"), "pending")
-            .when(late, "expired")
-            .when(open_ & (e["action"] == "reject"), "rejected")
-            .when(open_ & (e["action"] == "approve"), after_approve)
-            .otherwise(status)
-        )
-        code = (
-            F.when(new & (status == "none"), 202)
-            .when(status == "none", 404)
-            .when(~open_, 409)
-            .when((e["action"] == "approve") & ~e["allowed"], 403)
-            .when((e["action"] == "approve") & ~e["args_ok"], 400)
-            .when(new, 409)
-            .otherwise(200)
-        )
-        created = F.when(new & (status == "none"), e["t"]).otherwise(state["created"])
-        return F.struct(then.alias("status"), created.alias("created"), F.concat(state["codes"], F.array(code)).alias("codes"))
-
-    start = F.struct(F.lit("none").alias("status"), F.lit(0).cast("long").alias("created"), F.array().cast("array<int>").alias("codes"))
-    out = rows.select(key, F.aggregate("e", start, step).alias("x"))
-    return out.select(key, "x.status", "x.codes")
+
+def final_states(steps: DataFrame, key: str = "confirmation_id") -> DataFrame:
+    """The status after the last event, and how often each code was given (``code:times`` in order of code)."""
+    by_code = steps.groupBy(key, "code").agg(F.count(F.lit(1)).alias("times"), F.max(F.struct("n", "status")).alias("last"))
+    codes = F.array_sort(F.collect_list(F.struct("code", "times")))
+    out = by_code.groupBy(key).agg(F.max("last").alias("last"), codes.alias("codes"))
+    text = F.array_join(F.transform("codes", lambda c: F.concat_ws(":", c["code"].cast("string"), c["times"].cast("string"))), ",")
+    return out.select(key, F.col("last.status").alias("status"), text.alias("codes"))
 
 
 def owned(confirmations_: DataFrame, requests: DataFrame) -> DataFrame:
@@ -142,6 +106,20 @@ def owned(confirmations_: DataFrame, requests: DataFrame) -> DataFrame:
     return requests.join(mine, ["confirmation_id", "subject"], "left").withColumn("status_code", F.when(F.col("found"), 200).otherwise(404)).drop("found")
 
 
-def rounds_used(calls: DataFrame, max_rounds: int) -> DataFrame:
-    """Rounds of each request that ran tools: the last allowed round answers without them."""
-    return calls.where(F.col("round") < max_rounds).groupBy("request_id").agg(F.max("round").alias("rounds"), F.count(F.lit(1)).alias("calls"))
+def tool_rounds(calls: DataFrame, max_rounds: int) -> DataFrame:
+    """The tool loop of recorded requests: which calls ran and how each request ended.
+
+    calls: ``request_id, round`` (from 0) and more. Tools are not offered in the last round, so
+    calls in it or after it never run. Adds ``ran``; ``rounds`` and ``answered_in`` are the
+    request's rounds with tools and the round of its answer.
+    """
+    ran = F.col("round") < max_rounds - 1
+    used = calls.groupBy("request_id").agg(F.count_distinct(F.when(ran, F.col("round"))).alias("rounds"))
+    used = used.withColumn("answered_in", F.least(F.col("rounds"), F.lit(max_rounds - 1)))
+    return calls.withColumn("ran", ran).join(used, "request_id")
+
+
+def split_calls(calls: DataFrame, allowed: Column, tool: str = "tool") -> DataFrame:
+    """Every call with ``permitted`` and, for the others, the audit event that reports it."""
+    ok = F.coalesce(F.array_contains(allowed, F.col(tool)), F.lit(False))
+    return calls.withColumn("permitted", ok).withColumn("audit_event", F.when(~ok, "tool.call.denied"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakewarden.operators.audit import put_objects
+from lakewarden.operators.staged import staged
 
 
 def audit_line(event: str, fields: dict[str, Column]) -> Column:
@@ -24,15 +25,16 @@ def append_lines(lines: DataFrame, path: str) -> None:
 def put_mirror(incoming: DataFrame, path: str) -> DataFrame:
     """Write objects ``key, body`` that are new and return every outcome; conflicts write nothing.
 
-    Repeating a put changes nothing, so a batch that is run again is harmless.
+    Repeating a put changes nothing, so a batch that is run again is harmless. The outcomes
+    are those before the write, whenever they are read.
     """
     spark = incoming.sparkSession
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     exists = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
     held = spark.read.parquet(path) if exists else spark.createDataFrame([], incoming.schema)
-    outcomes = put_objects(held, incoming)
-    incoming.join(outcomes.where("outcome = 'created'"), "key", "left_semi").write.mode("append").parquet(path)
+    outcomes = staged(put_objects(held, incoming), "mirror-puts")
+    outcomes.where("write").select("key", "body").write.mode("append").parquet(path)
     return outcomes
 
 
@@ -53,6 +55,12 @@ def each_batch_once(write: Callable[[DataFrame, str], None], path: str) -> Calla
     return run
 
 
+def report_lines(report: DataFrame) -> DataFrame:
+    """A console table's lines: the columns' names, then each row, fields by tabs and absent ones empty."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in report.columns]
+    return report.select(F.concat_ws("\t", *cells).alias("line"))
+
+
 def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)
 

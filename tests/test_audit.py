@@ -57,11 +57,81 @@ def test_mirror(spark):
     assert got == {("worm_mismatch", "entries/1"), ("worm_missing", "entries/2"), ("truncation", "entries/4"), ("truncation", "entries/5"), ("worm_extra", "zz"), ("delete_marker", "entries/0")}
 
 
-def test_queue_never_drops(spark):
-    kinds = ["put", "put", "put", "ack", "put", "ack", "ack", "ack"]
-    df = spark.createDataFrame([("s", i, k) for i, k in enumerate(kinds)], "sink string, n long, kind string")
-    got = [(r.depth, r.refused) for r in audit.queue_admission(df, 2).orderBy("n").collect()]
-    assert got == [(1, False), (2, False), (2, True), (1, False), (2, False), (1, False), (0, False), (0, False)]
+def test_queue_never_drops_and_waits_for_every_sink(spark):
+    rows = [("put", 1, None), ("put", 2, None), ("put", 3, None), ("ack", 1, "a"), ("put", 3, None), ("ack", 1, "b"), ("ack", 1, "b"), ("put", 3, None), ("ack", 9, "a")]
+    df = spark.createDataFrame([("q", i, *r) for i, r in enumerate(rows)], "queue string, n long, kind string, item int, sink string")
+    got = [(r.depth, r.refused) for r in audit.queue_admission(df, 2, ("a", "b")).orderBy("n").collect()]
+    assert got == [(1, False), (2, False), (2, True), (2, False), (2, True), (1, False), (1, False), (2, False), (2, False)]
+
+
+def test_prefix_roots_of_every_length(spark, monkeypatch):
+    lines = [f"l{i}" for i in range(37)]
+    df = spark.createDataFrame([("s", i, x) for i, x in enumerate(lines)], "seg string, line_no int, raw_line string")
+    wanted = spark.createDataFrame([("s", n) for n in range(1, 40)], "seg string, entries int")
+    for levels in (2, 7):
+        monkeypatch.setattr(audit, "LEVELS", levels)
+        got = {r.entries: r.root for r in audit.prefix_roots(audit.tree_nodes(df), wanted).collect()}
+        assert {n: got[n] for n in range(1, 38)} == {n: tree(lines[:n]) for n in range(1, 38)}
+    assert df.groupBy("seg").agg(audit.merkle_root("line_no", "raw_line").alias("r")).first().r == tree(lines)
+    assert audit.MerkleRoot.of([]) == audit.EMPTY_ROOT
+
+
+def checkpoints(lines, *entries):
+    rows, prev = [], audit.GENESIS
+    for n, e in enumerate(entries, 1):
+        head = "sha256:" + hashlib.sha256(lines[e - 1].encode()).hexdigest()
+        rows.append(["s", n, e, head, tree(lines[:e]), prev, f"h{n}", True])
+        prev = f"h{n}"
+    return rows
+
+
+def test_checkpoints_see_a_rewritten_prefix_and_a_missing_copy(spark):
+    schema = "seg string, seq int, entries long, head string, merkle_root string, prev_checkpoint string, body_hash string, signature_ok boolean"
+    lines = chain(9)
+
+    def found(rows, lines, held=("h1", "h2", "h3")):
+        log = spark.createDataFrame([("s", i, x) for i, x in enumerate(lines)], "seg string, line_no long, raw_line string")
+        mirror = spark.createDataFrame([("s", h) for h in held], "seg string, body_hash string")
+        cps = spark.createDataFrame([tuple(r) for r in rows], schema)
+        return {(r.kind, r.line) for r in audit.verify_checkpoints(cps, log, mirror).collect()}
+
+    good = checkpoints(lines, 3, 6, 9)
+    assert found(good, lines) == set() == found([*good, good[1]], lines)
+    # A line before every head is rewritten: the heads stay, the roots do not.
+    assert found(good, ["x", *lines[1:]]) == {("modified", 1), ("modified", 2), ("modified", 3)}
+    assert found(good, lines[:7]) == {("truncation", 3)}
+    assert found(good, lines, ("h1", "h3")) == {("worm_missing", 2)}
+    forged = [r[:] for r in good]
+    forged[1][7] = False
+    assert found(forged, lines) == {("forged_checkpoint", 2), ("gap", 3)}
+    twice = [r[:] for r in good]
+    twice[2][1] = 2
+    assert ("reorder", 2) in found(twice, lines)
+
+
+def test_puts_pin_each_outcome(spark):
+    held = spark.createDataFrame([("k1", "a"), ("k2", "b")], "key string, body string")
+    rows = spark.createDataFrame([("k1", "a"), ("k2", "x"), ("k3", "c"), ("k3", "d"), ("k3", "c")], "key string, body string")
+    got = sorted((r.key, r.body, r.outcome, r.write) for r in audit.put_objects(held, rows).collect())
+    assert got == [("k1", "a", "same", False), ("k2", "x", "conflict", False), ("k3", "c", "created", True), ("k3", "c", "same", False), ("k3", "d", "conflict", False)]
+
+
+def test_report_and_hygiene(spark):
+    good = {"event": "request.accepted", "trace_id": "a" * 32, "policy": {"version": "1", "digest": "d"}}
+    lines = [good, good | {"trace_id": "x"}, {"event": "boot"}, good | {"event": "egress.cloud"}, good | {"event": "egress.cloud", "rule_ids": ["r"], "provider": "p", "payload_sha256": "h"}]
+    log = spark.createDataFrame([("s", i, json.dumps(x)) for i, x in enumerate(lines)], "seg string, line_no long, raw_line string")
+    assert tuple(audit.hygiene(log).first()) == (5, 1, 1, 1)
+    rows, verdict = audit.report([audit.classify_chain(log), audit.classify_chain(log)], log)
+    v = verdict.first()
+    assert v.entries == 5 and v.findings == rows.count() > 0 and not v.ok
+    assert v.head == "sha256:" + hashlib.sha256(json.dumps(lines[-1]).encode()).hexdigest()
+    only = audit.enabled_events(spark.createDataFrame([("a",), ("b",)], "event string"), ["b"]).collect()
+    assert [r.event for r in only] == ["b"]
+    fields = spark.range(1).select(audit.allowed_fields(F.create_map(F.lit("tool"), F.lit("t"), F.lit("secret"), F.lit("s")), ["tool"]).alias("f")).first().f
+    assert fields == {"tool": "t"}
+    assert audit.syslog_frame is not None
+    frame = spark.range(1).select(audit.syslog_frame(F.lit("ü"), F.lit(0), "h").alias("f")).first().f
+    assert frame == f"{len('<110>1 1970-01-01T00:00:00Z h audit - - - ü'.encode())} <110>1 1970-01-01T00:00:00Z h audit - - - ü"
 
 
 def test_quorum(spark):
