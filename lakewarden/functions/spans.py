@@ -60,7 +60,7 @@ def rewrite(pattern: str) -> Pattern:
 def scan(rows: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], item: str) -> Column:
     """What ``step(state, row)`` makes of each row as it passes a state along: an array of type ``item``.
 
-    Appending copies an array, so items gather in chunks and the chunks are flattened once.
+    ``rows`` is named in every chunk: it must be a column or bound by ``let``. Appending copies an array, so items gather in chunks and the chunks are flattened once.
     """
     none = F.array().cast(f"array<{item}>")
 
@@ -169,6 +169,9 @@ def splice(text: Column, spans: Column, replacement: Callable[[Column], Column])
     def piece(at: Column, x: Column) -> tuple[Column, Column]:
         return x["e"], F.concat(F.substr(text, at + 1, x["s"] - at), replacement(x))
 
-    pieces = F.array_join(scan(spans, F.lit(0), piece, "string"), "")
-    rebuilt = F.concat(pieces, F.substr(text, F.element_at(spans, -1)["e"] + 1))
-    return F.when(F.size(spans) > 0, rebuilt).otherwise(text)
+    def rebuilt(own: Column) -> Column:
+        pieces = F.array_join(scan(own, F.lit(0), piece, "string"), "")
+        whole = F.concat(pieces, F.substr(text, F.element_at(own, -1)["e"] + 1))
+        return F.when(F.size(own) > 0, whole).otherwise(text)
+
+    return let(spans, rebuilt)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lakewarden.operators.detect import span_rows
 from lakewarden.operators.policy import Policy
 
 
@@ -195,6 +196,12 @@ def latest_policies(log: DataFrame, keep: int = 5) -> DataFrame:
     return last.orderBy(F.desc("seq")).limit(keep)
 
 
+def bound_to_policy(decisions: DataFrame, log: DataFrame, keep: int = 5) -> DataFrame:
+    """Decisions ``digest, ...`` with ``known``: whether they name one of the last policies (``keep`` rows, broadcast)."""
+    last = latest_policies(log, keep).select("digest", F.lit(True).alias("known"))
+    return decisions.join(F.broadcast(last), "digest", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
 def unknown_references(refs: DataFrame, ids: DataFrame) -> DataFrame:
     """References (``owner, kind, ref``) that name nothing in ``ids`` (``kind, id``)."""
     return refs.join(ids.withColumnRenamed("id", "ref"), ["kind", "ref"], "left_anti")
@@ -202,7 +209,7 @@ def unknown_references(refs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def entity_counts_by(found: DataFrame, *keys: str) -> DataFrame:
     """Masked occurrences (not distinct values) by keys and entity."""
-    return found.select(*keys, F.explode("spans").alias("x")).groupBy(*keys, F.col("x.entity").alias("entity")).agg(F.count(F.lit(1)).alias("n"))
+    return span_rows(found, *keys).groupBy(*keys, "entity").agg(F.count(F.lit(1)).alias("n"))
 
 
 def context_lookup(requests: DataFrame, lookups: DataFrame, ttl_seconds: int = 600) -> DataFrame:

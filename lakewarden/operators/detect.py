@@ -28,7 +28,7 @@ def detector_spans(text: Column, detector: Detector) -> Column:
         spans = _numbered(spans, number)
         if detector.literal:
             # A text without a literal that every match holds is not searched at all.
-            spans = F.when(F.contains(text, F.lit(detector.literal)), spans).otherwise(F.slice(spans, 1, 0))
+            spans = F.when(F.contains(text, F.lit(detector.literal)), spans).otherwise(F.array().cast("array<struct<s:int,e:int,v:string,pat:int>>"))
         parts.append(spans)
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 

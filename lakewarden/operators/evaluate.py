@@ -46,7 +46,11 @@ def type_metrics(gold: DataFrame, predicted: DataFrame, texts: DataFrame, types:
     counted = predicted.where(F.col("type").isin(types))
     right = counted.join(g, over, "left_semi").groupBy("type").agg(F.count(F.lit(1)).alias("pred_ok"))
     every = counted.groupBy("type").agg(F.count(F.lit(1)).alias("pred"))
-    out = recall.join(every, "type", "full_outer").join(right, "type", "left").na.fill(0)
+    # The sides are a row for each type; a union keeps the join from losing its key where the type is constant.
+    parts = [recall, every, right]
+    zero = {c: F.lit(0).cast("long") for c in ("gold", "strict", "masked", "partial", "pred", "pred_ok")}
+    rows = [p.select("type", *[F.col(c) if c in p.columns else v.alias(c) for c, v in zero.items()]) for p in parts]
+    out = union_all(rows).groupBy("type").agg(*[F.sum(c).alias(c) for c in zero])
     return out.select(
         "type", "gold", "strict", "masked", "partial", "pred", "pred_ok",
         ratio(F.col("strict"), F.col("gold")).alias("recall_strict"),
@@ -55,9 +59,9 @@ def type_metrics(gold: DataFrame, predicted: DataFrame, texts: DataFrame, types:
     )
 
 
-def latency(times: DataFrame, column: str = "ms") -> DataFrame:
-    """Mean and nearest-rank 95th percentile."""
-    return times.agg(F.bround(F.avg(column), 2).alias("mean_ms"), F.expr(f"percentile_disc(0.95) within group (order by {column})").alias("p95_ms"))
+def latency(times: DataFrame, column: str = "ms", by: tuple[str, ...] = ()) -> DataFrame:
+    """Mean and nearest-rank 95th percentile, by groups if any are named."""
+    return times.groupBy(*by).agg(F.bround(F.avg(column), 2).alias("mean_ms"), F.expr(f"percentile_disc(0.95) within group (order by {column})").alias("p95_ms"))
 
 
 def gate_failures(metrics: DataFrame, gates: DataFrame) -> DataFrame:
@@ -86,5 +90,10 @@ def trigger_stats(reasons: DataFrame, sentences: DataFrame) -> DataFrame:
     return by.join(F.broadcast(total))
 
 
+def outcome_summary(results: DataFrame) -> DataFrame:
+    """``outcome, n``: how many results ended how."""
+    return results.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -119,11 +119,11 @@ def context_names(
     rules = list(rules)
     if bad := {a for a, _ in rules} - set(ACCEPTS):
         raise ValueError(f"unknown rule: {', '.join(sorted(bad))}")
-    found = [
-        F.transform(match_spans(F.col(text), rewrite(p)), lambda x, a=accept: F.struct(F.lit(a).alias("accept"), x["s"].alias("s"), x["v"].alias("v")))
-        for accept, patterns in rules
-        for p in patterns
-    ]
+
+    def named(accept: str) -> Callable[[Column], Column]:
+        return lambda x: F.struct(F.lit(accept).alias("accept"), x["s"].alias("s"), x["v"].alias("v"))
+
+    found = [F.transform(match_spans(F.col(text), rewrite(p)), named(accept)) for accept, patterns in rules for p in patterns]
     if not found:
         return docs.select(key, F.lit(0).alias("s"), F.lit(0).alias("e")).where("false")
     spans = docs.select(key, F.explode_outer(F.concat(*found)).alias("x")).where("x is not null").select(key, "x.*").distinct()

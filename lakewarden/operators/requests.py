@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakewarden.functions.expressions import failure_code
+
 #: Fields of a chat request that are rebuilt or withheld, never passed on as they came.
 REBUILT = ("messages", "tools", "tool_choice", "functions", "function_call")
 FORWARDED_HEADERS = ("traceparent",)
@@ -18,9 +20,6 @@ def message_context(role: Column) -> Column:
     return F.when(role == "tool", "tool_result").otherwise("prompt")
 
 
-MESSAGES = "array<struct<role:string,content:string>>"
-
-
 def request_status(body: Column) -> Column:
     """200, or 400 for a body whose ``messages`` is no list, is empty, or has a member without a role."""
     j = F.try_parse_json(body)
@@ -77,11 +76,13 @@ def identify(requests: DataFrame, clients: DataFrame, agents: list[str]) -> Data
     rows = rows.join(known, "__key", "left")
     three = F.size(F.split("__token", r"\.")) == 3
     state = F.coalesce("user_token", F.lit("absent"))
-    bad = (
-        F.when(~F.col("__bearer"), F.struct(F.lit(401).alias("status"), F.lit("invalid_token").alias("code")))
-        .when(F.col("client").isNull() & ~(three & F.col("oidc_sub").isNotNull()), F.struct(F.lit(401), F.lit("invalid_token")))
-        .when(F.col("client").isNotNull() & (state == "unconfigured"), F.struct(F.lit(503), F.lit("auth_unavailable")))
-        .when(F.col("client").isNotNull() & (state == "invalid"), F.struct(F.lit(401), F.lit("invalid_token")))
+    bad = failure_code(
+        [
+            (~F.col("__bearer"), 401, "invalid_token"),
+            (F.col("client").isNull() & ~F.coalesce(three & F.col("oidc_sub").isNotNull(), F.lit(False)), 401, "invalid_token"),
+            (F.col("client").isNotNull() & (state == "unconfigured"), 503, "auth_unavailable"),
+            (F.col("client").isNotNull() & (state == "invalid"), 401, "invalid_token"),
+        ]
     )
     who = (
         F.when(F.col("client").isNull(), F.concat(F.lit("user:"), "oidc_sub"))

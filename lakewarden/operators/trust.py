@@ -54,17 +54,20 @@ def workable(keys: DataFrame, at: Column, keyring_need: int, policy_need: int) -
     return out.withColumn("ok", (F.col("keyring_keys") >= keyring_need) & (F.col("policy_keys") >= policy_need))
 
 
-def successions(rings: DataFrame) -> DataFrame:
-    """Faults of a ring history ``version, digest, prev, quorum_ok`` (the quorum under the ring before)."""
-    order = W.orderBy("version")
+def successions(rings: DataFrame, history: str = "history") -> DataFrame:
+    """Faults of ring histories ``history, version, digest, prev, valid, need``: ``history, version, fault``.
+
+    valid and need are the signers that count under the ring before (for the first, under itself).
+    """
+    order = W.partitionBy(history).orderBy("version")
     rows = rings.withColumn("v0", F.lag("version").over(order)).withColumn("d0", F.lag("digest").over(order))
     fault = (
         F.when(F.col("v0").isNull() & ((F.col("version") != 1) | (F.coalesce("prev", F.lit("")) != "")), "bad_genesis")
         .when(F.col("v0").isNotNull() & (F.col("version") != F.col("v0") + 1), "version_jump")
         .when(F.col("v0").isNotNull() & ~F.col("prev").eqNullSafe(F.col("d0")), "wrong_predecessor")
-        .when(~F.col("quorum_ok"), "no_quorum")
+        .when(F.col("valid") < F.col("need"), "no_quorum")
     )
-    return rows.select("version", fault.alias("fault"))
+    return rows.select(history, "version", fault.alias("fault"))
 
 
 def rollbacks(log: DataFrame, history: str = "history", order: str = "seq") -> DataFrame:

@@ -30,23 +30,24 @@ _SUBJECTS = f"""
   select doc_id, string_agg(entity, ',' order by entity) as entities from entities where n > 0 group by 1
 ), subjects as (
   select d.doc_id as request_id, coalesce(entities, '') as entities,
-         source in ('src0', 'src1', 'src2') as ops, lang in ('en', 'de') as staff,
-         doc_id % 2 = 0 as bot, doc_id % 3 = 0 as m1
+         source in ('src0', 'src1', 'src2') as editor, lang in ('en', 'de') as reader,
+         doc_id % 2 = 0 as crawler, doc_id % 3 = 0 as m1
   from documents d left join named using (doc_id)
 ), classed as (
-  select *, case when entities like '%SECRET%' then 3 when entities <> '' then 2 when ops or staff then 1 else 0 end as rank
+  select *, case when entities like '%SECRET%' then 4 when entities like '%CARD%' then 3 when entities <> '' then 2 when editor or reader then 1 else 0 end as rank
   from subjects
 ), decided as (
-  select *, ['public', 'internal', 'confidential', 'restricted'][rank + 1] as data_class,
-    case when rank = 3 then 'restricted-local' when rank = 2 then 'confidential-local' when ops then 'ops-fallback'
-         when bot and m1 then 'bots' when staff then 'baseline' end as rule_id,
-    array_to_string(list_filter([case when ops and bot and rank <= 2 then 'lookup' end, case when ops and bot and rank <= 1 then 'comment' end,
-      case when staff and rank <= 1 then 'search' end], lambda x: x is not null), ',') as tools,
-    array_to_string(list_filter([case when ops then 'docs' end, case when ops or staff then 'handbook' end], lambda x: x is not null), ',') as collections,
-    ops and rank <= 1 as web_search
+  select *, ['open', 'team', 'personal', 'payment', 'credential'][rank + 1] as data_class,
+    case when rank = 4 then 'no-credentials' when rank = 3 and editor then 'payments-by-editors' when rank in (2, 3) and m1 then 'private-on-m1'
+         when rank <= 1 and editor and crawler then 'crawled' when reader then 'readers' when not m1 then 'rest-on-m2' end as rule_id,
+    array_to_string(list_filter([case when editor and crawler and rank <= 3 then 'lookup' end, case when editor and crawler and rank <= 1 then 'comment' end,
+      case when reader and rank <= 2 then 'search' end], lambda x: x is not null), ',') as tools,
+    array_to_string(list_filter([case when editor then 'docs' end, case when editor or reader then 'handbook' end], lambda x: x is not null), ',') as collections,
+    editor and rank <= 1 as web_search
   from classed
 ), routed as (
-  select *, case when rule_id is null then 'deny' when rule_id = 'ops-fallback' then 'local-with-cloud-fallback' else 'local-only' end as mode
+  select *, case coalesce(rule_id, 'no-credentials') when 'no-credentials' then 'deny' when 'crawled' then 'cloud-allowed'
+    when 'readers' then 'local-with-cloud-fallback' else 'local-only' end as mode
   from decided
 )"""
 
@@ -76,34 +77,24 @@ ORACLES: dict[str, str] = {
     "detect_secret_tokens": f"select doc_id, unnest(regexp_extract_all(text, '{_TOKEN}', 1)) as value from documents",
     "entity_counts_by_lang": f"with {_CARDS}, {_ENTITIES} select lang, entity, sum(n)::bigint as n from entities where n > 0 group by 1, 2",
     "entity_rollup": f"with {_CARDS}, {_ENTITIES} select lang, source, entity, sum(n)::bigint as n from entities where n > 0 group by rollup (lang, source, entity)",
-    "mask_redact": f"select doc_id, regexp_replace(text, '{_EMAIL}', '<EMAIL_REDACTED>', 'g') as masked from documents",
-    "mask_hash": f"""with {_EMAIL_SPANS}, hits as (select distinct doc_id from emails)
-        select doc_id, list_reduce(list_prepend(segs[1], list_transform(range(1, len(ms) + 1),
-          lambda i: '<EMAIL_' || substr(sha256(ms[i]), 1, 10) || '>' || segs[i + 1])), lambda a, b: a || b) as masked
-        from parts where len(ms) > 0""",
-    "placeholder_numbering": f"""with {_EMAIL_SPANS}, firsts as (
-          select d.source as request_id, value, min(doc_id * 1000000 + s) as f, count(*) as occurrences
-          from email_spans join documents d using (doc_id) group by 1, 2
-        ), ranked as (select *, row_number() over (partition by request_id order by f) as n from firsts)
-        select request_id, value, '<EMAIL_' || n || '>' as placeholder, n, occurrences from ranked""",
-    "demask_roundtrip": f"select doc_id as msg_idx, true as same, regexp_matches(text, '{_TOKEN}') as has_secret from documents",
+    
     "mask_web_results": f"""select page_id, len(regexp_extract_all(html, '{_EMAIL}'))::bigint as hits,
         regexp_replace(html, '{_EMAIL}', '<EMAIL_REDACTED>', 'g') as masked from pages""",
     "strip_placeholders": "select conv_id, turn, role || ' asks now' as query, 2::bigint as removed, false as empty from conversations",
-    "roles_for_claims": """select doc_id as request_id, array_to_string(list_filter([case when source in ('src0', 'src1', 'src2') then 'ops' end,
-        case when lang in ('en', 'de') then 'staff' end], lambda x: x is not null), ',') as roles from documents""",
+    "roles_for_claims": """select doc_id as request_id, array_to_string(list_filter([case when source in ('src0', 'src1', 'src2') then 'editor' end,
+        case when lang in ('en', 'de') then 'reader' end], lambda x: x is not null), ',') as roles from documents""",
     "data_class_assign": f"with {_SUBJECTS} select request_id, entities, data_class, rank from routed",
-    "route_first_match": f"""with {_SUBJECTS} select request_id, rule_id,
-        case rule_id when 'restricted-local' then 900 when 'confidential-local' then 800 when 'ops-fallback' then 500 when 'bots' then 300 else 100 end as priority,
-        mode from routed where rule_id is not null""",
+    "route_first_match": f"""with {_SUBJECTS} select request_id, rule_id, case rule_id when 'no-credentials' then 70 when 'payments-by-editors' then 60
+        when 'private-on-m1' then 55 when 'crawled' then 40 when 'readers' then 20 else 5 end as priority, mode from routed where rule_id is not null""",
     "route_trace": f"""with {_SUBJECTS}, steps as (
           select request_id, rule_id,
-            ['restricted-local:' || case when rank = 3 then 'match' else 'data_class' end,
-             'confidential-local:' || case when rank = 2 then 'match' else 'data_class' end,
-             'ops-fallback:' || case when rank <= 1 and ops then 'match' else concat_ws(',', case when rank > 1 then 'data_class' end, case when not ops then 'roles' end) end,
-             'bots:' || case when bot and m1 then 'match' else concat_ws(',', case when not bot then 'agent' end, case when not m1 then 'model' end) end,
-             'baseline:' || case when staff or ops then 'match' else 'roles' end] as s,
-            case rule_id when 'restricted-local' then 1 when 'confidential-local' then 2 when 'ops-fallback' then 3 when 'bots' then 4 else 5 end as upto
+            ['no-credentials:' || case when rank = 4 then 'match' else 'data_class' end,
+             'payments-by-editors:' || case when rank = 3 and editor then 'match' else concat_ws(',', case when rank <> 3 then 'data_class' end, case when not editor then 'roles' end) end,
+             'private-on-m1:' || case when rank in (2, 3) and m1 then 'match' else concat_ws(',', case when rank not in (2, 3) then 'data_class' end, case when not m1 then 'model' end) end,
+             'crawled:' || case when rank <= 1 and editor and crawler then 'match' else concat_ws(',', case when rank > 1 then 'data_class' end,
+               case when not editor then 'roles' end, case when not crawler then 'agent' end) end,
+             'readers:' || case when reader then 'match' else 'roles' end, 'rest-on-m2:' || case when not m1 then 'match' else 'model' end] as s,
+            case rule_id when 'no-credentials' then 1 when 'payments-by-editors' then 2 when 'private-on-m1' then 3 when 'crawled' then 4 when 'readers' then 5 else 6 end as upto
           from routed)
         select request_id, array_to_string(s[1:upto], ';') as trace from steps""",
     "request_decision": f"""with {_SUBJECTS} select request_id, data_class, rank, coalesce(rule_id, '') as rule_id, mode,
@@ -113,13 +104,10 @@ ORACLES: dict[str, str] = {
         case when source in ('src0', 'src1', 'src2') or lang in ('en', 'de') then 'handbook' end], lambda x: x is not null), ',') as collections from documents""",
     "web_permission": f"with {_SUBJECTS} select data_class, web_search, count(*) as n from routed group by 1, 2",
     "provider_permission": f"""with {_SUBJECTS} select request_id, case when mode = 'deny' then 'policy_denied'
-        when bot and mode = 'local-only' then 'mode' else '' end as reason from routed""",
+        when crawler and mode = 'local-only' then 'mode' else '' end as reason from routed""",
     "body_size_checks": """with b as (select event_id, case when event_id % 7 = 0 then 'not json' else props end as body from events)
         select event_id, case when strlen(body) > 12 then 413 when json_valid(body) and json_type(body) = 'OBJECT' then 200 else 400 end as status from b""",
     "egress_recheck": "select doc_id as msg_idx, 0::bigint as hits from documents",
-    "leak_scan": f"""with {_EMAIL_SPANS}, sensitive as (select distinct value from emails where len(value) >= 4),
-        texts as (select html as t from pages union all select text from documents)
-        select value, count(*) as n_texts from sensitive join texts on contains(t, value) group by 1""",
     "rate_limit_admission": """with recursive e as (
           select user_id, event_id, epoch_us(ts) as t, row_number() over (partition by user_id order by ts, event_id) as n from events
         ), walk as (
@@ -131,20 +119,20 @@ ORACLES: dict[str, str] = {
           from walk w join e on e.user_id = w.user_id and e.n = w.n + 1
         )
         select user_id, event_id, admitted from walk""",
-    "confirmation_states": """with e as (
-          select *, row_number() over (partition by user_id order by ts, event_id) as n from events
-        ), c as (select user_id, ts as created from e where n = 1
-        ), a as (
-          select c.user_id, e.event_id, e.ts > c.created + interval 1 day as late, e.event_id % 3 = 0 as rejects,
-                 e.event_id % 5 <> 0 as allowed, e.event_id % 7 <> 0 as args_ok, e.event_id % 11 <> 0 as succeeds
-          from c left join e on e.user_id = c.user_id and e.n = 2
-        )
-        select user_id as confirmation_id,
-          case when event_id is null then 'pending' when late then 'expired' when rejects then 'rejected'
-               when not (allowed and args_ok) then 'denied' when succeeds then 'executed' else 'failed' end as status,
-          case when event_id is null then '202' else '202,' || case when late then '409' when rejects then '200'
-               when not allowed then '403' when not args_ok then '400' else '200' end end as codes
-        from a""",
+    "confirmation_states": """with recursive e as (
+          select user_id, epoch_us(ts) as t, row_number() over (partition by user_id order by ts, event_id) as n, event_id % 3 = 0 as rejects,
+                 event_id % 5 <> 0 as allowed, event_id % 7 <> 0 as args_ok, event_id % 11 <> 0 as succeeds from events
+        ), w as (
+          select user_id, n, t as created, 'pending' as status, 202 as code from e where n = 1
+          union all
+          select e.user_id, e.n, w.created,
+            case when w.status <> 'pending' then w.status when e.t > w.created + 86400000000 then 'expired' when rejects then 'rejected'
+                 when not (allowed and args_ok) then 'denied' when succeeds then 'executed' else 'failed' end,
+            case when w.status <> 'pending' or e.t > w.created + 86400000000 then 409 when rejects then 200 when not allowed then 403 when not args_ok then 400 else 200 end
+          from w join e on e.user_id = w.user_id and e.n = w.n + 1
+        ), c as (select user_id, code, count(*) as k from w group by 1, 2)
+        select w.user_id as confirmation_id, any_value(c.codes) as codes, arg_max(status, n) as status
+        from w join (select user_id, string_agg(code || ':' || k, ',' order by code) as codes from c group by 1) c using (user_id) group by 1""",
     "tool_fragments": """select user_id as request_id, max_by(event_id::varchar, event_id) filter (event_id % 2 = 0) as call_id,
         string_agg(event_type, '' order by event_id) as arguments from events group by 1""",
     "tool_outcomes": """select case when event_id % 19 = 0 and event_id % 4 = 0 then 'web_search_not_permitted'
@@ -152,7 +140,7 @@ ORACLES: dict[str, str] = {
           when event_id % 2 = 0 and event_id % 7 = 0 then 'pending_confirmation' when event_id % 11 = 0 then 'rate_limited'
           when event_id % 13 = 0 then 'tool_gateway_unavailable' when event_id % 2 = 0 then 'tool_failed'
           when event_id % 17 = 0 then 'tool_result_unavailable' else 'executed' end as outcome, count(*) as n from events group by 1""",
-    "stream_demask_batch": "select doc_id as request_id, 'hi a@b.de ' || lang || ' <X_2>' as text from documents",
+    "stream_demask_batch": "select doc_id as request_id, 0 as choice, text from documents where text <> ''",
     "vector_topk_acl": """with v as (select vec_id, embedding::double[] as x, label from embeddings
         ), q as (select * from v where vec_id % 20 = 0
         ), scored as (
@@ -164,7 +152,7 @@ ORACLES: dict[str, str] = {
     "gazetteer_pairs": rf"""with {_NAMES}, t as (
           select doc_id, regexp_extract_all(text, '[\p{{L}}\p{{Nl}}\p{{No}}]+(?:-[\p{{L}}\p{{Nl}}\p{{No}}]+)*') as w,
                  string_split_regex(text, '[\p{{L}}\p{{Nl}}\p{{No}}]+(?:-[\p{{L}}\p{{Nl}}\p{{No}}]+)*') as g
-          from documents where lang = 'en'
+          from documents
         ), rows_ as (
           select doc_id, unnest(range(1, len(w) + 1)) as i, w, g from t
         ), near as (
@@ -195,8 +183,6 @@ ORACLES: dict[str, str] = {
         select history, count(*) filter (signed and d < before) as refused from b group by 1""",
     "policy_last_valid": """select o_custkey as history, o_orderkey as seq,
         max(case when o_orderkey % 2 = 0 then o_orderkey end) over (partition by o_custkey order by o_orderkey)::varchar as active from orders""",
-    "eval_metrics": f"""with {_EMAIL_SPANS}, t as (select count(*) as n, count(*) filter ((doc_id + s) % 3 <> 0) as k from email_spans)
-        select 'EMAIL' as type, n as gold, k as strict, n as pred, n as pred_ok, round_even(k / n, 3) as recall_strict, 1.0::double as precision from t where n > 0""",
     "eval_by_vocab": f"""with {_EMAIL_SPANS} select doc_id % 2 = 0 as oov, count(*) as gold, count(*) filter ((doc_id + s) % 3 <> 0) as strict from email_spans group by 1""",
     "eval_p95": "select event_type, quantile_disc(value, 0.95) as p95, count(*) as n from events group by 1",
     "eval_gate": """with m as (select event_type as type, round_even(count(*) filter (event_id % 4 <> 0) / count(*), 3) as got from events group by 1)
@@ -237,7 +223,38 @@ _RESOLVED = f"""
     select 1 from every b where b.doc_id = a.doc_id and b.s < a.e and a.s < b.e and b.e - b.s > a.e - a.s)
 )"""
 
+_BUILT = """
+pieces as (
+  select doc_id, s, e, text, mark, coalesce(lag(e) over (partition by doc_id order by s), 0) as prev from marked
+), built as (
+  select doc_id, string_agg(substr(text, prev + 1, s - prev) || mark, '' order by s) || substr(any_value(text), max(e) + 1) as masked from pieces group by 1
+)"""
+
 ORACLES |= {
+    "mask_redact": f"""with {_RESOLVED}, marked as (select r.doc_id, s, e, d.text, '<' || entity || '_REDACTED>' as mark from resolved r join documents d using (doc_id)), {_BUILT}
+        select doc_id, coalesce(masked, text) as masked from documents left join built using (doc_id)""",
+    "mask_hash": f"""with {_RESOLVED}, marked as (select r.doc_id, s, e, d.text, '<' || entity || '_' || substr(sha256(value), 1, 10) || '>' as mark from resolved r join documents d using (doc_id)), {_BUILT}
+        select doc_id, coalesce(masked, text) as masked from documents left join built using (doc_id)""",
+    "placeholder_numbering": f"""with {_RESOLVED}, firsts as (
+          select d.source as request_id, entity, value, min(doc_id * 1000000 + s) as f, count(*) as occurrences from resolved join documents d using (doc_id) group by all
+        ), ranked as (select *, row_number() over (partition by request_id, entity order by f) as n from firsts)
+        select request_id, entity, value, '<' || entity || '_' || n || '>' as placeholder, n, occurrences from ranked""",
+    "demask_roundtrip": f"""with {_RESOLVED}, owned as (select r.*, d.source, d.text from resolved r join documents d using (doc_id)
+        ), firsts as (select source, entity, value, min(doc_id * 1000000 + s) as f from owned where entity = 'SECRET' group by all
+        ), numbered as (select *, '<SECRET_' || row_number() over (partition by source order by f) || '>' as mark from firsts
+        ), marked as (select doc_id, s, e, text, mark from owned join numbered using (source, entity, value)), {_BUILT}
+        select doc_id as msg_idx, coalesce(masked, text) as restored from documents left join built using (doc_id)""",
+    "leak_scan": f"""with {_RESOLVED}, sensitive as (select distinct value from resolved),
+        texts as (select html as t from pages union all select text from documents)
+        select value, count(*) as n_texts from sensitive join texts on contains(t, value) group by 1""",
+    "mask_delta": f"with {_RESOLVED} select doc_id as msg_idx, entity, count(*) as n from resolved group by all",
+    "eval_metrics": f"""with {_RESOLVED}, gold as (select doc_id, s, case when (doc_id + s) % 3 = 0 then e + 1 else e end as e, e as pe, entity, text from (select r.doc_id, s, e, entity, d.text from resolved r join documents d using (doc_id))
+        ), judged as (
+          select entity as type, e = pe as strict, e > pe and length(text) > pe and regexp_matches(substr(text, pe + 1, 1), '[^\\s]')
+            and not exists (select 1 from resolved o where o.doc_id = g.doc_id and o.s <= pe and o.e > pe) as more from gold g
+        ), n as (select type, count(*) as gold, count(*) filter (strict) as strict, count(*) filter (not more) as masked, count(*) filter (more) as partial from judged group by 1)
+        select type, gold, strict, masked, partial, gold as pred, gold as pred_ok, round_even(strict / gold, 3) as recall_strict,
+          round_even(masked / gold, 3) as recall_masked, 1.0::double as precision from n""",
     "resolve_overlaps": f"with {_RESOLVED} select doc_id as request_id, s, e, entity from resolved",
     "mask_placeholder": f"""with {_RESOLVED}, owned as (select r.*, d.source, d.text from resolved r join documents d using (doc_id)
         ), firsts as (select source, entity, value, min(doc_id * 1000000 + s) as f from owned group by all
@@ -258,19 +275,29 @@ ORACLES |= {
         )
         select seg, entries, 'sha256:' || h[1] as root from r where len(h) = 1""",
     "checkpoint_verify": """with l as (select user_id as seg, row_number() over (partition by user_id order by event_id) as entries from events
-        ), c as (select seg, entries // 20 as seq from l where entries % 20 = 0)
-        select seg, 'forged_checkpoint' as kind, seq as line, 'bad signature' as detail from c where seg % 5 = 0
-        union all select seg, 'truncation', seq, 'more entries than the log' from c where seg % 11 = 0 and seq = 1
-        union all select seg, 'forged_checkpoint', seq, 'wrong head' from c where seg % 7 = 0 and seq = 2""",
+        ), c as (select seg, entries // 20 as seq from l where entries % 20 = 0
+        ), good as (select * from c where seg % 5 <> 0)
+        select seg, 'forged_checkpoint' as kind, seq as line, 'bad signature, sequence or entries' as detail from c where seg % 5 = 0
+        union all select seg, 'truncation', seq, 'checkpoint covers more entries than the log' from good where seg % 11 = 0 and seq = 1
+        union all select seg, 'modified', seq, 'head or root differs from the log' from good
+          where not (seg % 11 = 0 and seq = 1) and ((seg % 7 = 0 and seq = 2) or seg % 13 = 0)
+        union all select seg, 'worm_missing', seq, 'checkpoint is not in the mirror' from good where seg % 17 = 0 and seq = 2""",
     "queue_backpressure": """with recursive e as (
-          select user_id as sink, event_id % 3 = 0 as ack, row_number() over (partition by user_id order by event_id) as n from events
+          select user_id as queue, event_id as n, event_id % 3 = 0 as ack, event_id // 3 as item, event_id % 2 as sink,
+                 row_number() over (partition by user_id order by event_id) as r from events
         ), w as (
-          select sink, n, case when ack then 0 else 1 end as depth, false as refused from e where n = 1
+          select queue, r, case when ack then [] else [item || ':0', item || ':1'] end as held, false as refused from e where r = 1
           union all
-          select e.sink, e.n, case when e.ack then greatest(w.depth - 1, 0) when w.depth >= 5 then w.depth else w.depth + 1 end, not e.ack and w.depth >= 5
-          from w join e on e.sink = w.sink and e.n = w.n + 1
+          select e.queue, e.r, case when e.ack then list_filter(w.held, lambda x: x <> e.item || ':' || e.sink)
+              when not list_contains(list_transform(w.held, lambda x: split_part(x, ':', 1)), e.item::varchar)
+                and len(list_distinct(list_transform(w.held, lambda x: split_part(x, ':', 1)))) >= 5 then w.held
+              when list_contains(list_transform(w.held, lambda x: split_part(x, ':', 1)), e.item::varchar) then w.held
+              else list_concat(w.held, [e.item || ':0', e.item || ':1']) end,
+            not e.ack and not list_contains(list_transform(w.held, lambda x: split_part(x, ':', 1)), e.item::varchar)
+              and len(list_distinct(list_transform(w.held, lambda x: split_part(x, ':', 1)))) >= 5
+          from w join e on e.queue = w.queue and e.r = w.r + 1
         )
-        select sink, count(*) filter (refused) as refused, max(depth) as deepest from w group by 1""",
+        select queue, count(*) filter (refused) as refused, max(len(list_distinct(list_transform(held, lambda x: split_part(x, ':', 1)))))::int as deepest from w group by 1""",
     "audit_chain_verify": f"""with recursive l as (
           select user_id as seg, row_number() over (partition by user_id order by event_id) as n, {_LINE} as raw from events
         ), chain as (

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lakewarden.functions import expressions as X
 from lakewarden.functions.spans import longest_valid, match_spans, rewrite
 from lakewarden.operators import audit, decide, detect, evaluate, names, retrieval, tools, trust
+from lakewarden.operators.staged import staged
 from lakewarden.plans import tables as T
 from lakewarden.streaming import stateful
 
@@ -47,43 +48,36 @@ def entity_counts_by_lang(spark, sf):
 
 
 def entity_rollup(spark, sf):
-    rows = _found(spark, sf).select("lang", "source", F.explode("spans").alias("x")).select("lang", "source", F.col("x.entity").alias("entity"))
+    rows = detect.span_rows(_found(spark, sf), "lang", "source")
     return rows.rollup("lang", "source", "entity").agg(F.count(F.lit(1)).alias("n"))
 
 
 def resolve_overlaps(spark, sf):
-    rows = _found(spark, sf).select("request_id", F.explode("spans").alias("x"))
-    return rows.select("request_id", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.entity").alias("entity"))
-
-
-def _email_only(spark, sf):
-    d = T.table(spark, sf, "documents")
-    spans = F.filter(detect.candidates(F.col("text"), T.policy(), "prompt"), lambda x: x["entity"] == "EMAIL")
-    return d.select("doc_id", "text", spans.alias("spans"))
+    return detect.span_rows(_found(spark, sf), "request_id").select("request_id", "s", "e", "entity")
 
 
 def mask_redact(spark, sf):
-    return _email_only(spark, sf).select("doc_id", detect.mask_without_vault(F.col("text"), F.col("spans"), "redact").alias("masked"))
+    return _found(spark, sf).select(F.col("request_id").alias("doc_id"), detect.mask_without_vault(F.col("text"), F.col("spans"), "redact").alias("masked"))
 
 
 def mask_hash(spark, sf):
-    rows = _email_only(spark, sf).where(F.size("spans") > 0)
-    return rows.select("doc_id", detect.mask_without_vault(F.col("text"), F.col("spans"), "hash").alias("masked"))
+    return _found(spark, sf).select(F.col("request_id").alias("doc_id"), detect.mask_without_vault(F.col("text"), F.col("spans"), "hash").alias("masked"))
 
 
 def _by_source(spark, sf):
+    """Each source as a request and its documents as messages, detected once."""
     found = _found(spark, sf)
-    return found.select(F.col("source").alias("request_id"), F.col("request_id").alias("msg_idx"), "text", "spans")
+    return staged(found.select(F.col("source").alias("request_id"), F.col("request_id").alias("msg_idx"), "text", "spans"), "found")
 
 
 def placeholder_numbering(spark, sf):
     table = detect.vault(_by_source(spark, sf), T.policy())
-    return table.where("entity = 'EMAIL'").select("request_id", "value", "placeholder", F.col("n").cast("long").alias("n"), F.col("occurrences").cast("long").alias("occurrences"))
+    return table.select("request_id", "entity", "value", "placeholder", F.col("n").cast("long").alias("n"), F.col("occurrences").cast("long").alias("occurrences"))
 
 
 def _masked(spark, sf):
     found = _by_source(spark, sf)
-    table = detect.vault(found, T.policy())
+    table = staged(detect.vault(found, T.policy()), "vault")
     return detect.mask(found, ["request_id", "msg_idx"], table), table
 
 
@@ -91,11 +85,14 @@ def mask_placeholder(spark, sf):
     return _masked(spark, sf)[0].select("request_id", "msg_idx", "masked")
 
 
+def mask_delta(spark, sf):
+    return detect.mask_counts(_by_source(spark, sf), ["msg_idx"])
+
+
 def demask_roundtrip(spark, sf):
     masked, table = _masked(spark, sf)
-    back = detect.demask(masked, table, decide.strings(["ops"]))
-    secret = F.exists("spans", lambda x: x["entity"] == "SECRET")
-    return back.select("msg_idx", ((F.col("restored") == F.col("text")) | secret).alias("same"), secret.alias("has_secret"))
+    masked = staged(masked.select("request_id", "msg_idx", "masked"), "masked")
+    return detect.demask(masked, table, decide.strings(["editor"]), ["request_id", "msg_idx"]).select("msg_idx", "restored")
 
 
 def mask_web_results(spark, sf):
@@ -182,9 +179,9 @@ def egress_recheck(spark, sf):
 
 
 def leak_scan(spark, sf):
-    found = _by_source(spark, sf)
-    table = detect.vault(found, T.policy()).where("entity = 'EMAIL'")
-    return detect.leaks(T.table(spark, sf, "pages").select(F.col("html").alias("masked")).unionByName(T.table(spark, sf, "documents").select(F.col("text").alias("masked"))), table).select("value", F.col("n_texts").cast("long").alias("n_texts"))
+    table = detect.span_rows(_found(spark, sf)).select("value")
+    texts = T.table(spark, sf, "pages").select(F.col("html").alias("masked")).unionByName(T.table(spark, sf, "documents").select(F.col("text").alias("masked")))
+    return detect.leaks(texts, table)
 
 
 def rate_limit_admission(spark, sf):
@@ -193,13 +190,13 @@ def rate_limit_admission(spark, sf):
 
 
 def confirmation_states(spark, sf):
+    """Every user's events as actions on one confirmation: the first creates it."""
     e = T.table(spark, sf, "events")
     order = W.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = e.withColumn("n", F.row_number().over(order)).withColumn("at", F.col("ts").cast("timestamp"))
+    rows = e.withColumn("n", F.row_number().over(order).cast("long")).withColumn("at", F.col("ts").cast("timestamp"))
     action = F.when(F.col("n") == 1, "create").when(F.col("event_id") % 3 == 0, "reject").otherwise("approve")
     rows = rows.select(F.col("user_id").alias("confirmation_id"), "n", "at", action.alias("action"), (F.col("event_id") % 5 != 0).alias("allowed"), (F.col("event_id") % 7 != 0).alias("args_ok"), (F.col("event_id") % 11 != 0).alias("succeeds"))
-    out = tools.confirmations(rows.where("n <= 2"), lifetime_seconds=86_400)
-    return out.select("confirmation_id", "status", F.array_join(F.transform("codes", lambda c: c.cast("string")), ",").alias("codes"))
+    return tools.final_states(tools.confirmations(rows, lifetime_seconds=86_400)).select("confirmation_id", "codes", "status")
 
 
 def tool_fragments(spark, sf):
@@ -221,11 +218,13 @@ def tool_outcomes(spark, sf):
 
 
 def stream_demask_batch(spark, sf):
-    d = T.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("hi <EMAIL_1> "), F.col("lang"), F.lit(" <X_2>")).alias("t"))
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / 3).cast("int")), lambda i: F.substr(F.col("t"), i * 3 + 1, F.lit(3)))
-    chunks = d.select(F.col("doc_id").alias("request_id"), F.lit(0).alias("choice"), F.posexplode(pieces).alias("chunk_no", "content"))
-    vault = F.create_map(F.lit("<EMAIL_1>"), F.lit("a@b.de"))
-    return stateful.demask_chunks(chunks, vault).select("request_id", "text")
+    """Every document's first e-mail masked, the answer cut to pieces of three characters, put together and restored."""
+    d = T.table(spark, sf, "documents").where("text <> ''").select(F.col("doc_id").alias("request_id"), F.regexp_extract("text", T.EMAIL, 0).alias("v"), "text")
+    d = d.withColumn("t", F.when(F.col("v") != "", F.replace("text", F.col("v"), F.lit("<EMAIL_1>"))).otherwise(F.col("text")))
+    pieces = F.regexp_extract_all("t", F.lit("(?s).{1,3}"), F.lit(0))
+    vault = F.create_map(F.lit("<EMAIL_1>"), F.col("v"))
+    chunks = d.select("request_id", F.lit(0).alias("choice"), vault.alias("vault"), F.posexplode(pieces).alias("chunk_no", "content"))
+    return stateful.demask_chunks(chunks, F.col("vault")).select("request_id", "choice", "text")
 
 
 def vector_topk_acl(spark, sf):
@@ -261,7 +260,7 @@ def suspicious_sentences(spark, sf):
 
 def gazetteer_pairs(spark, sf):
     _, given, surnames = _lists(spark, sf)
-    d = T.table(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), "text")
+    d = T.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     return names.gazetteer_pairs(d, given, surnames).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -303,14 +302,20 @@ def merkle_root(spark, sf):
 
 
 def checkpoint_verify(spark, sf):
+    """Checkpoints of every 20 lines with wrong signatures, heads, lengths, one rewritten first line and copies that the mirror lacks."""
     lines = T.log_lines(spark, sf)
     c = audit.checkpoint_rows(lines, 20).select("seg", "entries", audit.line_hash(F.col("raw_line")).alias("head"))
+    roots = audit.prefix_roots(audit.tree_nodes(lines), c.select("seg", "entries"))
     order = W.partitionBy("seg").orderBy("entries")
-    c = c.withColumn("seq", F.row_number().over(order)).withColumn("body_hash", F.sha2(F.concat_ws(":", "seg", "entries"), 256))
+    c = c.join(roots.withColumnRenamed("root", "merkle_root"), ["seg", "entries"])
+    c = c.withColumn("seq", F.row_number().over(order).cast("long")).withColumn("body_hash", F.sha2(F.concat_ws(":", "seg", "entries"), 256))
     c = c.withColumn("prev_checkpoint", F.lag("body_hash").over(order)).withColumn("signature_ok", F.col("seg") % 5 != 0)
     c = c.withColumn("head", F.when((F.col("seg") % 7 == 0) & (F.col("seq") == 2), "sha256:bad").otherwise(F.col("head")))
-    c = c.withColumn("entries", F.when((F.col("seg") % 11 == 0) & (F.col("seq") == 1), 100_000).otherwise(F.col("entries")))
-    return audit.verify_checkpoints(c, lines).select("seg", "kind", F.col("line").cast("long").alias("line"), "detail")
+    c = staged(c.withColumn("entries", F.when((F.col("seg") % 11 == 0) & (F.col("seq") == 1), F.lit(100_000)).otherwise(F.col("entries"))), "checkpoints")
+    mirrored = c.where(~((F.col("seg") % 17 == 0) & (F.col("seq") == 2))).select("seg", "body_hash")
+    first = F.row_number().over(W.partitionBy("seg").orderBy("line_no")) == 1
+    damaged = lines.withColumn("raw_line", F.when(first & (F.col("seg") % 13 == 0), F.lit("x")).otherwise(F.col("raw_line")))
+    return audit.verify_checkpoints(c, damaged, mirrored).select("seg", "kind", F.col("line").cast("long").alias("line"), "detail")
 
 
 def worm_diff(spark, sf):
@@ -325,8 +330,9 @@ def worm_diff(spark, sf):
 
 
 def queue_backpressure(spark, sf):
-    e = T.table(spark, sf, "events").select(F.col("user_id").alias("sink"), F.col("event_id").alias("n"), F.when(F.col("event_id") % 3 == 0, "ack").otherwise("put").alias("kind"))
-    return audit.queue_admission(e, 5).groupBy("sink").agg(F.count_if("refused").alias("refused"), F.max("depth").alias("deepest"))
+    i = F.col("event_id")
+    e = T.table(spark, sf, "events").select(F.col("user_id").alias("queue"), i.alias("n"), F.when(i % 3 == 0, "ack").otherwise("put").alias("kind"), F.floor(i / 3).cast("long").alias("item"), (i % 2).cast("string").alias("sink"))
+    return audit.queue_admission(e, 5, ("0", "1")).groupBy("queue").agg(F.count_if("refused").alias("refused"), F.max("depth").alias("deepest"))
 
 
 def _signers(spark, sf):
@@ -365,8 +371,8 @@ def policy_last_valid(spark, sf):
 
 
 def _evaluated(spark, sf):
-    """E-mail spans as predictions; the gold spans shift every third by a character and add oov flags."""
-    p = _spans(spark, sf, "EMAIL").select(F.col("doc_id").alias("id"), "s", "e", F.lit("EMAIL").alias("type"))
+    """All resolved spans as predictions; the gold spans lengthen every third by a character and add oov flags."""
+    p = staged(detect.span_rows(_found(spark, sf), "request_id").select(F.col("request_id").alias("id"), "s", "e", F.col("entity").alias("type")), "predicted")
     third = (F.col("id") + F.col("s")) % 3 == 0
     gold = p.select("id", "s", F.when(third, F.col("e") + 1).otherwise(F.col("e")).alias("e"), "type", (F.col("id") % 2 == 0).alias("oov"))
     texts = T.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
@@ -375,12 +381,12 @@ def _evaluated(spark, sf):
 
 def eval_metrics(spark, sf):
     gold, p, texts = _evaluated(spark, sf)
-    return evaluate.type_metrics(gold, p, texts, ["EMAIL"]).select("type", "gold", "strict", "pred", "pred_ok", "recall_strict", "precision")
+    return evaluate.type_metrics(gold, p, texts, ["EMAIL", "IP", "CARD", "SECRET"])
 
 
 def eval_by_vocab(spark, sf):
     gold, p, texts = _evaluated(spark, sf)
-    return evaluate.span_outcomes(gold, p, texts).groupBy("oov").agg(F.count(F.lit(1)).alias("gold"), F.count_if("strict").alias("strict"))
+    return evaluate.span_outcomes(gold.where("type = 'EMAIL'"), p, texts).groupBy("oov").agg(F.count(F.lit(1)).alias("gold"), F.count_if("strict").alias("strict"))
 
 
 def eval_p95(spark, sf):
@@ -422,7 +428,7 @@ def event_window_counts(spark, sf):
 
 _NAMES = (
     "detect_email_spans", "detect_card_luhn", "detect_secret_tokens", "entity_counts_by_lang", "entity_rollup", "resolve_overlaps",
-    "mask_redact", "mask_hash", "placeholder_numbering", "mask_placeholder", "demask_roundtrip", "mask_web_results", "strip_placeholders",
+    "mask_redact", "mask_hash", "mask_delta", "placeholder_numbering", "mask_placeholder", "demask_roundtrip", "mask_web_results", "strip_placeholders",
     "roles_for_claims", "data_class_assign", "route_first_match", "route_trace", "request_decision", "allowed_tools", "allowed_collections",
     "web_permission", "provider_permission", "body_size_checks", "egress_recheck", "leak_scan", "rate_limit_admission", "confirmation_states",
     "tool_fragments", "tool_outcomes", "stream_demask_batch", "vector_topk_acl", "last_user_message", "sentence_split", "suspicious_sentences",
@@ -433,10 +439,13 @@ _NAMES = (
 
 
 def queries() -> dict:
-    return {name: globals()[name] for name in _NAMES}
+    from lakewarden.plans import more
+
+    return {name: globals()[name] for name in _NAMES} | more.queries()
 
 
 def oracle_sql() -> dict[str, str]:
+    from lakewarden.plans.more import ORACLES as MORE
     from lakewarden.plans.oracles import ORACLES
 
-    return dict(ORACLES)
+    return ORACLES | MORE

@@ -5,28 +5,29 @@ import random
 from pyspark.sql import functions as F
 
 from lakewarden.functions import expressions as X
-from lakewarden.operators import decide, retrieval, tools
+from lakewarden.operators import decide, requests, retrieval, tools
 from lakewarden.operators.policy import rules_table
 from lakewarden.plans import tables as T
 
 
 def rows(spark):
     data = [
-        (1, [], ["staff"], None, "m2"),
-        (2, ["EMAIL"], ["ops"], "bot", "m1"),
-        (3, ["SECRET", "EMAIL"], ["ops", "staff"], "bot", "m1"),
-        (4, [], ["ops"], "bot", "m1"),
-        (5, [], [], "bot", "m1"),
+        (1, [], ["reader"], None, "m2"),
+        (2, ["EMAIL"], ["editor"], "crawler", "m1"),
+        (3, ["SECRET", "EMAIL"], ["editor", "reader"], "crawler", "m1"),
+        (4, [], ["editor"], "crawler", "m1"),
+        (5, [], [], "crawler", "m2"),
         (6, [], [], None, "m1"),
+        (7, ["CARD"], ["editor"], None, "m2"),
     ]
     return spark.createDataFrame(data, "request_id int, entities array<string>, roles array<string>, agent string, model string")
 
 
 def test_decisions(spark):
     got = {r.request_id: r for r in decide.decide(rows(spark), T.policy()).collect()}
-    assert [got[i].data_class for i in range(1, 7)] == ["internal", "confidential", "restricted", "internal", "public", "public"]
-    assert [got[i].rule_id for i in range(1, 7)] == ["baseline", "confidential-local", "restricted-local", "ops-fallback", "bots", None]
-    assert got[6].status == 403 and got[4].tools == ["lookup", "comment"] and got[2].tools == ["lookup"] and got[1].tools == ["search"]
+    assert [got[i].data_class for i in range(1, 8)] == ["team", "personal", "credential", "team", "open", "open", "payment"]
+    assert [got[i].rule_id for i in range(1, 8)] == ["readers", "private-on-m1", "no-credentials", "crawled", "rest-on-m2", None, "payments-by-editors"]
+    assert got[6].status == got[3].status == 403 and got[4].tools == ["lookup", "comment"] and got[2].tools == ["lookup"] and got[1].tools == ["search"]
     assert got[4].web_search and not got[2].web_search and not got[1].web_search
 
 
@@ -37,10 +38,10 @@ def test_route_as_join_agrees_with_expressions(spark):
 
 
 def test_trace_stops_at_the_match(spark):
-    d = rows(spark).where("request_id = 5")
-    t = d.select(decide.route_trace(F.lit("public"), F.col("roles"), F.col("agent"), F.col("model"), T.policy()).alias("t")).first().t
+    d = rows(spark).where("request_id = 4")
+    t = d.select(decide.route_trace(F.lit("team"), F.col("roles"), F.col("agent"), F.col("model"), T.policy()).alias("t")).first().t
     assert [(x.rule, x.matched, x.reasons) for x in t] == [
-        ("restricted-local", False, "data_class"), ("confidential-local", False, "data_class"), ("ops-fallback", False, "roles"), ("bots", True, ""),
+        ("no-credentials", False, "data_class"), ("payments-by-editors", False, "data_class"), ("private-on-m1", False, "data_class"), ("crawled", True, ""),
     ]
 
 
@@ -66,19 +67,48 @@ def test_refused_calls_do_not_count(spark):
 
 
 def test_confirmations(spark):
-    at = lambda s: F.timestamp_seconds(F.lit(s))
     events = [
         ("a", 1, 0, "create", True, True, True), ("a", 2, 5, "approve", True, True, True), ("a", 3, 6, "approve", True, True, True),
         ("b", 1, 0, "create", True, True, True), ("b", 2, 5, "reject", True, True, True),
         ("c", 1, 0, "create", True, True, True), ("c", 2, 1000, "approve", True, True, True),
         ("d", 1, 0, "create", True, True, True), ("d", 2, 5, "approve", False, True, True),
         ("e", 1, 0, "create", True, True, True), ("e", 2, 5, "approve", True, True, False),
+        ("f", 1, 0, "approve", True, True, True), ("f", 2, 1, "create", True, True, True), ("f", 3, 2, "create", True, True, True),
     ]
     df = spark.createDataFrame(events, "confirmation_id string, n int, s long, action string, allowed boolean, args_ok boolean, succeeds boolean")
-    df = df.withColumn("at", F.timestamp_seconds("s"))
-    got = {r.confirmation_id: (r.status, r.codes) for r in tools.confirmations(df).collect()}
-    assert got == {"a": ("executed", [202, 200, 409]), "b": ("rejected", [202, 200]), "c": ("expired", [202, 409]), "d": ("denied", [202, 403]), "e": ("failed", [202, 200])}
-    assert at is not None
+    steps = tools.confirmations(df.withColumn("at", F.timestamp_seconds("s")))
+    got = {}
+    for r in steps.orderBy("confirmation_id", "n").collect():
+        got.setdefault(r.confirmation_id, []).append((r.code, r.status))
+    assert got == {
+        "a": [(202, "pending"), (200, "executed"), (409, "executed")], "b": [(202, "pending"), (200, "rejected")], "c": [(202, "pending"), (409, "expired")],
+        "d": [(202, "pending"), (403, "denied")], "e": [(202, "pending"), (200, "failed")], "f": [(404, "none"), (202, "pending"), (409, "pending")],
+    }
+    final = {r.confirmation_id: (r.status, r.codes) for r in tools.final_states(steps).collect()}
+    assert final["a"] == ("executed", "200:1,202:1,409:1") and final["f"] == ("pending", "202:1,404:1,409:1")
+
+
+def test_one_key_passes_the_machine_in_constant_memory(spark):
+    # Many rows of one key and null keys; the state is handed on across Arrow batches.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(1000).select(F.when(F.col("id") < 900, "k").alias("u"), F.col("id").alias("call_no"), F.timestamp_seconds(F.col("id")).alias("at"))
+        got = tools.admit(df, ["u"], 2, 10).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sum(r.admitted for r in got if r.u == "k") == 180 and sum(r.admitted for r in got if r.u is None) == 20 and len(got) == 1000
+
+
+def test_secrets_by_reference(tmp_path, monkeypatch):
+    (tmp_path / "s").write_text(" v \n")
+    monkeypatch.setenv("A_SECRET", "e")
+    refs = {"env:A_SECRET": "e", "env:NONE_SUCH": None, f"file:{tmp_path}/s": "v", f"file:{tmp_path}/none": None, "vault:x": None, None: None}
+    assert {r: requests.read_secret(r) for r in refs} == refs
+
+
+def test_contents_of_parts(spark):
+    d = spark.createDataFrame([([("text", "a"), ("text", None)],), ([("text", "a"), ("image", "b")],), ([],)], "p array<struct<type:string,text:string>>")
+    assert [(r.x.text, r.x.ok) for r in d.select(requests.plain_content(F.col("p")).alias("x")).collect()] == [("a", True), ("ab", False), ("", True)]
 
 
 def test_arguments(spark):
