@@ -23,6 +23,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakewarden.functions.expressions import let
+from lakewarden.functions.spans import scan
 from lakewarden.llm.boosting import Boosted, boost
 
 BASE = ("email", "ip", "card", "phone")
@@ -205,27 +207,29 @@ def _feature_columns(value: Column, before: Column, generator: Column, kind: Col
     ]
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once, however often the body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-_EMPTY = "array<struct<s:int,e:int,v:string>>"
+_FOUND = "struct<s:int,e:int,v:string,before:string>"
+_EMPTY = f"array<{_FOUND}>"
 
 
 def spans_of(text: Column, pattern: str, needed: Column) -> Column:
-    """``array<struct<s, e, v>>`` of a pattern's matches where ``needed`` holds, else empty."""
+    """``array<struct<s, e, v, before>>`` of a pattern's matches where ``needed`` holds, else empty.
 
-    def add(state: Column, pair: Column) -> Column:
+    ``before`` is what stands in the ``CONTEXT`` characters before a match. It is carried along with
+    the offset, as looking it up in the text would walk the text from its start for every match.
+    """
+
+    def place(state: Column, pair: Column) -> tuple[Column, Column]:
         start = state["at"] + F.length(pair["b"])
-        found = F.struct(start.alias("s"), (start + F.length(pair["m"])).alias("e"), pair["m"].alias("v"))
-        return let(found, lambda x: F.struct(x["e"].alias("at"), F.concat(state["out"], F.array(x)).alias("out")))
+        end = start + F.length(pair["m"])
+        before = F.right(F.concat(state["tail"], pair["b"]), F.lit(CONTEXT))
+        tail = F.right(F.concat(before, pair["m"]), F.lit(CONTEXT))
+        return F.struct(end.alias("at"), tail.alias("tail")), F.struct(start.alias("s"), end.alias("e"), pair["m"].alias("v"), before.alias("before"))
 
     def walk(matches: Column) -> Column:
         between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
         pairs = F.zip_with(between, matches, lambda b, m: F.struct(b.alias("b"), m.alias("m")))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(_EMPTY).alias("out"))
-        return F.aggregate(pairs, start, add, lambda s: s["out"])
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"))
+        return let(pairs, lambda rows: scan(rows, start, place, _FOUND))
 
     found = let(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
@@ -257,16 +261,14 @@ def _validity(kind: str):
     return lambda span: _valid(kind, span)
 
 
-def _proposed(generator: int, text: Column):
+def _proposed(generator: int):
     """A generator's match with its kind and the text before it."""
     kind = GENERATORS[generator][0]
     rank = BASE.index(kind) if kind in BASE else len(BASE) + EXTRA_ORDER.index(kind)
 
     def proposal(x: Column) -> Column:
-        first = F.greatest(x["s"] - CONTEXT, F.lit(0))
-        before = F.substr(text, first + 1, x["s"] - first)
         named = [F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), F.lit(generator).alias("g")]
-        return F.struct(*named, x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), before.alias("before"))
+        return F.struct(*named, x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), x["before"].alias("before"))
 
     return proposal
 
@@ -296,6 +298,80 @@ def _named(rank: int, kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda x: F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
 
 
+_PROPOSAL = "struct<rank:int,kind:string,g:int,s:int,e:int,v:string,before:string>"
+_SCORED = "struct<rank:int,kind:string,s:int,e:int,m:double>"
+
+
+def apart_from(spans: Column, base: Column) -> Column:
+    """The spans that overlap none of ``base``: both are marked at their ends, and one ordered pass tells who is inside whom.
+
+    A proposal overlaps a base span if one is open where it begins or begins before it ends: the
+    latest end of base spans begun before, and the next begin after, decide.
+    """
+
+    def joined(mixed: Column) -> Column:
+        reach = scan(mixed, F.lit(-1), lambda most, x: (F.when(x["b"], F.greatest(most, x["e"])).otherwise(most), most), "int")
+        back = F.reverse(mixed)
+        ahead = F.reverse(let(back, lambda r: scan(r, F.lit(2**31 - 1), lambda least, x: (F.when(x["b"], x["s"]).otherwise(least), least), "int")))
+
+        def kept(pair: Column) -> Column:
+            x = pair["x"]
+            return ~x["b"] & (pair["reach"] <= x["s"]) & (pair["ahead"] >= x["e"])
+
+        rows = F.filter(F.arrays_zip(mixed.alias("x"), reach.alias("reach"), ahead.alias("ahead")), kept)
+        return F.transform(rows, lambda p: p["x"]["own"])
+
+    def mark(x: Column, is_base: bool) -> Column:
+        # At equal begins the base span comes first, so it is seen from behind.
+        own = F.lit(None).cast(_PROPOSAL) if is_base else x
+        return F.struct(x["s"].alias("s"), F.lit(0 if is_base else 1).alias("o"), x["e"].alias("e"), F.lit(is_base).alias("b"), own.alias("own"))
+
+    mixed = F.array_sort(F.concat(F.transform(base, lambda x: mark(x, True)), F.transform(spans, lambda x: mark(x, False))))
+    return F.when(F.size(base) > 0, let(mixed, joined)).otherwise(spans)
+
+
+def best(free: Column) -> Column:
+    """Of scored spans those that no overlapping one beats: a higher margin, then the earlier, longer, lower in rank.
+
+    By begin, a span's rivals are neighbours as far as the longest one reaches; spans that
+    touch no other are passed by the comparison.
+    """
+
+    def key(x: Column) -> Column:
+        return F.struct(x["s"].alias("s"), (-x["e"]).alias("n"), x["rank"].alias("r"), x.alias("x"))
+
+    def better(y: Column, x: Column) -> Column:
+        sooner = (y["s"] < x["s"]) | ((y["s"] == x["s"]) & ((y["e"] > x["e"]) | ((y["e"] == x["e"]) & (y["rank"] < x["rank"]))))
+        return (y["m"] > x["m"]) | ((y["m"] == x["m"]) & sooner)
+
+    def island(state: Column, x: Column) -> tuple[Column, Column]:
+        new = x["s"] >= state["reach"]
+        number = state["k"] + F.when(new, 1).otherwise(0)
+        return F.struct(F.greatest(state["reach"], x["e"]).alias("reach"), number.alias("k")), F.struct(number.alias("k"), x.alias("x"))
+
+    def split(spans: Column) -> Column:
+        start = F.struct(F.lit(-1).alias("reach"), F.lit(0).alias("k"))
+        return let(scan(spans, start, island, f"struct<k:int,x:{_SCORED}>"), per_island)
+
+    def per_island(rows: Column) -> Column:
+        # Rows of one island stand together: the first of the rows with its number is found by its place.
+        first = F.transform(rows, lambda r, i: F.when((i == 0) | (F.get(rows, i - 1)["k"] != r["k"]), i))
+        starts = F.filter(first, lambda i: i.isNotNull())
+
+        def winners(starts_: Column) -> Column:
+            def one(at: Column, n: Column) -> Column:
+                end = F.coalesce(F.get(starts_, n + 1), F.size(rows))
+                own = F.transform(F.slice(rows, at + 1, end - at), lambda r: r["x"])
+                return let(own, lambda o: F.when(F.size(o) == 1, o).otherwise(F.filter(o, lambda x: ~F.exists(o, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]) & better(y, x)))))
+
+            return F.flatten(F.transform(starts_, one))
+
+        return let(starts, winners)
+
+    ordered = F.transform(F.array_sort(F.transform(free, key)), lambda k: k["x"])
+    return let(ordered, split)
+
+
 def find_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, base, extra``: sorted spans ``(rank, kind, s, e)`` of rules and of selected proposals.
 
@@ -315,26 +391,20 @@ def find_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     proposals = []
     for g, (_, pattern, mark) in enumerate(GENERATORS):
         gate = {"": text.rlike(pattern), "0": digit, "at": has("(at") | has("[at")}.get(mark)
-        proposals.append(F.transform(spans_of(text, pattern, has(mark) if gate is None else gate), _proposed(g, text)))
-
-    def overlaps(x, y):
-        return (x["s"] < y["e"]) & (y["s"] < x["e"])
-
-    def better(y, x):
-        sooner = (y["s"] < x["s"]) | ((y["s"] == x["s"]) & ((y["e"] > x["e"]) | ((y["e"] == x["e"]) & (y["rank"] < x["rank"]))))
-        return (y["m"] > x["m"]) | ((y["m"] == x["m"]) & sooner)
-
-    def best(free):
-        return F.filter(free, lambda x: ~F.exists(free, lambda y: overlaps(x, y) & better(y, x)))
+        proposals.append(F.transform(spans_of(text, pattern, has(mark) if gate is None else gate), _proposed(g)))
 
     def plain(spans):
         keep = F.transform(spans, lambda x: F.struct(*[x[c].alias(c) for c in ("rank", "kind", "s", "e")]))
         return F.array_distinct(keep)
 
     def chosen(base):
-        apart = F.filter(F.concat(*proposals), lambda x: ~F.exists(base, lambda b: overlaps(x, b)))
+        more = let(F.concat(*proposals), lambda all_: F.when(F.size(all_) > 0, picked(base, all_)).otherwise(F.array().cast(_SPAN)))
+        return F.struct(base.alias("base"), more.alias("extra"))
+
+    def picked(base, all_):
+        apart = apart_from(all_, base)
         more = F.filter(F.transform(apart, _scorer(model)), _selected(thresholds))
-        return F.struct(base.alias("base"), plain(let(more, best)).alias("extra"))
+        return let(more, lambda free: F.when(F.size(free) > 1, plain(best(free))).otherwise(plain(free)))
 
     return named.select("doc_id", let(F.concat(*rules), chosen).alias("found")).select("doc_id", "found.base", "found.extra")
 

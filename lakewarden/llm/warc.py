@@ -10,9 +10,10 @@ Reading: the chosen index rows are ordered by archive and offset and close range
 are read together, so an archive is opened once for each stretch of it and only
 wanted bytes (and small gaps) are fetched.
 
-A task that is run again writes the same bytes under a name of its own and moves
-them into place, so lost executors leave no half archive. Archives are opened
-through Arrow's file systems, so the folder may be local or in a cluster store.
+Every attempt of a task writes an archive under a name of its own, and the index names that of
+the attempt whose rows Spark keeps; what a lost or repeated attempt has left is never read.
+Archives are opened through Arrow's file systems, so the folder may be local or in a cluster
+store.
 """
 
 from __future__ import annotations
@@ -37,7 +38,11 @@ GAP_BYTES = 64 << 10
 #: One read fetches at most about this much; a single longer record is read alone.
 READ_BYTES = 4 << 20
 #: A reading task gets all records that start in one stretch of an archive.
-STRETCH_BYTES = 32 << 20
+STRETCH_BYTES = 4 << 20
+#: Bytes of records that a reading task has on average.
+READER_BYTES = 8 << 20
+#: Revisits up to which their list is broadcast to the payloads; beyond, payloads are shuffled to it.
+BROADCAST_REVISITS = 500_000
 LEVEL = 3
 
 
@@ -124,8 +129,8 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = 0, id_column: str
     first = first.where("__n > 1").drop("__n")
     linked = packed.select("page_id", "digest", "size").join(first, "digest")
     linked = linked.where((F.col("page_id") > F.col("__first")) & (F.col("size") >= min_revisit_bytes))
-    linked = linked.select("page_id", F.col("__first").alias("refers_to")).distinct()
-    rows = packed.join(linked, "page_id", "left")
+    linked = written(linked.select("page_id", F.col("__first").alias("refers_to")).distinct(), "warc-revisits")
+    rows = packed.join(F.broadcast(linked) if linked.count() <= BROADCAST_REVISITS else linked, "page_id", "left")
     target = fresh_path(spark, "warc-archives")
     if "://" not in target:
         target = "file://" + target if target.startswith("/") else target
@@ -136,10 +141,9 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = 0, id_column: str
         context = TaskContext.get()
         store, folder = _filesystem(target)
         store.create_dir(folder, recursive=True)
-        name = f"part-{context.partitionId():06d}.warc.gz"
-        draft = f"{folder}/.{name}.{context.taskAttemptId()}"
-        offset, any_row = 0, False
-        with store.open_output_stream(draft, compression=None) as out:
+        name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc.gz"
+        offset = 0
+        with store.open_output_stream(f"{folder}/{name}", compression=None) as out:
             for frame in frames:
                 index = []
                 for row in frame.itertuples(index=False):
@@ -151,12 +155,9 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = 0, id_column: str
                     kind = "response" if refers is None else "revisit"
                     index.append((name, offset, len(member), row.page_id, row.url, row.digest, kind))
                     offset += len(member)
-                    any_row = True
                 yield pd.DataFrame(index, columns=[c.split()[0] for c in _INDEX.split(", ")])
-        if any_row:
-            store.move(draft, f"{folder}/{name}")
-        else:
-            store.delete_file(draft)
+        if not offset:
+            store.delete_file(f"{folder}/{name}")
 
     index = written(rows.mapInPandas(write, _INDEX), "warc-index")
     return index.withColumn("archive", F.concat(F.lit(target + "/"), "archive"))
@@ -185,7 +186,10 @@ def read_records(index: DataFrame, with_html: bool = True) -> DataFrame:
     """
     stretch = F.floor(F.col("offset") / F.lit(STRETCH_BYTES))
     wanted = index.select("archive", "offset", "length", stretch.alias("__part"))
-    wanted = wanted.repartition("archive", "__part").sortWithinPartitions("archive", "offset")
+    # Index rows are small whatever they stand for, so the number of tasks follows the bytes to read.
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = int(max(1, -(-total // READER_BYTES)))
+    wanted = wanted.repartition(tasks, "archive", "__part").sortWithinPartitions("archive", "offset")
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
