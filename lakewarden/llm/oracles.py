@@ -5,18 +5,19 @@ from __future__ import annotations
 _SHARDING = """
 with keyed as (
   select doc_id, source, coalesce(strlen(text), 0) + 1 as size,
-         md5('17:' || coalesce(doc_id::varchar, '')) as k,
          hex(coalesce(text, '')) as b
   from documents
 ), bits as (
   select list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
     lambda c, z: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as tbl
-), crc as (
-  select doc_id, source, size, k,
+), sums as (
+  select doc_id, source, size,
     xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, len(b) // 2),
       lambda i: ('0x' || substr(b, 2 * i + 1, 2))::bigint)),
       lambda c, x: xor(c >> 8, tbl[xor(c & 255, x) + 1])), 4294967295) as text_crc32
   from keyed, bits
+), crc as (
+  select *, md5('17:' || coalesce(doc_id::varchar, '') || ':' || text_crc32) as k from sums
 ), first as (
   select *, row_number() over (partition by source order by k, doc_id, text_crc32, size) as r,
          count(*) over (partition by source) as n, count(*) over () as total

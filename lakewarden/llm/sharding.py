@@ -65,8 +65,9 @@ def assign_shards(
     """Rows with ``size, text_crc32, shard, slot`` (and the id), one per input row.
 
     Null sources form a stratum of their own; null texts have size 1 and the
-    checksum of no bytes. Equal ids are told apart by checksum and size; rows
-    equal in all of these are interchangeable. An empty table gives an empty
+    checksum of no bytes. The shuffle is by id and checksum, so rows that repeat an id, or
+    have none, fall into different buckets unless their texts are equal too; rows equal
+    in all are interchangeable. An empty table gives an empty
     result. Only the columns named are read, so clashing extra columns are harmless.
     """
     keyed = docs.select(
@@ -74,7 +75,7 @@ def assign_shards(
         F.col(source_column).alias("__source"),
         utf8_size(F.col(text_column)).alias("size"),
         text_crc32(F.col(text_column)).alias("text_crc32"),
-        shuffle_key(seed, F.col(id_column)).alias("__key"),
+        shuffle_key(seed, F.col(id_column), text_crc32(F.col(text_column))).alias("__key"),
     )
     table = written(keyed, "shard-keys")
     rows = table.count()

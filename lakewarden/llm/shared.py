@@ -110,7 +110,9 @@ def appended(docs: DataFrame, read: list[str], new: list[StructField], make: Cal
     stay = [i for i in range(len(docs.columns)) if give_back or i not in places]
     schema = StructType([*[docs.schema.fields[i] for i in stay], *new])
     kinds = [to_arrow_type(f.dataType) for f in new]
-    names = [f.name for f in schema]
+    # Names stay outside: they may hold dots, which Spark would take for nested fields.
+    plain = [f"c{i}" for i in range(len(schema))]
+    inner = StructType([StructField(n, f.dataType, f.nullable) for n, f in zip(plain, schema, strict=True)])
 
     def run(batches):
         compute = make()
@@ -119,9 +121,9 @@ def appended(docs: DataFrame, read: list[str], new: list[StructField], make: Cal
                 part = batch.slice(start, SLICE_ROWS)
                 found = compute(*[part.column(i).cast(pa.large_binary()).to_pylist() for i in places])
                 arrays = [pa.array(v, kind) for v, kind in zip(found, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in stay], *arrays], names=names)
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in stay], *arrays], names=plain)
 
-    return docs.mapInArrow(run, schema)
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).mapInArrow(run, inner).toDF(*schema.names)
 
 
 def row_key(*columns: Column) -> Column:
