@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,27 +21,48 @@ def _one_file(spark: SparkSession, path: str) -> tuple[bytes, object]:
     return bytes(row.content), row.modificationTime
 
 
-def read_policy(spark: SparkSession, path: str) -> Policy:
-    """A YAML or JSON policy file (one small file, read on the driver)."""
+def read_policy(spark: SparkSession, path: str, signed: Callable[[bytes], object] | None = None, newer_than: str | None = None) -> Policy:
+    """A YAML or JSON policy file (one small file, read on the driver).
+
+    In this order: its signers (``signed`` gets the exact bytes and raises if they do not
+    suffice), its content, and, for a signed one, that it takes effect no earlier than the one before.
+    """
     import yaml
 
     body, _ = _one_file(spark, path)
-    return load_policy(yaml.safe_load(body), body)
+    if signed is not None:
+        signed(body)
+    policy = load_policy(yaml.safe_load(body), body)
+    if signed is not None and newer_than and (policy.effective_from or "") < newer_than:
+        raise PolicyError(f"policy of {policy.effective_from} is older than that of {newer_than}")
+    return policy
+
+
+def folder_state(spark: SparkSession, folder: str) -> frozenset[tuple[str, int, int]]:
+    """Path, length and time of every file below a folder: two states differ once anything in it has changed."""
+    context = spark.sparkContext
+    top = context._jvm.org.apache.hadoop.fs.Path(folder)
+    files, found = top.getFileSystem(context._jsc.hadoopConfiguration()).listFiles(top, True), set()
+    while files.hasNext():
+        f = files.next()
+        found.add((str(f.getPath()), f.getLen(), f.getModificationTime()))
+    return frozenset(found)
 
 
 class PolicyWatch:
-    """Reloads a policy when its file changes and keeps the last valid one; the first must be valid."""
+    """Reloads a policy when anything in its folder changes, once a change, and keeps the last valid one; the first must be valid."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.seen, self.fault = spark, path, None, None
+    def __init__(self, spark: SparkSession, path: str, signed: Callable[[bytes], object] | None = None):
+        self.spark, self.path, self.signed, self.seen, self.fault = spark, path, signed, None, None
         self.policy: Policy | None = None
 
     def current(self) -> Policy:
-        _, changed = _one_file(self.spark, self.path)
-        if changed != self.seen:
-            self.seen = changed
+        state = folder_state(self.spark, str(PurePosixPath(self.path).parent))
+        if state != self.seen:
+            self.seen = state
             try:
-                self.policy, self.fault = read_policy(self.spark, self.path), None
+                before = self.policy.effective_from if self.policy else None
+                self.policy, self.fault = read_policy(self.spark, self.path, self.signed, before), None
             except Exception as fault:  # noqa: BLE001  whatever is wrong with the new file, the old policy stays
                 if self.policy is None:
                     raise
