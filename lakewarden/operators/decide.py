@@ -85,25 +85,29 @@ def route_trace(cls: Column, roles: Column, agent: Column, model: Column, policy
 
 
 def route_by_join(requests: DataFrame, rules: DataFrame, key: str = "request_id") -> DataFrame:
-    """First match by priority with rules as a table (``rules_table``): a theta join and one row a request.
+    """First match by priority with rules as a table (``rules_table``): ``key, id, priority, mode`` of requests that have one.
 
-    The rules side is broadcast: a policy file bounds it.
+    The rules, bounded by a policy file, gather in one row that is broadcast; each request
+    looks through them by itself, so requests are neither multiplied nor shuffled.
     """
-
-    def holds(listed: str, value: Column, overlap: bool = False) -> Column:
-        inside = F.arrays_overlap(F.col(listed), value) if overlap else F.array_contains(F.col(listed), value)
-        return F.col(listed).isNull() | F.coalesce(inside, F.lit(False))
-
-    r = rules.select(*[F.col(c).alias(f"__{c}") for c in rules.columns])
-    on = (
-        holds("__data_classes", F.col("data_class"))
-        & holds("__roles", F.col("roles"), True)
-        & holds("__agents", F.col("agent"))
-        & holds("__models", F.col("model"))
-    )
-    best = F.max(F.struct(F.col("__priority").alias("priority"), F.col("__id").alias("id"), F.col("__mode").alias("mode"))).alias("best")
-    found = requests.join(F.broadcast(r), on).groupBy(key).agg(best)
-    return found.select(key, "best.id", "best.priority", "best.mode")
+    fields = ["priority", "id", "mode", "data_classes", "roles", "agents", "models"]
+    table = rules.agg(F.collect_list(F.struct(*fields)).alias("__rules"))
+
+    def matches(r: Column) -> Column:
+        def holds(listed: Column, value: Column, overlap: bool = False) -> Column:
+            inside = F.arrays_overlap(listed, value) if overlap else F.array_contains(listed, value)
+            return listed.isNull() | F.coalesce(inside, F.lit(False))
+
+        return (
+            holds(r["data_classes"], F.col("data_class"))
+            & holds(r["roles"], F.col("roles"), True)
+            & holds(r["agents"], F.col("agent"))
+            & holds(r["models"], F.col("model"))
+        )
+
+    hits = F.transform(F.filter("__rules", matches), lambda r: F.struct(r["priority"].alias("priority"), r["id"].alias("id"), r["mode"].alias("mode")))
+    found = requests.crossJoin(F.broadcast(table)).select(key, F.array_max(hits).alias("best"))
+    return found.select(key, F.inline_outer(F.array("best"))).where("id is not null").select(key, "id", "priority", "mode")
 
 
 def allowed_tools(roles: Column, agent: Column, rank: Column, policy: Policy) -> Column:
