@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,7 +36,8 @@ def _events(spark, sf) -> DataFrame:
     return T.table(spark, sf, "events")
 
 
-I = F.col("event_id")  # noqa: E741
+def _id() -> Column:
+    return F.col("event_id")
 
 
 # ---------------------------------------------------------------- requests
@@ -52,14 +53,14 @@ def message_contexts(spark, sf):
 @query("select event_id, case when event_id % 5 in (0, 1) then 200 else 400 end as status from events")
 def request_validity(spark, sf):
     bodies = ['{"messages":[{"role":"user","content":"x"}]}', '{"messages":[{"role":"user"},{"role":"tool","a":1}],"b":2}', '{"messages":[]}', '{"messages":[{"content":"x"}]}', "no json"]
-    body = F.element_at(F.array(*map(F.lit, bodies)), (I % 5 + 1).cast("int"))
+    body = F.element_at(F.array(*map(F.lit, bodies)), (_id() % 5 + 1).cast("int"))
     return _events(spark, sf).select("event_id", requests.request_status(body).alias("status"))
 
 
 @query("""select event_id, case event_id % 4 when 0 then 'm1' when 1 then 'big' when 2 then 'm1' end as model,
     case event_id % 4 when 0 then 'local-a' when 1 then 'cloud-b' when 2 then 'local-a' end as provider from events""")
 def model_resolution(spark, sf):
-    asked = F.element_at(F.array(*[F.lit(x).cast("string") for x in ("default", "big", None, "nope")]), (I % 4 + 1).cast("int"))
+    asked = F.element_at(F.array(*[F.lit(x).cast("string") for x in ("default", "big", None, "nope")]), (_id() % 4 + 1).cast("int"))
     m = decide.resolve_model(asked, T.policy())
     return _events(spark, sf).select("event_id", m["model"].alias("model"), m["provider"].alias("provider"))
 
@@ -74,7 +75,7 @@ def visible_models(spark, sf):
 @query("select event_id, case when event_id % 2 = 0 then 'a=1,traceparent=t' else 'a=1' end as body, 'traceparent=t' as headers from events")
 def forwarded_parts(spark, sf):
     body = F.create_map(*[F.lit(x) for x in ("a", "1", "messages", "m", "tools", "t", "function_call", "f")])
-    body = F.when(I % 2 == 0, F.map_concat(body, F.create_map(F.lit("traceparent"), F.lit("t")))).otherwise(body)
+    body = F.when(_id() % 2 == 0, F.map_concat(body, F.create_map(F.lit("traceparent"), F.lit("t")))).otherwise(body)
     headers = F.create_map(*[F.lit(x) for x in ("Traceparent", "t", "X-Internal-Role", "r", "Authorization", "b")])
     flat = lambda m: F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(F.lower(e["key"]), F.lit("="), e["value"]))), ",")
     return _events(spark, sf).select("event_id", flat(requests.forwarded_body(body)).alias("body"), flat(requests.forwarded_headers(headers)).alias("headers"))
@@ -87,15 +88,15 @@ def forwarded_parts(spark, sf):
       case when status <> 200 then null when k = 0 then 'user:sub' when u = 1 then 'user:u' || event_id else 'client:c' || (k % 2) end as subject,
       case when status = 200 and k = 0 and event_id % 5 = 0 then 'crawler' when status = 200 and event_id % 5 = 0 then 'crawler' end as agent from c""")
 def request_identity(spark, sf):
-    clients = _events(spark, sf).select((I % 2).cast("string").alias("k")).distinct().select(F.concat(F.lit("c"), "k").alias("client"), F.sha2(F.concat(F.lit("key"), "k"), 256).alias("key_sha256"))
-    k = I % 6
+    clients = _events(spark, sf).select((_id() % 2).cast("string").alias("k")).distinct().select(F.concat(F.lit("c"), "k").alias("client"), F.sha2(F.concat(F.lit("key"), "k"), 256).alias("key_sha256"))
+    k = _id() % 6
     rows = _events(spark, sf).select(
         "event_id",
         F.when(k == 0, "Bearer a.b.c").when(k == 1, "Basic x").when(k == 2, "bearer a.b").otherwise(F.concat(F.lit("bearer key"), (k % 2).cast("string"))).alias("authorization"),
-        F.when(I % 5 == 0, "crawler").otherwise("other").alias("agent"),
+        F.when(_id() % 5 == 0, "crawler").otherwise("other").alias("agent"),
         F.lit("sub").alias("oidc_sub"),
-        F.concat(F.lit("u"), I.cast("string")).alias("user_sub"),
-        F.element_at(F.array(*map(F.lit, ("absent", "valid", "invalid", "unconfigured"))), (I % 4 + 1).cast("int")).alias("user_token"),
+        F.concat(F.lit("u"), _id().cast("string")).alias("user_sub"),
+        F.element_at(F.array(*map(F.lit, ("absent", "valid", "invalid", "unconfigured"))), (_id() % 4 + 1).cast("int")).alias("user_token"),
     )
     return requests.identify(rows, clients, ["crawler"]).select("event_id", "status", "code", "subject", "agent")
 
@@ -103,8 +104,8 @@ def request_identity(spark, sf):
 @query("""select event_id, case when event_id % 3 = 0 then md5(event_id::varchar) else md5('trace:' || event_id) end as trace_id,
     case when event_id % 3 = 0 then '00f067aa0ba902b7' end as parent_id, substr(md5('span:' || event_id), 1, 16) as span_id from events""")
 def trace_continuation(spark, sf):
-    header = F.when(I % 3 == 0, F.concat(F.lit("00-"), F.md5(I.cast("string")), F.lit("-00f067aa0ba902b7-01"))).when(I % 3 == 1, "00-" + "0" * 32 + "-00f067aa0ba902b7-01")
-    return _events(spark, sf).select("event_id", requests.trace_context(header, I).alias("t")).select("event_id", "t.trace_id", "t.parent_id", "t.span_id")
+    header = F.when(_id() % 3 == 0, F.concat(F.lit("00-"), F.md5(_id().cast("string")), F.lit("-00f067aa0ba902b7-01"))).when(_id() % 3 == 1, "00-" + "0" * 32 + "-00f067aa0ba902b7-01")
+    return _events(spark, sf).select("event_id", requests.trace_context(header, _id()).alias("t")).select("event_id", "t.trace_id", "t.parent_id", "t.span_id")
 
 
 @query("""select event_id, 'data: ' || case when event_id % 7 = 0 then '[DONE]' else event_type end as line,
@@ -112,7 +113,7 @@ def trace_continuation(spark, sf):
 def sse_lines(spark, sf):
     """Lines of event streams: chunks, closing lines, comments and broken JSON; those that carry anything."""
     json = F.to_json(F.struct(F.array(F.struct(F.lit(0).alias("index"), F.struct(F.col("event_type").alias("content")).alias("delta"))).alias("choices")))
-    line = F.when(I % 3 == 2, F.when(I % 2 == 0, ": ping").otherwise("data: {")).when(I % 7 == 0, "data: [DONE]").otherwise(F.concat(F.lit("data: "), json))
+    line = F.when(_id() % 3 == 2, F.when(_id() % 2 == 0, ": ping").otherwise("data: {")).when(_id() % 7 == 0, "data: [DONE]").otherwise(F.concat(F.lit("data: "), json))
     p = readers.sse_payload(line)
     content = F.from_json(p["json"], "choices array<struct<delta:struct<content:string>>>")["choices"][0]["delta"]["content"]
     rows = _events(spark, sf).select("event_id", p["done"].alias("done"), content.alias("content")).where("done is not null")
@@ -122,9 +123,9 @@ def sse_lines(spark, sf):
 @query("""select event_id, event_id % 10 < 6 as found from events""")
 def context_lookups(spark, sf):
     e = _events(spark, sf)
-    made = e.where(I % 10 < 8).select(I.alias("request_id"), F.col("ts").cast("timestamp").alias("created"))
-    wait = F.when(I % 10 < 6, 599).otherwise(600)
-    asked = e.select("event_id", I.alias("request_id"), F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + wait * 1_000_000).alias("at"))
+    made = e.where(_id() % 10 < 8).select(_id().alias("request_id"), F.col("ts").cast("timestamp").alias("created"))
+    wait = F.when(_id() % 10 < 6, 599).otherwise(600)
+    asked = e.select("event_id", _id().alias("request_id"), F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + wait * 1_000_000).alias("at"))
     return decide.context_lookup(made, asked).select("event_id", "found")
 
 
@@ -134,7 +135,7 @@ def context_lookups(spark, sf):
 @query("select event_id, case when event_id % 2 = 0 then 'lookup,lookup' else 'search' end as kept, case when event_id % 2 = 0 then 1 else 2 end as dropped from events")
 def requested_tools(spark, sf):
     asked = decide.strings(["lookup", "search", "lookup"])
-    allowed = F.when(I % 2 == 0, decide.strings(["lookup"])).otherwise(decide.strings(["search", "x"]))
+    allowed = F.when(_id() % 2 == 0, decide.strings(["lookup"])).otherwise(decide.strings(["search", "x"]))
     t = decide.split_tools(asked, allowed)
     return _events(spark, sf).select("event_id", F.array_join(t["kept"], ",").alias("kept"), t["dropped"].alias("dropped"))
 
@@ -149,7 +150,7 @@ def permitted_calls(spark, sf):
       (partition by user_id order by event_id rows between unbounded preceding and unbounded following) as name from events)
     select user_id as request_id, event_id as chunk_no from f where name in ('view', 'click')""")
 def streamed_tool_filter(spark, sf):
-    rows = _events(spark, sf).select(F.col("user_id").alias("request_id"), I.alias("chunk_no"), F.when(I % 3 != 0, F.col("event_type")).alias("name"))
+    rows = _events(spark, sf).select(F.col("user_id").alias("request_id"), _id().alias("chunk_no"), F.when(_id() % 3 != 0, F.col("event_type")).alias("name"))
     return tools.filter_fragments(rows, decide.strings(["view", "click"]), ["request_id"]).select("request_id", "chunk_no")
 
 
@@ -165,22 +166,22 @@ def tool_loop(spark, sf):
 @query("select event_id, event_id % 4 = 0 as ok from events")
 def tool_arguments(spark, sf):
     schema = {"properties": {"ticket": {"type": "string", "pattern": "^T-[0-9]+$"}, "n": {"type": "integer"}}, "required": ["ticket"], "additionalProperties": False}
-    body = F.concat(F.lit('{"ticket":"T-'), I.cast("string"), F.lit('"'), F.element_at(F.array(*map(F.lit, (',"n":3}', ',"n":"3"}', ',"x":1}', "x"))), (I % 4 + 1).cast("int")))
+    body = F.concat(F.lit('{"ticket":"T-'), _id().cast("string"), F.lit('"'), F.element_at(F.array(*map(F.lit, (',"n":3}', ',"n":"3"}', ',"x":1}', "x"))), (_id() % 4 + 1).cast("int")))
     return _events(spark, sf).select("event_id", tools.arguments_ok(body, schema).alias("ok"))
 
 
 @query("select event_id, case when event_id % 3 = 0 then 200 else 404 end as status_code from events")
 def confirmation_owner(spark, sf):
     e = _events(spark, sf)
-    held = e.where(I % 3 != 2).select(I.alias("confirmation_id"), F.col("user_id").alias("subject"))
-    asked = e.select("event_id", I.alias("confirmation_id"), (F.col("user_id") + (I % 3)).alias("subject"))
+    held = e.where(_id() % 3 != 2).select(_id().alias("confirmation_id"), F.col("user_id").alias("subject"))
+    asked = e.select("event_id", _id().alias("confirmation_id"), (F.col("user_id") + (_id() % 3)).alias("subject"))
     return tools.owned(held, asked).select("event_id", "status_code")
 
 
 @query("select event_id, case when event_id % 2 = 0 then 413 when event_id % 3 = 0 then 401 when event_id % 5 = 0 then 403 end as status, "
        "case when event_id % 2 = 0 then 'too_large' when event_id % 3 = 0 then 'invalid_token' when event_id % 5 = 0 then 'policy_denied' end as code from events")
 def failure_codes(spark, sf):
-    code = X.failure_code([(I % 2 == 0, 413, "too_large"), (I % 3 == 0, 401, "invalid_token"), (I % 5 == 0, 403, "policy_denied")])
+    code = X.failure_code([(_id() % 2 == 0, 413, "too_large"), (_id() % 3 == 0, 401, "invalid_token"), (_id() % 5 == 0, 403, "policy_denied")])
     return _events(spark, sf).select("event_id", code["status"].alias("status"), code["code"].alias("code"))
 
 
@@ -200,14 +201,14 @@ def audit_report(spark, sf):
     count(*) filter (event_id % 5 <> 0 and event_id % 2 = 0 and event_id % 7 = 0) as without_proof from events""")
 def audit_hygiene(spark, sf):
     """Audit lines by event: some lack the policy, the trace or a part of the proof of egress."""
-    named = F.when(I % 5 == 0, "boot").when(I % 2 == 0, "egress.cloud").otherwise("request.accepted")
+    named = F.when(_id() % 5 == 0, "boot").when(_id() % 2 == 0, "egress.cloud").otherwise("request.accepted")
     fields = {
         "event": named,
-        "trace_id": F.when(I % 4 != 0, F.md5(I.cast("string"))),
-        "policy": F.struct(F.when(I % 3 != 0, "1").alias("version"), F.lit("d").alias("digest")),
+        "trace_id": F.when(_id() % 4 != 0, F.md5(_id().cast("string"))),
+        "policy": F.struct(F.when(_id() % 3 != 0, "1").alias("version"), F.lit("d").alias("digest")),
         "rule_ids": F.array(F.lit("r")),
         "provider": F.lit("p"),
-        "payload_sha256": F.when(I % 7 != 0, "h"),
+        "payload_sha256": F.when(_id() % 7 != 0, "h"),
     }
     lines = _events(spark, sf).select(F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])).alias("raw_line"))
     return audit.hygiene(lines)
@@ -218,8 +219,8 @@ def audit_hygiene(spark, sf):
 def audit_lines(spark, sf):
     """Lines of the events that are switched on, with the fields that may enter the log and without absent ones."""
     e = audit.enabled_events(_events(spark, sf), ["view", "purchase"], "event_type")
-    fields = audit.allowed_fields(F.create_map(F.lit("tool"), F.when(I % 2 == 0, "t"), F.lit("secret"), F.lit("s")), ["tool"])
-    line = F.to_json(F.struct(F.col("event_type").alias("event"), I.alias("id"), F.try_element_at(fields, F.lit("tool")).alias("tool")))
+    fields = audit.allowed_fields(F.create_map(F.lit("tool"), F.when(_id() % 2 == 0, "t"), F.lit("secret"), F.lit("s")), ["tool"])
+    line = F.to_json(F.struct(F.col("event_type").alias("event"), _id().alias("id"), F.try_element_at(fields, F.lit("tool")).alias("tool")))
     return e.select("event_id", line.alias("line"))
 
 
@@ -227,7 +228,7 @@ def audit_lines(spark, sf):
     select line, count(*) as n from l group by 1""")
 def appended_log(spark, sf):
     """Audit lines written to a text log and read back."""
-    lines = _events(spark, sf).select(writers.audit_line("audit", {"id": I}).alias("line"))
+    lines = _events(spark, sf).select(writers.audit_line("audit", {"id": _id()}).alias("line"))
     log = staged(lines, "log")
     return log.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
@@ -240,7 +241,7 @@ def syslog_frames(spark, sf):
 
 @query("select event_id, 'keyring-state/' || sha256(event_type || event_id) as key, 'entries/' || lpad(event_id::varchar, 20, '0') as mirror from events")
 def object_keys(spark, sf):
-    return _events(spark, sf).select("event_id", writers.keyring_key(F.concat("event_type", I.cast("string"))).alias("key"), writers.mirror_key("entries", I).alias("mirror"))
+    return _events(spark, sf).select("event_id", writers.keyring_key(F.concat("event_type", _id().cast("string"))).alias("key"), writers.mirror_key("entries", _id()).alias("mirror"))
 
 
 @query("""with p as (select 'k' || (event_id // 3) as key, case when event_id % 7 = 0 then 'x' else 'b' end as body from events
@@ -251,8 +252,8 @@ def object_keys(spark, sf):
     select outcome, count(*) as n from o group by 1""")
 def mirror_puts(spark, sf):
     e = _events(spark, sf)
-    held = e.where(I % 2 == 0).select(F.concat(F.lit("k"), I.cast("string")).alias("key"), F.lit("b").alias("body"))
-    rows = e.select(F.concat(F.lit("k"), F.floor(I / 3).cast("string")).alias("key"), F.when(I % 7 == 0, "x").otherwise("b").alias("body"))
+    held = e.where(_id() % 2 == 0).select(F.concat(F.lit("k"), _id().cast("string")).alias("key"), F.lit("b").alias("body"))
+    rows = e.select(F.concat(F.lit("k"), F.floor(_id() / 3).cast("string")).alias("key"), F.when(_id() % 7 == 0, "x").otherwise("b").alias("body"))
     return evaluate.outcome_summary(audit.put_objects(held, rows))
 
 
@@ -342,7 +343,7 @@ def policy_references(spark, sf):
 
 @query("select event_type, round_even(avg(event_id % 100), 2) as mean_ms, quantile_disc(event_id % 100, 0.95) as p95_ms from events group by 1")
 def latency_by_type(spark, sf):
-    return evaluate.latency(_events(spark, sf).withColumn("ms", I % 100), by=("event_type",))
+    return evaluate.latency(_events(spark, sf).withColumn("ms", _id() % 100), by=("event_type",))
 
 
 @query("""select event_type as reason, count(distinct event_id % 1000) as n, (select count(*) from events) as sentences,
@@ -350,7 +351,7 @@ def latency_by_type(spark, sf):
     from events group by 1""")
 def trigger_statistics(spark, sf):
     e = _events(spark, sf)
-    return evaluate.trigger_stats(e.select(F.lit(0).alias("id"), (I % 1000).alias("sid"), F.col("event_type").alias("reason")), e)
+    return evaluate.trigger_stats(e.select(F.lit(0).alias("id"), (_id() % 1000).alias("sid"), F.col("event_type").alias("reason")), e)
 
 
 @query("select case o_orderkey % 4 when 0 then 'passed' when 1 then 'failed' when 2 then 'skipped' else 'passed' end as outcome, count(*) as n from orders group by 1")
@@ -407,23 +408,23 @@ def name_list(spark, sf):
 @query("""select event_id, event_id % 3 = 0 as ok, case event_id % 4 when 0 then event_id % 60 when 1 then (event_id % 60) * 60 when 2 then (event_id % 60) * 86400 end as seconds from events""")
 def small_formats(spark, sf):
     """Account numbers made valid for every third row, and durations in three units and none."""
-    body = F.lpad((I % 1_000_000).cast("string"), 18, "0")
+    body = F.lpad((_id() % 1_000_000).cast("string"), 18, "0")
     # Check digits of country DE: 98 less the remainder of body and 131400.
-    rest = F.pmod(I % 1_000_000 * 1_000_000 + 131_400, F.lit(97))
+    rest = F.pmod(_id() % 1_000_000 * 1_000_000 + 131_400, F.lit(97))
     check = F.lpad((98 - rest).cast("string"), 2, "0")
     wrong = F.lpad(F.when(rest == 96, 3).otherwise(97 - rest).cast("string"), 2, "0")
-    iban = F.concat(F.lit("de"), F.when(I % 3 == 0, check).otherwise(wrong), F.lit(" "), body)
-    unit = F.element_at(F.array(*map(F.lit, ("s", "m", "d", "x"))), (I % 4 + 1).cast("int"))
-    return _events(spark, sf).select("event_id", X.iban_ok(iban).alias("ok"), X.duration_seconds(F.concat((I % 60).cast("string"), unit)).alias("seconds"))
+    iban = F.concat(F.lit("de"), F.when(_id() % 3 == 0, check).otherwise(wrong), F.lit(" "), body)
+    unit = F.element_at(F.array(*map(F.lit, ("s", "m", "d", "x"))), (_id() % 4 + 1).cast("int"))
+    return _events(spark, sf).select("event_id", X.iban_ok(iban).alias("ok"), X.duration_seconds(F.concat((_id() % 60).cast("string"), unit)).alias("seconds"))
 
 
 @query("""select event_id, '{"a":' || event_id || ',"b":"' || event_type || '"}' as canonical, sha256('{"a":' || event_id || ',"b":"' || event_type || '"}') as digest from events""")
 def canonical_forms(spark, sf):
-    text = F.concat(F.lit('{ "b" : "'), F.col("event_type"), F.lit('", "a" : '), I.cast("string"), F.lit(" }"))
+    text = F.concat(F.lit('{ "b" : "'), F.col("event_type"), F.lit('", "a" : '), _id().cast("string"), F.lit(" }"))
     return _events(spark, sf).select("event_id", X.canonical_json(text).alias("canonical"), F.sha2(X.canonical_json(text), 256).alias("digest"))
 
 
 @query("select event_id, 'SHA256:' || rtrim(to_base64(unhex(sha256(event_type))), '=') as fingerprint, event_id % 2 = 0 as zoned from events")
 def fingerprints(spark, sf):
-    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(I % 4 == 0, "Z").when(I % 2 == 0, "+02:00").otherwise(""))
+    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(_id() % 4 == 0, "Z").when(_id() % 2 == 0, "+02:00").otherwise(""))
     return _events(spark, sf).select("event_id", X.fingerprint(F.col("event_type")).alias("fingerprint"), X.strict_timestamp(stamp).isNotNull().alias("zoned"))
