@@ -415,6 +415,10 @@ def spans_text(spans: Column) -> Column:
 
 
 def op1_pii(spark, sf_dir: str) -> DataFrame:
+    """Counts of base spans by kind, their digest, all spans, and how many there are in all and beyond the base ones.
+
+    A null or empty text has no spans: counts of 0, an empty list and the digest of the empty string.
+    """
     found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     by_start = lambda c: F.transform(c, lambda x: F.struct(*[x[k].alias(k) for k in ("rank", "s", "e", "kind")]))
     count = lambda i: F.size(F.filter("base", lambda x: x["rank"] == i)).cast("long")
@@ -423,4 +427,6 @@ def op1_pii(spark, sf_dir: str) -> DataFrame:
         *[count(i).alias(f"n_{kind}") for i, kind in enumerate(BASE)],
         F.sha2(spans_text(by_start(F.col("base"))), 256).alias("base_sha256"),
         spans_text(by_start(F.concat("base", "extra"))).alias("spans"),
+        (F.size("base") + F.size("extra")).cast("long").alias("n_spans"),
+        F.size("extra").cast("long").alias("n_extra"),
     )

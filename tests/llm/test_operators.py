@@ -300,6 +300,22 @@ def test_personal_data_rules_match_python(spark):
             assert not any(x.s < e and s < x.e for _, s, e in expected)
 
 
+def test_personal_data_query_has_the_form_of_its_contract(spark, tmp_path):
+    own = [None, "", "😀 a@b.de and 10.0.0.1, c@d.org", "password=abc123def456 for +1 555 123 4567", "4111 1111 1111 1111 or 4111 1111 1111 1112", "clean words", "clean words"]
+    table(spark, own).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = pii.op1_pii(spark, str(tmp_path)).collect()
+    assert len(rows) == len(own)
+    for r in rows:
+        base = rules(own[r.doc_id] or "")
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, _, _ in base) for kind in pii.BASE]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest()
+        listed = [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in r.spans.split(",") if x)]
+        order = [*pii.BASE, *pii.EXTRA_ORDER]
+        assert listed == sorted(listed, key=lambda x: (order.index(x[0]), x[1])) and set(base) <= set(listed)
+        assert (r.n_spans, r.n_extra) == (len(listed), len(listed) - len(base))
+    assert {r.doc_id: r.n_extra for r in rows} == {i: int(i == 3) for i in range(len(own))}
+
+
 def test_selected_proposals(spark):
     own = ['token = "' + "0a1b" * 10 + '"', "password=b7db7aa4a5fcc78305 x", "call 555-123-4567 now", "iban DE89 3704 0044 0532 0130 00.", "on 12 345 678 and 1999 123 456", "key = value", "a@b.de"]
     rows = {r.doc_id: [own[r.doc_id][x.s : x.e] for x in r.extra] for r in pii.find_pii(table(spark, own)).collect()}
