@@ -15,6 +15,7 @@ from lakewarden.functions.expressions import casefold_de
 from lakewarden.functions.spans import Pattern, match_spans, rewrite
 from lakewarden.operators.detect import detect
 from lakewarden.operators.policy import Policy
+from lakewarden.operators.staged import staged
 
 LETTERS = r"\p{L}\p{Nl}\p{No}"
 TOKEN = Pattern(rf"[{LETTERS}]+(?:-[{LETTERS}]+)*")
@@ -56,6 +57,11 @@ STOP_WORDS = (
 )
 
 
+# The full stop is looked for first: what may not stand before it is costly to test.
+_GUARD = rf"(?<![0-9])(?<!(?<![{LETTERS}])[{LETTERS}])(?<!(?i:(?<![{LETTERS}])(?:{'|'.join(ABBREVIATIONS)})))"
+SENTENCE = Pattern(rf"(?s:[^\n]+?)(?:(?=\.){_GUARD}\.(?=\s|$)|[!?](?=\s|$)|(?=\n)|$)")
+
+
 def phrase_pattern(phrases: Iterable[str]) -> str:
     """One pattern for whole phrases in any case: blanks are any white space (or none after a full stop), umlauts and ß may be spelt out."""
     spelt = {"ß": "(?:ß|ss)", "ä": "(?:ä|ae)", "ö": "(?:ö|oe)", "ü": "(?:ü|ue)"}
@@ -202,90 +208,218 @@ def sentences(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame
     A full stop does not end a sentence after a digit, a single letter or an abbreviation.
     Blank sentences are left out; the newline belongs to none.
     """
-    words = "|".join(ABBREVIATIONS)
-    guard = rf"(?<![0-9])(?<!(?<![{LETTERS}])[{LETTERS}])(?<!(?i:(?<![{LETTERS}])(?:{words})))"
-    sentence = Pattern(rf"(?s:[^\n]+?)(?:{guard}\.(?=\s|$)|[!?](?=\s|$)|(?=\n)|$)")
-    found = docs.select(key, F.posexplode(match_spans(F.col(text), sentence)).alias("sid", "x"))
+    found = docs.select(key, F.posexplode(match_spans(F.col(text), SENTENCE)).alias("sid", "x"))
     return found.where(F.trim("x.v") != "").select(key, "sid", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.v").alias("sentence"))
 
 
+REASONS = ("sentenceStartUnknown", "capitalizedUnknown", "listedGivenName", "unknownBigram", "unknownLowerBigram", "nearPersonCue")
+#: Names of the lists that a task holds at once; longer lists are joined to the words of each text.
+MOST_NAMES = 500_000
+#: Different words and gaps whose traits a task remembers.
+MOST_KEPT = 200_000
+#: Bytes of an Arrow batch between the JVM and Python: a task's arrays follow these.
+BATCH_BYTES = 4 << 20
+#: What Java takes for white space in its Unicode mode.
+WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _gate(on: dict, held: Callable[[], dict] | None, whole: bool) -> Callable:
+    """The gate over Arrow batches ``key, pieces, words, sentences, cues`` (and names, where ``held`` gives none).
+
+    All steps are arrays over a batch's tokens; words and gaps are looked at once each. Functions
+    lie inside, so that workers need not import this package.
+    """
+    given_to = [bool(on[r]) for r in REASONS]
+    reasons, particles, white, least, reach, most_kept = REASONS, frozenset(PARTICLES), WHITE, LEAST_TOKEN, CUE_WINDOW, MOST_KEPT
+    SHAPED, TITLE, OUTSIDE, GIVEN, PARTICLE = 1, 2, 4, 8, 16
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        marks = held() if held else None
+        kept_words: dict[str, int] = {}
+        kept_gaps: dict[str, bool] = {}
+
+        def traits(word: str) -> int:
+            name = word.lower().replace("ß", "ss")
+            mark = marks.get(name, 0)
+            shaped = len(word) >= least and not any(len(p) <= 4 and p == p.upper() for p in word.split("-"))
+            title = word[0] != word[0].lower() and word != word.upper()
+            return shaped * SHAPED | title * TITLE | (not mark & 1) * OUTSIDE | (mark >> 1 & 1) * GIVEN | (name in particles) * PARTICLE
+
+        def near(gap: str) -> bool:
+            return gap != "" and not gap.strip(white) and gap.count("\n") < 2
+
+        def looked_up(values, look, kept, kind):
+            """``look`` of each value, called once for each different one."""
+            coded = values.dictionary_encode()
+            different = coded.dictionary.to_pylist()
+            if len(kept) > most_kept:
+                kept.clear()
+            for v in different:
+                if v not in kept:
+                    kept[v] = look(v)
+            table = np.fromiter((kept[v] for v in different), kind, len(different))
+            return table[coded.indices.to_numpy(zero_copy_only=False)]
+
+        def numbers(values):
+            return values.to_numpy(zero_copy_only=False).astype(np.int64)
+
+        def laid_out(lists, docs_at):
+            """Starts, ends and document of the spans of all texts, and where each text's begin."""
+            sizes = numbers(pc.list_value_length(lists))
+            flat = lists.flatten()
+            return numbers(flat.field(0)), numbers(flat.field(1)), np.repeat(docs_at, sizes), np.cumsum(sizes) - sizes
+
+        for batch in batches:
+            if not held:
+                listed = batch.column(5).flatten()
+                marks = dict(zip(listed.field(0).to_pylist(), listed.field(1).to_pylist(), strict=True))
+                kept_words.clear()
+            docs_at = np.arange(batch.num_rows)
+            sizes = numbers(pc.list_value_length(batch.column(2)))
+            n, doc = int(sizes.sum()), np.repeat(docs_at, sizes)
+            pieces, words = batch.column(1).flatten(), batch.column(2).flatten()
+            if len(pieces) != n + batch.num_rows:
+                raise ValueError("pieces and words do not alternate")
+            if not n:
+                continue
+            at = np.arange(n)
+            long = numbers(pc.utf8_length(words))
+            upto = np.cumsum(numbers(pc.utf8_length(pieces))[at + doc] + long)
+            first = np.cumsum(sizes) - sizes
+            e = upto - np.concatenate(([0], upto))[first][doc]
+            s = e - long
+            trait = looked_up(words, traits, kept_words, np.uint8)
+            touching = looked_up(pieces, near, kept_gaps, bool)[at + doc + 1]
+
+            # A token's sentence and cue are the last that begin at or before it, if they reach it; a cue may also begin inside it.
+            s0, s1, s_doc, s_first = laid_out(batch.column(3), docs_at)
+            c0, c1, c_doc, _ = laid_out(batch.column(4), docs_at)
+            apart = 2 + max(int(e.max()), int(s1.max(initial=0)), int(c1.max(initial=0)))
+            place = s + doc * apart
+            own = np.searchsorted(s0 + s_doc * apart, place, "right") - 1
+            within = (own >= 0) & (s_doc[own] == doc) & (s < s1[own]) if len(s0) else np.zeros(n, bool)
+            own = np.where(within, own, -1)
+            cue = np.full(n, -1)
+            if len(c0):
+                last = np.searchsorted(c0 + c_doc * apart, place, "right") - 1
+                after = np.minimum(last + 1, len(c0) - 1)
+                inside = (after == last + 1) & (c_doc[after] == doc) & (c0[after] < e)
+                cue = np.where(inside, after, -1)
+                cue = np.where((last >= 0) & (c_doc[last] == doc) & (s < c1[last]), last, cue)
+
+            def later(k):
+                """The token k places on, and whether the text has it."""
+                there = np.minimum(at + k, n - 1)
+                return there, (at + k < n) & (doc[there] == doc)
+
+            n1, has1 = later(1)
+            n2, has2 = later(2)
+            link = has1 & (trait[n1] & PARTICLE > 0)
+            following = np.where(touching & has1 & ~link, n1, np.where(touching & link & has2 & touching[n1], n2, -1))
+            starts = np.ones(n, bool)
+            starts[1:] = (doc[1:] != doc[:-1]) | (own[1:] != own[:-1])
+            other = np.zeros(n, bool)
+            if (cue >= 0).any():
+                for k in range(1, reach + 1):
+                    a, b = slice(0, max(0, n - k)), slice(min(k, n), n)
+                    differ = (doc[a] == doc[b]) & (cue[a] != cue[b])
+                    other[a] |= differ & (cue[b] >= 0)
+                    other[b] |= differ & (cue[a] >= 0)
+
+            shaped, title, outside, given = (trait & bit > 0 for bit in (SHAPED, TITLE, OUTSIDE, GIVEN))
+            pair = shaped & (following >= 0) & shaped[following] & (outside | outside[following])
+            titles = title & title[following]
+            unknown = shaped & title & outside
+            tests = (unknown & starts, unknown & ~starts, shaped & given & (title | outside), pair & titles, pair & ~titles, shaped & other & outside)
+            found = []  # token, sentence, end, reason
+            for number, (wanted, test) in enumerate(zip(given_to, tests, strict=True)):
+                if not wanted:
+                    continue
+                hit = np.flatnonzero(test & (own >= 0))
+                two = reasons[number] in ("unknownBigram", "unknownLowerBigram")
+                found.append((hit, own[hit], e[following[hit]] if two else e[hit], np.full(len(hit), number)))
+                if two:
+                    # A pair over a sentence's end marks both.
+                    hit = np.flatnonzero(test & (own[following] >= 0) & (own[following] != own))
+                    found.append((hit, own[following[hit]], e[following[hit]], np.full(len(hit), number)))
+            if not found:
+                continue
+            token, sentence, end, reason = (np.concatenate(x) for x in zip(*found, strict=True))
+            if whole:
+                once = np.unique(sentence * len(reasons) + reason)
+                sentence, reason = once // len(reasons), once % len(reasons)
+            where = s_doc[sentence]
+            columns = [
+                batch.column(0).take(pa.array(where)),
+                pa.array(sentence - s_first[where], pa.int32()),
+                pa.array(reasons, pa.string()).take(pa.array(reason)),
+            ]
+            if not whole:
+                columns += [pa.array(s[token], pa.int32()), pa.array(end, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "sid", "reason", "s", "e"][: len(columns)])
+
+    return run
+
+
+def _suspicious(
+    docs: DataFrame, common: DataFrame, given: DataFrame, triggers: dict | None, key: str,
+    primary: DataFrame | None, below: float, cues: Iterable[str], whole: bool,
+) -> DataFrame:
+    on = TRIGGERS | (triggers or {})
+    spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    listed = [rows.select("name").where("name is not null").distinct().withColumn("mark", F.lit(bit)) for bit, rows in ((1, common), (2, given))]
+    listed = staged(listed[0].unionByName(listed[1]).groupBy("name").agg(F.sum("mark").cast("int").alias("mark")), "listed-names")
+
+    words = F.regexp_extract_all("text", F.lit(TOKEN.java), F.lit(0))
+    places = lambda pattern: F.transform(match_spans(F.col("text"), pattern), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+    texts = docs.where("text is not null").select(F.col(key).alias("id"), "text")
+    columns = ["id", F.split("text", TOKEN.java, -1).alias("pieces"), words.alias("words"), places(SENTENCE).alias("sentences"), places(rewrite(phrase_pattern(cues))).alias("cues")]
+    if listed.count() <= MOST_NAMES:
+        shared = spark.sparkContext.broadcast({r.name: r.mark for r in listed.toLocalIterator()})
+        rows, held = texts.select(*columns), lambda: shared.value
+    else:
+        own = texts.select("id", F.explode(F.array_distinct(F.transform(words, casefold_de))).alias("name")).distinct().join(listed, "name")
+        own = own.groupBy(F.col("id").alias("__id")).agg(F.collect_list(F.struct("name", "mark")).alias("names"))
+        none = F.array().cast("array<struct<name:string,mark:int>>")
+        rows = texts.join(own, F.col("id").eqNullSafe(F.col("__id")), "left").select(*columns, F.coalesce("names", none).alias("names"))
+        held = None
+    kind = docs.schema[key].dataType.simpleString()
+    found = rows.mapInArrow(_gate(on, held, whole), f"id {kind}, sid int, reason string" + ("" if whole else ", s int, e int")).withColumnRenamed("id", key)
+    if primary is None or not on["lowConfidence"]:
+        return found
+    # Hits take their sentence in one ordered pass over both: the last that begins at or before them, if it reaches them.
+    marks = sentences(docs, key).select(key, "s", F.lit(0).alias("kind"), F.struct("sid", "e").alias("own"))
+    both = marks.unionByName(primary.where(F.col("score") < below).select(key, "s", F.lit(1).alias("kind"), "e"), True)
+    line = W.partitionBy(key).orderBy("s", "kind").rowsBetween(W.unboundedPreceding, 0)
+    both = both.withColumn("own", F.last("own", ignorenulls=True).over(line)).where((F.col("kind") == 1) & (F.col("s") < F.col("own.e")))
+    low = both.select(key, F.col("own.sid").alias("sid"), F.lit("lowConfidence").alias("reason"), "s", "e")
+    return found.unionByName((low.select(key, "sid", "reason") if whole else low).distinct())
+
+
 def suspicious_tokens(
     docs: DataFrame, common: DataFrame, given: DataFrame, triggers: dict | None = None, key: str = "id",
     primary: DataFrame | None = None, below: float = LOW_CONFIDENCE, cues: Iterable[str] = CUES,
 ) -> DataFrame:
     """``key, sid, reason, s, e``: what made a sentence one that the costly model should see.
 
-    common and given are casefolded lists ``name``; primary holds a first model's hits ``key, s, e,
-    score``, of which those under ``below`` count. One ordered pass over a document's sentences, cues,
-    hits and tokens gives tokens their sentence and cue, a second over its tokens
-    their neighbours: frames, not joins of tokens with tokens.
+    A row of docs is a text. common and given are casefolded lists ``name``, gathered when this is
+    called; primary holds a first model's hits ``key, s, e, score``, of which those under ``below``
+    count. A text's tokens, sentences and cues never leave its task: nothing of them is shuffled.
     """
-    on = TRIGGERS | (triggers or {})
-    none = F.lit(None)
-    marks = sentences(docs, key).select(key, "s", F.lit(0).alias("kind"), F.struct("sid", "e").alias("own"))
-    spans = docs.select(key, F.posexplode_outer(match_spans(F.col("text"), rewrite(phrase_pattern(cues)))).alias("c", "x")).where("x is not null")
-    marks = marks.unionByName(spans.select(key, F.col("x.s").alias("s"), F.lit(1).alias("kind"), F.struct(F.col("c"), F.col("x.e").alias("e")).alias("cue")), True)
-    if primary is not None:
-        marks = marks.unionByName(primary.select(key, "s", F.lit(2).alias("kind"), "e", "score"), True)
-    both = marks.unionByName(tokens(docs, key).withColumn("kind", F.lit(3)), True)
-    if primary is None:
-        both = both.withColumn("score", none.cast("double"))
-    line = W.partitionBy(key).orderBy("s", "kind")
-    before, after = line.rowsBetween(W.unboundedPreceding, 0), line.rowsBetween(0, W.unboundedFollowing)
-    # A token's sentence and cue are the last that begin at or before it, if they reach it; a cue may also begin inside it.
-    both = both.withColumn("own", F.last("own", ignorenulls=True).over(before)).withColumn("cue0", F.last("cue", ignorenulls=True).over(before))
-    both = both.withColumn("cue1", F.first(F.when(F.col("kind") == 1, F.struct("s", "cue.c")), ignorenulls=True).over(after))
-    sid = F.when(F.col("s") < F.col("own.e"), F.col("own.sid")).alias("sid")
-    cue = F.when(F.col("s") < F.col("cue0.e"), F.col("cue0.c")).when(F.col("cue1.s") < F.col("e"), F.col("cue1.c")).alias("cue")
-    placed = both.where("kind >= 2").select(key, "kind", "i", "s", "e", "word", "gap", "score", sid, cue)
-
-    t = placed.where("kind = 3").withColumn("name", casefold_de(F.col("word")))
-    t = t.join(common.select("name").distinct().withColumn("known", F.lit(True)), "name", "left")
-    t = t.join(given.select("name").distinct().withColumn("given", F.lit(True)), "name", "left")
-    shaped = (F.length("word") >= LEAST_TOKEN) & F.forall(F.split("word", "-"), lambda p: (p != "") & ~((F.length(p) <= 4) & (p == F.upper(p))))
-    initial = F.substr("word", F.lit(1), F.lit(1))
-    t = t.select(
-        key, "i", "s", "e", "gap", "name", "sid", "cue",
-        shaped.alias("shaped"),
-        ((initial != F.lower(initial)) & (F.col("word") != F.upper("word"))).alias("title"),
-        F.col("known").isNull().alias("outside"),
-        F.col("given").isNotNull().alias("given"),
-    )
-    order = W.partitionBy(key).orderBy("i")
-    around = order.rowsBetween(-CUE_WINDOW, CUE_WINDOW)
-    ahead = F.struct("sid", "e", "gap", "name", "shaped", "title", "outside")
-    t = t.withColumn("n1", F.lead(ahead).over(order)).withColumn("n2", F.lead(ahead, 2).over(order))
-    t = t.withColumn("starts", ~F.lag("sid").over(order).eqNullSafe(F.col("sid")) | F.col("sid").isNull())
-    t = t.withColumn("cues", F.struct(F.min("cue").over(around).alias("least"), F.max("cue").over(around).alias("most")))
-    near = lambda gap: gap.rlike(r"(?U)^\s+$") & ~gap.rlike(r"\n[^\n]*\n|[.!?]")
-    touching = near(F.col("gap"))
-    skip = touching & F.coalesce(F.col("n1.name").isin(*PARTICLES), F.lit(False)) & F.col("n2").isNotNull()
-    t = t.withColumn("next", F.when(skip, F.when(near(F.col("n1.gap")), F.col("n2"))).when(touching & ~F.coalesce(F.col("n1.name").isin(*PARTICLES), F.lit(False)), F.col("n1")))
-    t = t.where("shaped")
-    pair = F.coalesce(F.col("next.shaped") & (F.col("outside") | F.col("next.outside")), F.lit(False))
-    titles = F.coalesce(F.col("title") & F.col("next.title"), F.lit(False))
-    other = F.when(F.col("cue").isNull(), F.col("cues.most").isNotNull()).otherwise((F.col("cues.least") != F.col("cue")) | (F.col("cues.most") != F.col("cue")))
-    one = lambda reason, test, sid="sid", e="e": F.when(test & F.lit(bool(on[reason])), F.struct(F.lit(reason).alias("reason"), F.col(sid).alias("sid"), F.col("s").alias("s"), F.col(e).alias("e")))
-    hits = F.array(
-        one("sentenceStartUnknown", F.col("title") & F.col("outside") & F.col("starts")),
-        one("capitalizedUnknown", F.col("title") & F.col("outside") & ~F.col("starts")),
-        one("listedGivenName", F.col("given") & (F.col("title") | F.col("outside"))),
-        one("unknownBigram", pair & titles, e="next.e"),
-        one("unknownBigram", pair & titles, "next.sid", "next.e"),
-        one("unknownLowerBigram", pair & ~titles, e="next.e"),
-        one("unknownLowerBigram", pair & ~titles, "next.sid", "next.e"),
-        one("nearPersonCue", F.coalesce(other, F.lit(False)) & F.col("outside")),
-    )
-    rows = t.select(key, F.explode_outer(F.filter(hits, lambda h: h.isNotNull())).alias("h")).where("h is not null").select(key, "h.sid", "h.reason", "h.s", "h.e")
-    if primary is not None and on["lowConfidence"]:
-        low = placed.where((F.col("kind") == 2) & (F.col("score") < below))
-        rows = rows.unionByName(low.select(key, "sid", F.lit("lowConfidence").alias("reason"), "s", "e"))
-    return rows.where("sid is not null").distinct()
+    return _suspicious(docs, common, given, triggers, key, primary, below, cues, False)
 
 
-def suspicious_sentences(docs: DataFrame, common: DataFrame, given: DataFrame, triggers: dict | None = None, key: str = "id", **more) -> DataFrame:
+def suspicious_sentences(
+    docs: DataFrame, common: DataFrame, given: DataFrame, triggers: dict | None = None, key: str = "id",
+    primary: DataFrame | None = None, below: float = LOW_CONFIDENCE, cues: Iterable[str] = CUES,
+) -> DataFrame:
     """``key, sid, reason``: sentences that the costly model should see, by trigger (see ``suspicious_tokens``)."""
-    return suspicious_tokens(docs, common, given, triggers, key, **more).select(key, "sid", "reason").distinct()
+    return _suspicious(docs, common, given, triggers, key, primary, below, cues, True)
 
 
 class NerBackend(Protocol):

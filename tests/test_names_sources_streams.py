@@ -63,6 +63,23 @@ def test_triggers_and_gated_model(spark):
     assert off.count() == 0
 
 
+def test_the_gate_shuffles_no_tokens_and_long_lists_give_the_same(spark, monkeypatch):
+    common, given = names_df(spark, "der", "zug", "herr", None), names_df(spark, "anna")
+    every = dict.fromkeys(names.TRIGGERS, True)
+    words = ["Anna", "anna", "Zwiebel", "qwert", "von", "Herr", "der", "Zug.", "x\n\n", "Ab-Cdef", "gez.", "😀", "Dr. Weiß!", "\t"]
+    rng = random.Random(8)
+    d = docs(spark, *(" ".join(rng.choices(words, k=rng.randint(0, 40))) for _ in range(200)), "", None, " . ")
+    short = names.suspicious_tokens(d, common, given, every)
+    plan = short._jdf.queryExecution().executedPlan().toString()
+    assert not any(node in plan for node in ("Exchange", "Window", "Generate", "Join")), plan
+    expected = sorted(map(tuple, short.collect()))
+    assert {r for _, _, r, _, _ in expected} == set(names.REASONS)
+    assert len(set(expected)) == len(expected)
+    assert sorted(map(tuple, names.suspicious_sentences(d, common, given, every).collect())) == sorted({x[:3] for x in expected})
+    monkeypatch.setattr(names, "MOST_NAMES", 1)
+    assert sorted(map(tuple, names.suspicious_tokens(d, common, given, every).collect())) == expected
+
+
 def test_cue_phrases():
     cue = re.compile(names.phrase_pattern(names.CUES))
     for text in ("Sehr geehrte Damen", "gez. X", "i.A. X", "i. V. X", "mit freundlichen Gruessen", "Viele Grüße", "ICH HEISSE Jo", "mein  Name\nist"):
