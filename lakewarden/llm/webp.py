@@ -44,6 +44,9 @@ MAX_COPY = 4096
 #: Shorter repeats are written as literals: with no copies at all three colours share a code.
 LEAST_COPY = 128
 
+#: Bits that a transform must save before a payload is stored with it.
+LEAST_GAIN = 400
+
 #: The 120 near neighbours by distance, then by |x|, positive x first.
 NEAR = sorted(
     ((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), -p[0])
@@ -411,9 +414,32 @@ def _predict(mode: int, left, top, corner, right) -> list[int]:
     return [255, 0, 0, 0]
 
 
+def _run_even(parts: np.ndarray, mode: int, forward: bool) -> np.ndarray:
+    """The left (1) or top (2) predictor for a whole image (height, width, channels): differences, or their sums."""
+    out = parts.copy()
+    first = out[:1, :] if mode == 2 else out[:, :1]  # the edge that the other neighbour predicts
+    along, across = (0, 1) if mode == 2 else (1, 0)
+    if forward:
+        # An opaque black pixel comes before the first one.
+        edge = parts[:1, :] if mode == 2 else parts[:, :1]
+        body, ahead = (out[1:], parts[:-1]) if mode == 2 else (out[:, 1:], parts[:, :-1])
+        body -= ahead
+        first[...] = np.diff(edge, axis=across, prepend=np.zeros_like(edge.take([0], axis=across)))
+        if parts.shape[2] == 4:
+            out[0, 0, 0] -= 255
+        return out
+    if parts.shape[2] == 4:
+        out[0, 0, 0] += 255
+    first[...] = np.cumsum(first, axis=across, dtype=out.dtype)
+    return np.cumsum(out, axis=along, dtype=out.dtype)
+
+
 def _run_predictor(pixels: np.ndarray, modes: np.ndarray, bits: int, forward: bool) -> np.ndarray:
     """Add (or, forward, subtract) predictions; ``modes`` per block in the green byte."""
     height, width = pixels.shape
+    plain = {int(m) >> 8 & 15 for m in np.unique(modes)} if modes.size else set()
+    if len(plain) == 1 and plain <= {1, 2}:
+        return _join(_run_even(_split(pixels), plain.pop(), forward))
     given = _split(pixels).tolist()
     result = [[None] * width for _ in range(height)]
     known = given if forward else result
@@ -802,12 +828,50 @@ def pad_payload(text: str | None) -> tuple[int, bytes]:
     return len(data), data + b"\xff" * (-len(data) % ROW if data else ROW)
 
 
+def _entropy(parts: np.ndarray) -> float:
+    """Bits of samples under one code for all, as ``encode`` gives to literals."""
+    counts = np.bincount(parts.ravel(), minlength=1)
+    counts = counts[counts > 0].astype(np.float64)
+    return float(parts.size * np.log2(parts.size) - (counts * np.log2(counts)).sum())
+
+
+def chosen(rgb: np.ndarray) -> dict:
+    """Options of ``encode`` for samples (height, width, 3) of one byte: the predictor (none, left, top) and green that leave fewest bits.
+
+    A transform costs its own description, so it must save more than ``LEAST_GAIN`` bits.
+    """
+    best, options = _entropy(rgb) - LEAST_GAIN, {}
+    for mode in (0, 1, 2):
+        left = _run_even(rgb, mode, True) if mode else rgb
+        for green in (False, True):
+            if not mode and not green:
+                continue
+            if green:
+                left = left.copy()
+                left[..., 0] -= left[..., 1]
+                left[..., 2] -= left[..., 1]
+            bits = _entropy(left)
+            if bits < best:
+                best, options = bits, {"mode": mode, "green": green}
+    if not options:
+        return {}
+    own = {"subtract_green": options["green"], "palette": False, "block_bits": 9}
+    if options["mode"]:
+        height, width = rgb.shape[:2]
+        own["predictor"] = np.full((_ceil_shift(height, 9), _ceil_shift(width, 9)), options["mode"])
+    return own
+
+
 def store_payload(payload: bytes) -> bytes:
-    """Bytes (a multiple of 576) as one or more WebP files, one after the other."""
+    """Bytes (a multiple of 576) as one or more WebP files, one after the other, each with the transforms that suit it."""
     files = []
     for start in range(0, len(payload), ROW * MAX_ROWS):
-        rgb = np.frombuffer(payload[start : start + ROW * MAX_ROWS], np.uint8).reshape(-1, WIDTH, 3).astype(np.uint32)
-        files.append(encode(np.uint32(0xFF000000) | rgb[..., 0] << 16 | rgb[..., 1] << 8 | rgb[..., 2]))
+        samples = np.frombuffer(payload[start : start + ROW * MAX_ROWS], np.uint8).reshape(-1, WIDTH, 3)
+        rgb = samples.astype(np.uint32)
+        pixels = np.uint32(0xFF000000) | rgb[..., 0] << 16 | rgb[..., 1] << 8 | rgb[..., 2]
+        # Copies and palettes are no part of the estimate: where it asks for transforms, the smaller file stays.
+        file, own = encode(pixels), chosen(samples)
+        files.append(min(file, encode(pixels, **own), key=len) if own else file)
     return b"".join(files)
 
 

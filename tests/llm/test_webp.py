@@ -73,6 +73,31 @@ def test_payload_round_trip(text):
     assert payload[:size].decode() == (text or "")
 
 
+@pytest.mark.parametrize("mode", [1, 2])
+def test_even_predictors_are_the_general_ones(mode):
+    for shape in SHAPES:
+        image = noise(*shape)
+        modes = np.full((3, 11), mode << 8, np.uint32)
+        modes[-1, -1] = 1 << 11  # never reached, but no longer the same for all
+        general = webp._run_predictor(image, modes, 4, True)
+        assert (webp._run_predictor(image, np.full((3, 11), mode << 8), 4, True) == general).all()
+        assert (webp._run_predictor(general, np.full((3, 11), mode << 8), 4, False) == image).all()
+
+
+def test_payloads_are_stored_with_the_transforms_that_suit_them(monkeypatch):
+    used = []
+    for name in ("_run_predictor", "_run_green"):
+        monkeypatch.setattr(webp, name, lambda *a, f=getattr(webp, name), n=name: used.append((n, a[-1])) or f(*a))
+    ramps = [bytes(RNG.integers(0, 9, 5760, dtype=np.uint8).cumsum(dtype=np.uint8)), bytes(np.repeat(RNG.integers(0, 128, 1920, dtype=np.uint8), 3))]
+    rows = np.cumsum(RNG.integers(0, 3, (10, 576), dtype=np.uint8), axis=0, dtype=np.uint8) + RNG.integers(0, 256, (1, 576), dtype=np.uint8)
+    for payload in (*ramps, rows.tobytes()):
+        media = webp.store_payload(payload)
+        plain = webp.encode(webp.load_images(media)[0])
+        assert b"".join(map(webp.image_bytes, webp.load_images(media))) == payload
+        assert len(media) < len(plain)
+    assert {("_run_predictor", True), ("_run_predictor", False), ("_run_green", True), ("_run_green", False)} <= set(used)
+
+
 def test_long_payloads_take_several_images():
     payload = bytes(RNG.integers(0, 3, webp.ROW * (webp.MAX_ROWS + 2), dtype=np.uint8))
     images = webp.load_images(webp.store_payload(payload))
