@@ -9,15 +9,15 @@ Images are arrays of 32-bit ARGB pixels. A payload of bytes is stored as opaque
 three bytes a pixel, 192 pixels a row, in as many images as the format's largest height
 asks for.
 
-Decoding one group without a colour cache (what ``encode`` makes of payloads) looks all
-codes up at once: for every bit position numpy finds the position after a whole pixel
-that would start there, and a short walk then follows the true starts.
+Decoding one group without a colour cache (what ``encode`` makes of payloads) looks the
+codes of a window of the data up at once: for every bit position numpy finds the position
+after a whole pixel, and after four, that would start there; a short walk then follows the
+true starts.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import struct
 import zlib
 from collections.abc import Iterator
@@ -43,6 +43,8 @@ MAX_CODE = 15
 MAX_COPY = 4096
 #: Shorter repeats are written as literals: with no copies at all three colours share a code.
 LEAST_COPY = 128
+#: Bytes whose bit positions are looked up at once when reading.
+WINDOW = 1 << 13
 
 #: Bits that a transform must save before a payload is stored with it.
 LEAST_GAIN = 400
@@ -109,6 +111,8 @@ class Code:
     def wide(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Symbol and length over the next ``bits`` bits."""
         times = 1 << (bits - self.bits)
+        if times == 1:
+            return self.symbol, self.length
         return np.tile(self.symbol, times), np.tile(self.length, times)
 
 
@@ -117,32 +121,60 @@ def _code(lengths: bytes) -> Code:
     return Code(np.frombuffer(lengths, np.int64))
 
 
+@lru_cache(maxsize=4096)
+def _pairs(lengths: tuple[int, ...]) -> list[tuple[int, int]]:
+    """``Code.pairs`` of a short code, without arrays."""
+    used = sorted((n, s) for s, n in enumerate(lengths) if n)
+    if len(used) == 1:
+        return [(used[0][1], 0)]
+    bits = used[-1][0] if used else 0
+    table: list = [None] * (1 << bits)
+    start = 0
+    for n, s in used:
+        if start >= 1 << MAX_CODE:
+            raise ValueError("incomplete prefix code")
+        table[int(_REVERSED[start]) :: 1 << n] = [(s, n)] * (1 << (bits - n))
+        start += 1 << (MAX_CODE - n)
+    if start != 1 << MAX_CODE:
+        raise ValueError("incomplete prefix code")
+    return table
+
+
 def huffman_lengths(counts: np.ndarray, most: int = MAX_CODE) -> np.ndarray:
     """Code lengths of at most ``most`` bits; one used symbol has length 1."""
     used = np.flatnonzero(counts)
     lengths = np.zeros(len(counts), np.int64)
-    if len(used) < 2:
+    n = len(used)
+    if n < 2:
         lengths[used] = 1
         return lengths
-    weights = counts[used].tolist()
+    weights = counts[used]
     while True:
-        heap = [(w, i) for i, w in enumerate(weights)]
-        heapq.heapify(heap)
-        parent = [0] * (2 * len(weights) - 1)
-        fresh = len(weights)
-        while len(heap) > 1:
-            a = heapq.heappop(heap)
-            b = heap[0]
-            parent[a[1]] = parent[b[1]] = fresh
-            heapq.heapreplace(heap, (a[0] + b[0], fresh))
-            fresh += 1
-        depth = [0] * fresh
-        for i in range(fresh - 2, -1, -1):
+        # Nodes come in the order of their weights, so the lightest is the next leaf or the next inner node.
+        order = np.argsort(weights, kind="stable")
+        rest = weights[order].tolist()
+        rest.append(1 << 62)
+        inner, parent = [], [0] * (2 * n - 1)
+        leaf = node = 0
+        for fresh in range(n, 2 * n - 1):
+            total = 0
+            for _ in (0, 1):
+                if node == len(inner) or rest[leaf] <= inner[node]:
+                    total += rest[leaf]
+                    parent[leaf] = fresh
+                    leaf += 1
+                else:
+                    total += inner[node]
+                    parent[n + node] = fresh
+                    node += 1
+            inner.append(total)
+        depth = [0] * (2 * n - 1)
+        for i in range(2 * n - 3, -1, -1):
             depth[i] = depth[parent[i]] + 1
-        if max(depth[: len(weights)]) <= most:
-            lengths[used] = depth[: len(weights)]
+        if depth[0] <= most:
+            lengths[used[order]] = depth[:n]
             return lengths
-        weights = [w // 2 + 1 for w in weights]  # flatter counts make a shallower tree
+        weights = weights // 2 + 1  # flatter counts make a shallower tree
 
 
 def prefix_value(value: int) -> tuple[int, int, int]:
@@ -200,26 +232,37 @@ def _read_code(r: BitReader, alphabet: int) -> Code:
         if two:
             lengths[r.bits(8)] = 1
         return _code(lengths.tobytes())
-    own = np.zeros(19, np.int64)
-    for i in range(4 + r.bits(4)):
-        own[CODE_LENGTH_ORDER[i]] = r.bits(3)
-    code = _code(own.tobytes())
+    shown = 4 + r.bits(4)
+    sizes, own = r.bits(3 * shown), [0] * 19
+    for i in range(shown):
+        own[CODE_LENGTH_ORDER[i]] = sizes >> 3 * i & 7
+    pairs = _pairs(tuple(own))
+    mask = len(pairs) - 1
     left = 2 + r.bits(2 + 2 * r.bits(3)) if r.bits(1) else alphabet
-    at, last = 0, 8
-    while at < alphabet and left:
+    found, last = [], 8
+    at, ahead, known = r.at, 0, 0  # some bits ahead as one number
+    while len(found) < alphabet and left:
         left -= 1
-        s = r.symbol(code)
+        if known < 14:
+            ahead, known = int.from_bytes(r.data[at >> 3 : (at >> 3) + 32], "little") >> (at & 7), 249
+        s, size = pairs[ahead & mask]
         if s < 16:
-            lengths[at] = s
-            at += 1
+            found.append(s)
             last = s or last
-            continue
-        repeat = 3 + r.bits(2) if s == 16 else 3 + r.bits(3) if s == 17 else 11 + r.bits(7)
-        if at + repeat > alphabet:
-            raise ValueError("code lengths overflow")
-        if s == 16:
-            lengths[at : at + repeat] = last
-        at += repeat
+        else:
+            base, extra = ((3, 2), (3, 3), (11, 7))[s - 16]
+            repeat = base + (ahead >> size & ((1 << extra) - 1))
+            size += extra
+            found += [last if s == 16 else 0] * repeat
+        at += size
+        ahead >>= size
+        known -= size
+    if len(found) > alphabet:
+        raise ValueError("code lengths overflow")
+    r.at = at
+    if at > r.end:
+        raise ValueError("truncated image")
+    lengths[: len(found)] = found
     last_used = int(np.flatnonzero(lengths)[-1]) + 1 if lengths.any() else 0
     return _code(lengths[: max(256, last_used)].tobytes())
 
@@ -254,60 +297,99 @@ def _copy(out: np.ndarray, at: int, distance: int, length: int) -> None:
         out[at : at + length] = np.resize(out[at - distance : at], length)
 
 
+class _Window:
+    """A stretch of the data from bit ``at`` on, whose codes are looked up at all bit positions at once."""
+
+    def __init__(self, data: bytes, at: int, codes: list[Code], bits: int):
+        start = at >> 3
+        piece = data[start : start + WINDOW]
+        raw = np.frombuffer(piece + b"\0\0\0\0", np.uint8).astype(np.int64)
+        base = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
+        self.ahead = (base[:, None] >> np.arange(8)).ravel()
+        self.ahead &= (1 << bits) - 1
+        self.codes, self.bits, self.start, self.n = codes, bits, 8 * start, len(self.ahead)
+        # A pixel that may reach over the end is left to the next window.
+        self.stop = self.n + 1 if start + WINDOW >= len(data) else 8 * len(piece) - 4 * MAX_CODE
+        # Where the symbol after one starts, by code, for every bit; all lead to n, the end, and stay there.
+        places, self.hops = np.arange(self.n + 1), {}
+        for code in codes:
+            if not code.single and code not in self.hops:
+                hop = places.copy()
+                hop[:-1] += code.wide(bits)[1][self.ahead]
+                self.hops[code] = np.minimum(hop, self.n, out=hop)
+        green = codes[0]
+        after = self.hops.get(green, places)
+        if int(green.symbol.max()) >= 256:
+            # A literal's step; a symbol that is none leads nowhere.
+            after = after.copy()
+            after[:-1][(green.wide(bits)[0] >= 256)[self.ahead]] = self.n
+        for code in codes[1:]:
+            if not code.single:
+                after = self.hops[code][after]
+        self.after, self.twice = after, after[after]
+
+    def pixels(self, fours: list[int], singles: list[int]) -> np.ndarray:
+        """The pixels that start at ``singles``, and four each at ``fours``, in order."""
+        at = np.array(fours, np.int64)
+        then = self.twice[at]
+        at = np.stack((at, self.after[at], then, self.after[then]), axis=1).ravel()
+        if singles:
+            at = np.sort(np.concatenate((at, np.array(singles, np.int64))))
+        out = np.zeros(len(at), np.uint32)
+        for code, shift in zip(self.codes, (8, 16, 0, 24), strict=True):
+            if code.single:
+                out |= np.uint32(int(code.symbol[0]) << shift & 0xFFFFFFFF)
+            else:
+                out |= code.wide(self.bits)[0][self.ahead[at]].astype(np.uint32) << np.uint32(shift)
+                at = self.hops[code][at]
+        return out
+
+
 def _read_simple(r: BitReader, codes: list[Code], width: int, count: int) -> np.ndarray:
-    """One prefix group, no colour cache: table look-ups for all bit positions at once."""
+    """One prefix group, no colour cache: windows of single pixels, copies one by one."""
     green, red, blue, alpha, far = codes
-    data = np.frombuffer(r.data + b"\0\0\0\0", np.uint8).astype(np.uint32)
-    start = r.at >> 3
-    data = data[start:]
-    base = data[:-2] | data[1:-1] << 8 | data[2:] << 16
-    bits = max(1, *(c.bits for c in (green, red, blue, alpha)))
-    ahead = ((base[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32((1 << bits) - 1)).ravel()
-    n = len(ahead)
-    if green.single and red.single and blue.single and alpha.single and green.symbol[0] < 256:
+    codes = codes[:4]
+    if all(c.single for c in codes) and green.symbol[0] < 256:
         pixel = int(alpha.symbol[0]) << 24 | int(red.symbol[0]) << 16 | int(green.symbol[0]) << 8 | int(blue.symbol[0])
         return np.full(count, pixel, np.uint32)
-    tables = [c.wide(bits) for c in (green, red, blue, alpha)]
-    # A literal's step; a symbol that is none leads nowhere.
-    step = np.where(tables[0][0] < 256, tables[0][1], 1 << 28).astype(np.int32)
-    after = np.arange(n, dtype=np.int32) + step[ahead]
-    nowhere = after >= n
-    for code, (_, length) in zip((red, blue, alpha), tables[1:], strict=True):
-        if not code.single:
-            np.minimum(after, n - 1, out=after)
-            after += length[ahead[after]]
-    after[nowhere | (after >= n)] = -1
-    follow = memoryview(np.ascontiguousarray(after))
-    starts: list[int] = []
+    bits = max(1, *(c.bits for c in codes))
+    parts: list[np.ndarray] = []
     copies: list[tuple[int, int, int]] = []  # pixels before it, length, distance
-    made, at, base_bits = 0, r.at - 8 * start, 8 * start
+    made, most = 0, count - 4
     while made < count:
-        then = follow[at]
-        if then >= 0:
-            starts.append(at)
-            made += 1
-            at = then
-            continue
-        r.at = at + base_bits
-        s = r.symbol(green)
-        if s < 256:
+        window = _Window(r.data, r.at, codes, bits)
+        start, stop, n = window.start, window.stop, window.n
+        at = r.at - start
+        one, four = memoryview(window.after), memoryview(window.twice[window.twice])
+        singles: list[int] = []
+        fours: list[int] = []
+        while made < count and at < stop:
+            then = four[at]
+            if then < n and then < stop and made <= most:
+                fours.append(at)
+                made += 4
+                at = then
+                continue
+            then = one[at]
+            if then < n:
+                singles.append(at)
+                made += 1
+                at = then
+                continue
+            r.at = at + start
+            s = r.symbol(green)
+            if s < 256:
+                raise ValueError("truncated image")
+            length = r.extended(s - 256)
+            distance = _distance(r.extended(r.symbol(far)), width)
+            copies.append((made, length, distance))
+            made += length
+            at = r.at - start
+        r.at = at + start
+        if r.at > r.end or made > count:
             raise ValueError("truncated image")
-        length = r.extended(s - 256)
-        distance = _distance(r.extended(r.symbol(far)), width)
-        copies.append((made, length, distance))
-        made += length
-        at = r.at - base_bits
-    r.at = at + base_bits
-    if r.at > r.end or made > count:
-        raise ValueError("truncated image")
-    at = np.array(starts, np.int64)
-    parts = []
-    for symbol, length in tables:
-        seen = ahead[at]
-        parts.append(symbol[seen].astype(np.uint32))
-        at = at + length[seen]
-    g, d, b, a = parts
-    literal = a << 24 | d << 16 | g << 8 | b
+        parts.append(window.pixels(fours, singles))
+    literal = np.concatenate(parts) if len(parts) > 1 else parts[0]
     if not copies:
         return literal
     out, used, place = np.empty(count, np.uint32), 0, 0
@@ -556,10 +638,11 @@ class BitWriter:
 
 
 @lru_cache(maxsize=4096)
-def _code_header(lengths: tuple[int, ...]) -> tuple[int, int]:
-    """Bits and their number that describe a prefix code."""
+def _code_header(table: bytes) -> tuple[int, int]:
+    """Bits and their number that describe a prefix code, by its 64-bit lengths."""
+    lengths = np.frombuffer(table, np.int64)
     w = BitWriter()
-    used = [s for s, n in enumerate(lengths) if n]
+    used = np.flatnonzero(lengths).tolist()
     if len(used) <= 2 and all(s < 256 for s in used):
         used = used or [0]
         w.put(1, 1)
@@ -569,13 +652,10 @@ def _code_header(lengths: tuple[int, ...]) -> tuple[int, int]:
             w.put(s, 8)
         return w.value, w.size
     w.put(0, 1)
-    runs, at = [], 0  # (symbol, extra value, extra bits)
-    while at < len(lengths):
-        n, end = lengths[at], at
-        while end < len(lengths) and lengths[end] == n:
-            end += 1
-        length = end - at
-        at = end
+    runs = []  # (symbol, extra value, extra bits)
+    edges = [0, *(np.flatnonzero(lengths[1:] != lengths[:-1]) + 1).tolist(), len(lengths)]
+    for at, n in enumerate(lengths[edges[:-1]].tolist()):
+        length = edges[at + 1] - edges[at]
         if n:
             runs.append((n, 0, 0))
             length -= 1
@@ -593,33 +673,41 @@ def _code_header(lengths: tuple[int, ...]) -> tuple[int, int]:
                 k = 1
                 runs.append((n, 0, 0))
             length -= k
-    counts = np.bincount([s for s, _, _ in runs], minlength=19)
-    own = huffman_lengths(counts, 7)
-    codes = canonical(own)
-    single = np.count_nonzero(own) == 1
-    shown = max(4, 1 + max(i for i, s in enumerate(CODE_LENGTH_ORDER) if own[s]))
+    own = huffman_lengths(np.bincount([s for s, _, _ in runs], minlength=19), 7)
+    codes, widths = (a.tolist() for a in _written_code(own))
+    sizes = own.tolist()
+    shown = max(4, 1 + max(i for i, s in enumerate(CODE_LENGTH_ORDER) if sizes[s]))
     w.put(shown - 4, 4)
     for s in CODE_LENGTH_ORDER[:shown]:
-        w.put(int(own[s]), 3)
+        w.put(sizes[s], 3)
     w.put(0, 1)
+    value, size = w.value, w.size
     for s, extra, bits in runs:
-        if not single:
-            w.put(int(codes[s]), int(own[s]))
-        w.put(extra, bits)
-    return w.value, w.size
+        value |= (codes[s] | extra << widths[s]) << size
+        size += widths[s] + bits
+    return value, size
 
 
-def _bits_of(value: int, size: int) -> np.ndarray:
-    raw = np.frombuffer(value.to_bytes((size + 7) // 8 or 1, "little"), np.uint8)
-    return np.unpackbits(raw, bitorder="little")[:size]
+def _written_code(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and their sizes for writing; one used symbol is written with no bits."""
+    if np.count_nonzero(lengths) < 2:
+        nothing = np.zeros(len(lengths), np.int64)
+        return nothing, nothing
+    return canonical(lengths), lengths
 
 
-def _fields(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Concatenated little-endian bit fields."""
-    total = int(sizes.sum())
-    own = np.repeat(np.arange(len(sizes)), sizes)
-    offset = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return (values[own] >> offset & 1).astype(np.uint8)
+def _fields(values: np.ndarray, sizes: np.ndarray) -> tuple[int, int]:
+    """Concatenated little-endian bit fields of at most 63 bits: one number, and its bits."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    starts = ends - sizes
+    shift, word = (starts & 63).astype(np.uint64), starts >> 6
+    values = values.astype(np.uint64)
+    words = np.zeros((total >> 6) + 2, np.uint64)
+    np.add.at(words, word, values << shift)
+    # What is left for the next word; shifts by 64 at once are not defined.
+    np.add.at(words, word + 1, values >> np.uint64(1) >> (np.uint64(63) - shift))
+    return int.from_bytes(words.astype("<u8", copy=False).tobytes(), "little"), total
 
 
 def _runs(pixels: np.ndarray, distance: int, least: int) -> list[tuple[int, int]]:
@@ -631,8 +719,10 @@ def _runs(pixels: np.ndarray, distance: int, least: int) -> list[tuple[int, int]
     return [(a + distance, b - a) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if b - a >= least]
 
 
-def _pixel_bits(pixels: np.ndarray, width: int, distances=(1,), cache_bits: int = 0, meta_bits: int = 0, main: bool = True):
-    """Bits of one entropy-coded image: literals, copies at the given distances, cache hits, code groups."""
+def _pixel_bits(
+    pixels: np.ndarray, width: int, distances=(1,), cache_bits: int = 0, meta_bits: int = 0, main: bool = True
+) -> tuple[int, int]:
+    """One entropy-coded image, as a number and its bits: literals, copies at the given distances, cache hits, code groups."""
     flat = pixels.ravel().astype(np.int64)
     n = len(flat)
     copies: list[tuple[int, int, int]] = []
@@ -648,15 +738,14 @@ def _pixel_bits(pixels: np.ndarray, width: int, distances=(1,), cache_bits: int
             kept.append((start, length, distance))
             literal[start : start + length] = False
             place = start + length
-    cached = np.full(n, -1, np.int64)
     if cache_bits:
-        held = {}
+        cached, held = np.full(n, -1, np.int64), {}
         for i, p in enumerate(flat.tolist()):
             key = (CACHE_MULTIPLIER * p & 0xFFFFFFFF) >> (32 - cache_bits)
             if literal[i] and held.get(key, 0) == p:
                 cached[i] = key
             held[key] = p
-    at = np.flatnonzero(literal)
+    at = np.flatnonzero(literal) if kept else np.arange(n)
     if meta_bits:
         rows = np.arange(n) // width >> meta_bits
         cols = np.arange(n) % width >> meta_bits
@@ -664,81 +753,80 @@ def _pixel_bits(pixels: np.ndarray, width: int, distances=(1,), cache_bits: int
         group_of = (rows * across + cols) % 2
         meta = np.zeros((int(rows[-1]) + 1) * across, np.uint32)
         meta[rows * across + cols] = group_of << 8
+        groups = int(group_of.max()) + 1
     else:
-        group_of, meta = np.zeros(n, np.int64), None
-    groups = int(group_of.max()) + 1 if n else 1
+        groups = 1
 
     head = BitWriter()
     head.put(1 if cache_bits else 0, 1)
     if cache_bits:
         head.put(cache_bits, 4)
-    parts = []
     if main:
         head.put(1 if meta_bits else 0, 1)
         if meta_bits:
             head.put(meta_bits - 2, 3)
-            parts = [_bits_of(head.value, head.size), _pixel_bits(meta, across, main=False)]
-            head = BitWriter()
-    green = np.where(cached[at] >= 0, 280 + cached[at], flat[at] >> 8 & 255)
-    plain = cached[at] < 0
-    size = 280 + ((1 << cache_bits) if cache_bits else 0)
+            head.put(*_pixel_bits(meta, across, main=False))
+    alphabet = 280 + ((1 << cache_bits) if cache_bits else 0)
     values, sizes, order = [], [], []
-    lengths_by_group = []
     for g in range(groups):
-        own = group_of[at] == g
-        counts = [np.bincount(green[own], minlength=size)]
+        where = at[group_of[at] == g] if groups > 1 else at
+        own = flat[where] if len(where) < n else flat
+        green, red, blue, alpha = (own >> shift & 255 for shift in (8, 16, 0, 24))
+        shown = slice(None)  # literals among what is written
+        if cache_bits:
+            key = cached[where]
+            shown = key < 0
+            green = np.where(shown, green, 280 + key)
+        first = np.bincount(green, minlength=alphabet)
         # Red and blue share one code: a table less to build, to write and to read.
-        shades = [np.bincount(flat[at][own & plain] >> shift & 255, minlength=256) for shift in (16, 0, 24)]
-        both = shades[0] + shades[1]
-        if not kept and not cache_bits:
-            # Green holds literals only here, so it shares that code too.
-            both = both + counts[0][:256]
-            counts[0][:256] = both
-        counts += [both, both, shades[2]]
+        both = np.bincount(red[shown], minlength=256) + np.bincount(blue[shown], minlength=256)
         far = np.zeros(40, np.int64)
-        for start, length, distance in kept:
-            if group_of[start] == g:
-                counts[0][256 + prefix_value(length)[0]] += 1
-                far[prefix_value(distance + 120)[0]] += 1
-        counts.append(far)
-        pair = huffman_lengths(counts[1])
+        mine = [c for c in kept if group_of[c[0]] == g] if groups > 1 else kept
+        for _, length, distance in mine:
+            first[256 + prefix_value(length)[0]] += 1
+            far[prefix_value(distance + 120)[0]] += 1
         if kept or cache_bits:
-            first = huffman_lengths(counts[0])
+            pair, first = huffman_lengths(both), huffman_lengths(first)
+            pair_code, first_code = _written_code(pair), _written_code(first)
         else:
-            first = np.concatenate((pair, np.zeros(size - 256, np.int64)))
-        lengths = [first, pair, pair, *map(huffman_lengths, counts[3:])]
-        lengths_by_group.append(lengths)
-        for table in lengths:
-            bits, count = _code_header(tuple(table.tolist()))
-            head.put(bits, count)
-        codes = [canonical(t) for t in lengths]
-        # One used symbol is written with no bits.
-        widths = [np.where(np.count_nonzero(t) > 1, t, 0) for t in lengths]
-        where = at[own]
-        for k, symbol in enumerate((green[own], *(flat[where] >> s & 255 for s in (16, 0, 24)))):
-            values.append(codes[k][symbol])
-            sizes.append(widths[k][symbol] * (1 if k == 0 else plain[own]))
-            order.append(where * 8 + k)
-        for start, length, distance in kept:
-            if group_of[start] == g:
-                field, width_ = 0, 0
-                for k, amount, base in ((0, length, 256), (4, distance + 120, 0)):
+            # Green holds literals only here, so it shares that code too.
+            pair = huffman_lengths(both + first[:256])
+            first = np.concatenate((pair, np.zeros(alphabet - 256, np.int64)))
+            pair_code = first_code = _written_code(pair)
+        opaque, far = huffman_lengths(np.bincount(alpha[shown], minlength=256)), huffman_lengths(far)
+        for table in (first, pair, pair, opaque, far):
+            head.put(*_code_header(table.tobytes()))
+        # A pixel's codes follow each other: one field.
+        value, size = first_code[0][green], first_code[1][green]
+        for symbols, (codes, widths) in ((red, pair_code), (blue, pair_code), (alpha, _written_code(opaque))):
+            if widths.any():
+                more, wider = codes[symbols], widths[symbols]
+                if cache_bits:
+                    more, wider = more * shown, wider * shown
+                value |= more << size
+                size += wider
+        values.append(value)
+        sizes.append(size)
+        order.append(where)
+        if mine:
+            far_code = _written_code(far)
+            for start, length, distance in mine:
+                field, wide = 0, 0
+                for (codes, widths), amount, base in ((first_code, length, 256), (far_code, distance + 120, 0)):
                     s, extra, rest = prefix_value(amount)
-                    field |= int(codes[k][base + s]) << width_
-                    width_ += int(widths[k][base + s])
-                    field |= rest << width_
-                    width_ += extra
+                    field |= int(codes[base + s]) << wide
+                    wide += int(widths[base + s])
+                    field |= rest << wide
+                    wide += extra
                 values.append(np.array([field]))
-                sizes.append(np.array([width_]))
-                order.append(np.array([start * 8]))
-    parts.append(_bits_of(head.value, head.size))
-    value, bits, key = np.concatenate(values), np.concatenate(sizes), np.concatenate(order)
+                sizes.append(np.array([wide]))
+                order.append(np.array([start]))
+    value, size = np.concatenate(values), np.concatenate(sizes)
     if groups > 1 or kept:
-        by = np.argsort(key, kind="stable")
-    else:
-        by = np.arange(len(key)).reshape(4, -1).T.ravel()
-    parts.append(_fields(value[by], bits[by]))
-    return np.concatenate(parts)
+        by = np.argsort(np.concatenate(order), kind="stable")
+        value, size = value[by], size[by]
+    head.put(*_fields(value, size))
+    return head.value, head.size
 
 
 def encode(
@@ -764,7 +852,6 @@ def encode(
     w.put(height - 1, 14)
     w.put(int((pixels >> 24 != 255).any()), 1)
     w.put(0, 3)
-    parts = []
     colors = None
     if palette is not False:
         few = 256 if palette else 16
@@ -779,9 +866,7 @@ def encode(
         w.put(kind, 2)
 
     def flush(image: np.ndarray, across: int) -> None:
-        nonlocal w
-        parts.extend((_bits_of(w.value, w.size), _pixel_bits(image, across, main=False)))
-        w = BitWriter()
+        w.put(*_pixel_bits(image, across, main=False))
 
     if colors is not None:
         transform(PALETTE)
@@ -813,9 +898,8 @@ def encode(
         transform(SUBTRACT_GREEN)
         pixels = _run_green(pixels, True)
     w.put(0, 1)
-    parts.append(_bits_of(w.value, w.size))
-    parts.append(_pixel_bits(pixels, width, distances or (1, width), cache_bits, meta_bits))
-    data = bytes([SIGNATURE]) + np.packbits(np.concatenate(parts), bitorder="little").tobytes()
+    w.put(*_pixel_bits(pixels, width, distances or (1, width), cache_bits, meta_bits))
+    data = bytes([SIGNATURE]) + w.value.to_bytes((w.size + 7) // 8, "little")
     pad = len(data) & 1
     return b"RIFF" + struct.pack("<I", 12 + len(data) + pad) + b"WEBPVP8L" + struct.pack("<I", len(data)) + data + b"\0" * pad
 
@@ -828,11 +912,11 @@ def pad_payload(text: str | None) -> tuple[int, bytes]:
     return len(data), data + b"\xff" * (-len(data) % ROW if data else ROW)
 
 
-def _entropy(parts: np.ndarray) -> float:
-    """Bits of samples under one code for all, as ``encode`` gives to literals."""
-    counts = np.bincount(parts.ravel(), minlength=1)
-    counts = counts[counts > 0].astype(np.float64)
-    return float(parts.size * np.log2(parts.size) - (counts * np.log2(counts)).sum())
+def _entropies(images: list[np.ndarray]) -> list[float]:
+    """Bits of each image's samples under one code for all, as ``encode`` gives to literals."""
+    counts = np.stack([np.bincount(image.ravel(), minlength=256) for image in images])
+    size = images[0].size
+    return (size * np.log2(size) - (counts * np.log2(np.maximum(counts, 1))).sum(axis=1)).tolist()
 
 
 def chosen(rgb: np.ndarray) -> dict:
@@ -840,25 +924,23 @@ def chosen(rgb: np.ndarray) -> dict:
 
     A transform costs its own description, so it must save more than ``LEAST_GAIN`` bits.
     """
-    best, options = _entropy(rgb) - LEAST_GAIN, {}
+    tried, images = [], []
     for mode in (0, 1, 2):
         left = _run_even(rgb, mode, True) if mode else rgb
-        for green in (False, True):
-            if not mode and not green:
-                continue
-            if green:
-                left = left.copy()
-                left[..., 0] -= left[..., 1]
-                left[..., 2] -= left[..., 1]
-            bits = _entropy(left)
-            if bits < best:
-                best, options = bits, {"mode": mode, "green": green}
-    if not options:
+        less = left.copy()
+        less[..., 0] -= less[..., 1]
+        less[..., 2] -= less[..., 1]
+        tried += [(mode, False), (mode, True)]
+        images += [left, less]
+    bits = _entropies(images)
+    least = min(range(6), key=bits.__getitem__)
+    if bits[least] >= bits[0] - LEAST_GAIN:
         return {}
-    own = {"subtract_green": options["green"], "palette": False, "block_bits": 9}
-    if options["mode"]:
+    mode, green = tried[least]
+    own = {"subtract_green": green, "palette": False, "block_bits": 9}
+    if mode:
         height, width = rgb.shape[:2]
-        own["predictor"] = np.full((_ceil_shift(height, 9), _ceil_shift(width, 9)), options["mode"])
+        own["predictor"] = np.full((_ceil_shift(height, 9), _ceil_shift(width, 9)), mode)
     return own
 
 

@@ -1,5 +1,9 @@
 """Round trips through every part of the image format."""
 
+import cProfile
+import pstats
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -105,6 +109,68 @@ def test_long_payloads_take_several_images():
     assert b"".join(map(webp.image_bytes, images)) == payload
 
 
+def words(size, seed):
+    chosen = np.random.default_rng(seed).integers(0, 9000, size // 4)
+    return " ".join("".join(chr(97 + int(c) * k % 26) for k in (1, 3, 7, 11)[: 2 + c % 3]) for c in chosen)[:size]
+
+
+def test_calls_for_a_text_are_few():
+    """Counted, not timed: what storing and reading 20 texts of 2,400 characters costs in function calls."""
+    payloads = [webp.pad_payload(words(2400, seed))[1] for seed in range(20)]
+    assert len({len(p) for p in payloads}) == 1
+    profile = cProfile.Profile()
+    profile.enable()
+    read = [b"".join(webp.image_bytes(i) for i in webp.load_images(webp.store_payload(p))) for p in payloads]
+    profile.disable()
+    assert read == payloads
+    assert pstats.Stats(profile).total_calls < 20 * 2000
+
+
+def test_reading_takes_memory_by_pixels_not_by_bits():
+    payload = RNG.integers(0, 200, webp.ROW * 2000, dtype=np.uint8).tobytes()
+    media = webp.store_payload(payload)
+    tracemalloc.start()
+    try:
+        images = webp.load_images(media)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert b"".join(map(webp.image_bytes, images)) == payload
+    assert peak < 12 * len(payload)
+
+
+@pytest.mark.parametrize("window", [16, 61, 300])
+def test_images_are_read_over_the_ends_of_windows(monkeypatch, window):
+    monkeypatch.setattr(webp, "WINDOW", window)
+    monkeypatch.setattr(webp, "LEAST_COPY", 3)
+    for image in (noise(33, 40), smooth(33, 40), np.repeat(noise(30, 8), 5, axis=1), noise(33, 40, colors=3)):
+        file = webp.encode(image, palette=False, distances=(1, 2, 40))
+        assert (webp.decode(file) == image).all()
+        with pytest.raises(ValueError):
+            cut = file[: len(file) * 2 // 3]
+            webp.decode(cut[:16] + (len(cut) - 20).to_bytes(4, "little") + cut[20:])
+
+
+def test_code_lengths_are_those_of_a_heap():
+    import heapq
+
+    for size in (2, 3, 19, 90, 256):
+        for counts in (RNG.integers(0, 4, size), RNG.geometric(0.01, size), np.arange(1, size + 1)):
+            used = np.flatnonzero(counts)
+            if len(used) < 2:
+                continue
+            heap = [(int(counts[s]), i, [s]) for i, s in enumerate(used)]
+            heapq.heapify(heap)
+            expected, fresh = np.zeros(size, np.int64), len(used)
+            while len(heap) > 1:
+                one, other = heapq.heappop(heap), heapq.heappop(heap)
+                expected[one[2] + other[2]] += 1
+                heapq.heappush(heap, (one[0] + other[0], fresh, one[2] + other[2]))
+                fresh += 1
+            if expected.max() <= webp.MAX_CODE:
+                assert (webp.huffman_lengths(counts) == expected).all()
+
+
 def test_damaged_files_are_refused():
     file = webp.encode(noise(8, 8))
     for bad in (b"", file[:30], b"RIFX" + file[4:], file[:20] + b"\0" + file[21:]):
